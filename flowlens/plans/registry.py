@@ -10,8 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from flowlens import constants as K
+from flowlens.functions import scalar as S
+from flowlens.operators import encode as EN
 from flowlens.operators import flows as FL
+from flowlens.operators import prepare as PR
+from flowlens.operators import select as SE
+from flowlens.plans import oracle_prep_sql as OP
 from flowlens.plans import oracle_sql as O
+from flowlens.plans import prepare as PP
+from flowlens.sources import records as RC
 from flowlens.sources.packets import read_packets
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +39,91 @@ def q_flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.flow_records(read_packets(spark, sf_dir), BATCH_WINDOW)
 
 
+# -- E1: preparation ---------------------------------------------------------
+
+SELECT_K_QUERY = 20   # of the 48 encoded stand-in columns; the pipeline default is 100
+
+
+def _split(spark, sf_dir, materialize=False):
+    return PP.labelled_split(RC.read_records(spark, sf_dir), PP.record_split_key(), materialize)
+
+
+def q_labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difficulty dropped, label mapped to its category."""
+    lab = PR.label_records(RC.read_records(spark, sf_dir))
+    return lab.select(*RC.ROW_KEY, *K.ATTRIBUTE_COLUMNS, K.LABEL_COLUMN)
+
+
+def q_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw attack names, their category, and how many rows carry each."""
+    recs = RC.read_records(spark, sf_dir)
+    return (recs.select(F.col("label").alias("raw_label"), S.label_category("label").alias("category"))
+                .groupBy("raw_label", "category").agg(F.count(F.lit(1)).alias("n")))
+
+
+def q_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact stratified 80/20 split, per row."""
+    return _split(spark, sf_dir).select(*RC.ROW_KEY, K.LABEL_COLUMN, PP.SPLIT_COL)
+
+
+def q_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """train/test sizes per class."""
+    return _split(spark, sf_dir).groupBy(K.LABEL_COLUMN).agg(
+        F.count_if(~F.col(PP.SPLIT_COL)).alias("n_train"),
+        F.count_if(F.col(PP.SPLIT_COL)).alias("n_test"))
+
+
+def q_scaler_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: quartiles, median, min, max per numeric column (train rows only)."""
+    train = _split(spark, sf_dir).filter(~F.col(PP.SPLIT_COL))
+    return EN.fit_scaler(train, K.NUMERIC_COLUMNS).to_df(spark)
+
+
+def q_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: sorted category vocabulary per nominal column (train rows only)."""
+    train = _split(spark, sf_dir).filter(~F.col(PP.SPLIT_COL))
+    return EN.fit_vocabulary(train, K.NOMINAL_COLUMNS).to_df(spark, offset=len(K.NUMERIC_COLUMNS))
+
+
+def q_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1/M2/M3: every row (train and test) encoded with the train-fitted transformer."""
+    split = _split(spark, sf_dir, materialize=True)
+    tr = EN.fit_transformer(split.filter(~F.col(PP.SPLIT_COL)), K.NUMERIC_COLUMNS, K.NOMINAL_COLUMNS)
+    enc = tr.transform(split, keep=RC.ROW_KEY + [K.LABEL_COLUMN, PP.SPLIT_COL])
+    return enc.select(*RC.ROW_KEY, K.LABEL_COLUMN, PP.SPLIT_COL, *K.NUMERIC_COLUMNS,
+                      PP.onehot_active(tr).alias("onehot_active"))
+
+
+def q_mutual_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: binned mutual information of every encoded column with the class."""
+    return PP.prepare_records(spark, sf_dir, k=K.SELECT_K).scores
+
+
+def q_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k columns by mutual information, in original column order."""
+    scores = PP.prepare_records(spark, sf_dir).scores
+    return SE.select_k_best(scores, SELECT_K_QUERY)
+
+
+def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced class weights of the training rows."""
+    train = _split(spark, sf_dir).filter(~F.col(PP.SPLIT_COL))
+    return PR.class_weights(train)
+
+
 REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "flows": (q_flows, O.flows_sql()),
     "flow_records": (q_flow_records, O.flow_records_sql()),
+    "labelled_records": (q_labelled_records, OP.labelled_records_sql()),
+    "label_counts": (q_label_counts, OP.label_counts_sql()),
+    "stratified_split": (q_split, OP.split_sql()),
+    "split_summary": (q_split_summary, OP.split_summary_sql()),
+    "scaler_params": (q_scaler_params, OP.scaler_params_sql()),
+    "onehot_vocabulary": (q_vocabulary, OP.vocabulary_sql()),
+    "encoded_records": (q_encoded, OP.encoded_sql()),
+    "mutual_information": (q_mutual_info, OP.mutual_info_sql()),
+    "selected_features": (q_selected, OP.selected_sql(SELECT_K_QUERY)),
+    "class_weights": (q_class_weights, OP.class_weights_sql()),
 }
 
 

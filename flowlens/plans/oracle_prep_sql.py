@@ -158,3 +158,46 @@ def class_weights_sql() -> str:
     return ("with " + RECORDS_CTE + ", c as (select label, count(*) as n_class from tr group by label) "
             "select label, n_class, (sum(n_class) over ())::double / "
             "((count(*) over ())::double * n_class::double) as weight from c")
+
+
+RULE_SQL = ("case when cast(count as int) >= 45 then 'dos' "
+            "when cast(round(serror_rate*100) as int) >= 9 then 'probe' "
+            "when cast(round(rerror_rate*100) as int) >= 7 and cast(count as int) < 10 then 'r2l' "
+            "when cast(round(serror_rate*100) as int) <= 1 and cast(round(rerror_rate*100) as int) <= 1 "
+            "and cast(count as int) < 15 then 'u2r' else 'normal' end")
+
+CONF_CTE = RECORDS_CTE + f""",
+conf as (select label, {RULE_SQL} as prediction, count(*) as n from sp where is_test group by 1, 2),
+cls as (select label as c from conf union select prediction from conf),
+rep0 as (select cls.c,
+   coalesce((select sum(n) from conf where label = cls.c and prediction = cls.c), 0) as tp,
+   coalesce((select sum(n) from conf where label = cls.c), 0) as support,
+   coalesce((select sum(n) from conf where prediction = cls.c), 0) as predicted from cls),
+rep as (select c as class,
+   round(case when predicted = 0 then 0.0 else tp::double / predicted::double end, 12) as precision,
+   round(case when support = 0 then 0.0 else tp::double / support::double end, 12) as recall,
+   round(case when 2*tp + (predicted - tp) + (support - tp) = 0 then 0.0
+         else (2*tp)::double / (2*tp + (predicted - tp) + (support - tp))::double end, 12) as f1,
+   cast(support as bigint) as support from rep0)
+"""
+
+
+def confusion_sql() -> str:
+    return "with " + CONF_CTE + "select label, prediction, n from conf"
+
+
+def class_report_sql() -> str:
+    return "with " + CONF_CTE + "select class, precision, recall, f1, support from rep"
+
+
+def summary_sql() -> str:
+    return "with " + CONF_CTE + """select
+  round((select sum(n) filter (where label = prediction) from conf)::double
+        / (select sum(n) from conf)::double, 12) as accuracy,
+  round(avg(precision), 12) as macro_precision, round(avg(recall), 12) as macro_recall,
+  round(avg(f1), 12) as macro_f1,
+  round(sum(precision * support) / sum(support), 12) as weighted_precision,
+  round(sum(recall * support) / sum(support), 12) as weighted_recall,
+  round(sum(f1 * support) / sum(support), 12) as weighted_f1,
+  cast((select sum(n) from conf) as bigint) as support
+from rep"""

@@ -16,6 +16,8 @@ from flowlens import constants as K
 from flowlens.functions import scalar as S
 from flowlens.operators import encode as EN
 from flowlens.operators import flows as FL
+from flowlens.operators import metrics as ME
+from flowlens.operators import model as MO
 from flowlens.operators import prepare as PR
 from flowlens.operators import select as SE
 from flowlens.plans import oracle_prep_sql as OP
@@ -111,6 +113,59 @@ def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.class_weights(train)
 
 
+# -- E2: evaluation -----------------------------------------------------------
+
+def rule_prediction():
+    """Stand-in prediction column for the SQL-checked metric queries: fixed
+    thresholds on three stand-in attributes (integer arithmetic, so both
+    engines agree). The metric operators take any (label, prediction) pair;
+    the trained model's predictions are scored by ``model_*`` queries."""
+    qn = F.col("count").cast("int")
+    di = F.round(F.col("serror_rate") * 100).cast("int")
+    tx = F.round(F.col("rerror_rate") * 100).cast("int")
+    return (F.when(qn >= 45, "dos").when(di >= 9, "probe").when((tx >= 7) & (qn < 10), "r2l")
+             .when((di <= 1) & (tx <= 1) & (qn < 15), "u2r").otherwise("normal"))
+
+
+def _rule_scored_test(spark, sf_dir):
+    test = _split(spark, sf_dir).filter(F.col(PP.SPLIT_COL))
+    return test.select(K.LABEL_COLUMN, rule_prediction().alias("prediction"))
+
+
+def q_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion counts on the test split (rule predictions)."""
+    return ME.confusion_long(_rule_scored_test(spark, sf_dir))
+
+
+def q_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-class precision, recall, F1, support (rule predictions)."""
+    return ME.class_report(ME.confusion_long(_rule_scored_test(spark, sf_dir)))
+
+
+def q_summary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, macro and weighted averages (rule predictions)."""
+    return ME.summary(ME.confusion_long(_rule_scored_test(spark, sf_dir)))
+
+
+def _trained(spark, sf_dir):
+    prep = PP.prepare_records(spark, sf_dir)
+    clf = MO.train_classifier(prep.train, prep.selected)
+    return prep, clf
+
+
+def q_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forest trained on the train split, test rows scored."""
+    prep, clf = _trained(spark, sf_dir)
+    scored = clf.predict(prep.test)
+    return scored.select(*RC.ROW_KEY, K.LABEL_COLUMN, "prediction", "confidence")
+
+
+def q_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 over the trained model's test predictions."""
+    prep, clf = _trained(spark, sf_dir)
+    return ME.summary(ME.confusion_long(clf.predict(prep.test)))
+
+
 REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "flows": (q_flows, O.flows_sql()),
     "flow_records": (q_flow_records, O.flow_records_sql()),
@@ -124,6 +179,11 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "mutual_information": (q_mutual_info, OP.mutual_info_sql()),
     "selected_features": (q_selected, OP.selected_sql(SELECT_K_QUERY)),
     "class_weights": (q_class_weights, OP.class_weights_sql()),
+    "confusion_matrix": (q_confusion, OP.confusion_sql()),
+    "class_report": (q_class_report, OP.class_report_sql()),
+    "summary_metrics": (q_summary_metrics, OP.summary_sql()),
+    "model_predictions": (q_model_predictions, None),
+    "model_summary": (q_model_summary, None),
 }
 
 

@@ -74,6 +74,7 @@ def flow_partials(packets: DataFrame, window_duration: str = "1 day") -> DataFra
     k = with_flow_keys(packets, window_duration)
     from_lo_ip = F.col("ip_src") == F.col("lo_ip")
     return k.groupBy(*FLOW_KEY).agg(
+        F.min("event_id").alias("flow_seq"),
         F.min_by("src_is_lo", "event_id").alias("first_src_is_lo"),
         F.min_by("ts", "event_id").alias("start_time"),
         F.max_by("ts", "event_id").alias("end_time"),
@@ -98,7 +99,7 @@ def finish_flows(agg: DataFrame) -> DataFrame:
     port_dst = F.when(lo, F.col("hi_port")).otherwise(F.col("lo_port"))
     src_is_lo_ip = ip_src == F.col("lo_ip")
     return agg.select(
-        "window_start", "start_time", "end_time", "n_packets",
+        "window_start", "flow_seq", "start_time", "end_time", "n_packets",
         F.col("proto").alias("protocol_type"),
         S.service_of_port(port_dst, F.col("proto")).alias("service"),
         ip_src.alias("ip_src"), ip_dst.alias("ip_dst"),
@@ -112,7 +113,8 @@ def finish_flows(agg: DataFrame) -> DataFrame:
 
 
 def aggregate_flows(packets: DataFrame, window_duration: str = "1 day") -> DataFrame:
-    """A1: bidirectional flows. Output: window_start, start_time, end_time,
+    """A1: bidirectional flows. Output: window_start, flow_seq (capture
+    sequence of the first packet), start_time, end_time,
     n_packets, protocol_type, service, ip_src, ip_dst, port_src, port_dst,
     src_bytes, dst_bytes, flag, num_failed_logins, is_guest_login."""
     return finish_flows(flow_partials(packets, window_duration))
@@ -146,7 +148,7 @@ def host_features(flows: DataFrame) -> DataFrame:
 
 def assemble_records(feat: DataFrame) -> DataFrame:
     """The 41 attributes in file order (unset ones 0.0), keyed by
-    window_start, src_ip, dst_ip."""
+    window_start and flow_seq, with src_ip and dst_ip."""
     cnt = F.col("count").cast("double")
     srv = F.col("srv_count").cast("double")
     denom = F.greatest(F.lit(1.0), cnt)
@@ -186,7 +188,7 @@ def assemble_records(feat: DataFrame) -> DataFrame:
     }
     attrs = [values.get(c, F.lit(0.0)).alias(c) for c in K.ATTRIBUTE_COLUMNS]
     return feat.select(
-        "window_start",
+        "window_start", "flow_seq",
         F.col("ip_src").alias("src_ip"), F.col("ip_dst").alias("dst_ip"),
         *attrs)
 

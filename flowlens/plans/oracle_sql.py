@@ -59,7 +59,7 @@ pk_first as (select window_start, ep_lo, ep_hi, proto, ip_src f_src, ip_dst f_ds
                     port_src f_sport, port_dst f_dport, ts f_ts from pk_r where rn = 1),
 pk_last as (select window_start, ep_lo, ep_hi, proto, ts l_ts from pk_r where rn_last = 1),
 flows as (
-  select p.window_start, any_value(h.f_ts) start_time, any_value(l.l_ts) end_time,
+  select p.window_start, min(p.event_id) as flow_seq, any_value(h.f_ts) start_time, any_value(l.l_ts) end_time,
     count(*) n_packets,
     p.proto as protocol_type,
     {_svc_case('h.f_dport', 'p.proto')} as service,
@@ -94,7 +94,7 @@ flow_feat as (
 """
 
 
-FLOWS_COLUMNS = ["window_start", "start_time", "end_time", "n_packets", "protocol_type",
+FLOWS_COLUMNS = ["window_start", "flow_seq", "start_time", "end_time", "n_packets", "protocol_type",
                  "service", "ip_src", "ip_dst", "port_src", "port_dst", "src_bytes",
                  "dst_bytes", "flag", "num_failed_logins", "is_guest_login"]
 
@@ -129,7 +129,7 @@ def _record_select() -> str:
         "dst_host_rerror_rate": rer, "dst_host_srv_rerror_rate": rer,
     }
     cols = [f"{v.get(c, '0.0::double')} as {c}" for c in K.ATTRIBUTE_COLUMNS]
-    return "window_start, ip_src as src_ip, ip_dst as dst_ip, " + ", ".join(cols)
+    return "window_start, flow_seq, ip_src as src_ip, ip_dst as dst_ip, " + ", ".join(cols)
 
 
 def flow_records_sql(window: str = "day") -> str:

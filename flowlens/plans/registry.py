@@ -20,9 +20,14 @@ from flowlens.operators import metrics as ME
 from flowlens.operators import model as MO
 from flowlens.operators import prepare as PR
 from flowlens.operators import select as SE
+from flowlens.operators import alerts as AL
+from flowlens.operators import explain as XP
+from flowlens.plans import alerting as AP
+from flowlens.plans import oracle_alert_sql as OA
 from flowlens.plans import oracle_prep_sql as OP
 from flowlens.plans import oracle_sql as O
 from flowlens.plans import prepare as PP
+from flowlens.session import write_scratch
 from flowlens.sources import records as RC
 from flowlens.sources.packets import read_packets
 
@@ -115,21 +120,9 @@ def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- E2: evaluation -----------------------------------------------------------
 
-def rule_prediction():
-    """Stand-in prediction column for the SQL-checked metric queries: fixed
-    thresholds on three stand-in attributes (integer arithmetic, so both
-    engines agree). The metric operators take any (label, prediction) pair;
-    the trained model's predictions are scored by ``model_*`` queries."""
-    qn = F.col("count").cast("int")
-    di = F.round(F.col("serror_rate") * 100).cast("int")
-    tx = F.round(F.col("rerror_rate") * 100).cast("int")
-    return (F.when(qn >= 45, "dos").when(di >= 9, "probe").when((tx >= 7) & (qn < 10), "r2l")
-             .when((di <= 1) & (tx <= 1) & (qn < 15), "u2r").otherwise("normal"))
-
-
 def _rule_scored_test(spark, sf_dir):
     test = _split(spark, sf_dir).filter(F.col(PP.SPLIT_COL))
-    return test.select(K.LABEL_COLUMN, rule_prediction().alias("prediction"))
+    return test.select(K.LABEL_COLUMN, AP.rule_prediction().alias("prediction"))
 
 
 def q_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +159,116 @@ def q_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ME.summary(ME.confusion_long(clf.predict(prep.test)))
 
 
+# -- E2: explanation ----------------------------------------------------------
+
+def _explained_test(spark, sf_dir):
+    prep, clf = _trained(spark, sf_dir)
+    scored = write_scratch(clf.predict(prep.test), "scored_test")
+    table = XP.build_leaf_table(spark, clf.forest, len(clf.features))
+    keys = RC.ROW_KEY + [K.LABEL_COLUMN, "prediction", MO.PREDICTION]
+    return prep, clf, scored, XP.shap_values(scored, clf.features, table, keep=keys)
+
+
+def q_shap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per test row, base value and Shapley value of every selected
+    feature for every class."""
+    return _explained_test(spark, sf_dir)[3]
+
+
+def q_global_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean |Shapley value| per class and feature over the test rows."""
+    prep, clf, _, sv = _explained_test(spark, sf_dir)
+    return XP.global_importance(sv, clf.features, clf.labels)
+
+
+def q_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Shapley value, feature value) pairs of class index 0."""
+    prep, clf, scored, sv = _explained_test(spark, sf_dir)
+    d = XP.direction_data(sv, RC.ROW_KEY, clf.features, 0)
+    vals = scored.select(*RC.ROW_KEY, F.array(*[F.col(f"`{c}`") for c in clf.features]).alias("_v"))
+    return (d.join(vals, RC.ROW_KEY)
+             .select(*RC.ROW_KEY, "feature", "phi",
+                     F.element_at("_v", F.col("fi") + 1).alias("feature_value")))
+
+
+def q_critical_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 + X3 + X6: the first critical true positive of the test rows and
+    its waterfall (contributions by |impact| with running total)."""
+    prep, clf = _trained(spark, sf_dir)
+    scored = clf.predict(prep.test)
+    case = XP.critical_case(scored, "l_orderkey").drop("priority")
+    case = case.orderBy("l_orderkey", "l_linenumber")
+    case = write_scratch(case, "critical_case")
+    table = XP.build_leaf_table(spark, clf.forest, len(clf.features))
+    sv = XP.shap_values(case, clf.features, table, keep=RC.ROW_KEY + [K.LABEL_COLUMN, MO.PREDICTION])
+    imp = XP.predicted_class_impacts(sv, clf.features, MO.PREDICTION)
+    return XP.waterfall(imp, RC.ROW_KEY)
+
+
+# -- E3: alerts -----------------------------------------------------------------
+
+CLEARED_AT = "2024-01-15 00:00:00"   # a "clear" pressed mid-range (T7)
+FILTER_CLASS, FILTER_IP = "MALICIOUS", "10.0.1.2"
+
+
+def _rule_alerts(spark, sf_dir):
+    return AP.rule_alerts(spark, sf_dir, BATCH_WINDOW)
+
+
+def q_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert rows (threats, and the first flow of each batch)."""
+    return _rule_alerts(spark, sf_dir)
+
+
+def q_alert_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 100 alerts kept by the service."""
+    return AL.newest(_rule_alerts(spark, sf_dir))
+
+
+def q_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 + P20–P24: newest 51 rows with severity, label and percent text."""
+    return AL.dashboard_rows(_rule_alerts(spark, sf_dir))
+
+
+def q_dashboard_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class filter and IP substring filter over the dashboard rows."""
+    return AL.filter_rows(AL.dashboard_rows(_rule_alerts(spark, sf_dir)), FILTER_CLASS, FILTER_IP)
+
+
+def q_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total alerts, threats and distinct nodes."""
+    return AL.kpis(_rule_alerts(spark, sf_dir))
+
+
+def q_kpis_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7 + A11: counters restarted at a clear time."""
+    return AL.kpis(_rule_alerts(spark, sf_dir), cleared_at=CLEARED_AT)
+
+
+def q_node_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last-seen time and ONLINE/AWAY per node."""
+    return AL.node_status(_rule_alerts(spark, sf_dir))
+
+
+def q_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows and threats per batch."""
+    return AL.batch_summary(AP.scored_by_rule(spark, sf_dir, BATCH_WINDOW))
+
+
+def q_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict row of every scored flow."""
+    return AL.verdicts(AP.scored_by_rule(spark, sf_dir, BATCH_WINDOW))
+
+
+def q_model_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 → P19 → X1/X3 → T2: flows scored by the trained forest, alert rows
+    with the top-3 feature impacts."""
+    prep, clf = _trained(spark, sf_dir)
+    rec = AP.flow_records(spark, sf_dir, BATCH_WINDOW)
+    scored = AP.scored_by_model(rec, prep.transformer, clf, BATCH_WINDOW)
+    return AP.model_alerts(spark, scored, clf)
+
+
 REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "flows": (q_flows, O.flows_sql()),
     "flow_records": (q_flow_records, O.flow_records_sql()),
@@ -184,6 +287,20 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "summary_metrics": (q_summary_metrics, OP.summary_sql()),
     "model_predictions": (q_model_predictions, None),
     "model_summary": (q_model_summary, None),
+    "shap_values": (q_shap_values, None),
+    "global_importance": (q_global_importance, None),
+    "shap_direction": (q_direction, None),
+    "critical_waterfall": (q_critical_waterfall, None),
+    "alerts": (q_alerts, OA.alerts_sql()),
+    "alert_buffer": (q_alert_buffer, OA.buffer_sql()),
+    "dashboard_rows": (q_dashboard, OA.dashboard_sql()),
+    "dashboard_filtered": (q_dashboard_filtered, OA.dashboard_filtered_sql(FILTER_CLASS, FILTER_IP)),
+    "kpis": (q_kpis, OA.kpis_sql()),
+    "kpis_after_clear": (q_kpis_cleared, OA.kpis_sql(CLEARED_AT)),
+    "node_status": (q_node_status, OA.node_status_sql()),
+    "batch_summary": (q_batch_summary, OA.batch_summary_sql()),
+    "verdicts": (q_verdicts, OA.verdicts_sql()),
+    "model_alerts": (q_model_alerts, None),
 }
 
 

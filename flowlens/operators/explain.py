@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.session import scratch_path
+from flowlens.session import scratch_path, ship_package
 
 
 @dataclass
@@ -168,6 +168,7 @@ def shap_values(df: DataFrame, features: list[str], table: LeafTable,
     """For each row of ``df``: ``keep`` columns, ``base`` array<double>
     (per class) and ``shap`` array<array<double>> ([class][feature])."""
     spark = df.sparkSession
+    ship_package(spark)
     bc = spark.sparkContext.broadcast(table)
     src = df.select(*[F.col(f"`{c}`") for c in keep],
                     F.array(*[F.col(f"`{c}`").cast("double") for c in features]).alias("_x"))

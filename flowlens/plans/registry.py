@@ -200,7 +200,8 @@ def q_critical_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = case.orderBy("l_orderkey", "l_linenumber")
     case = write_scratch(case, "critical_case")
     table = XP.build_leaf_table(spark, clf.forest, len(clf.features))
-    sv = XP.shap_values(case, clf.features, table, keep=RC.ROW_KEY + [K.LABEL_COLUMN, MO.PREDICTION])
+    sv = XP.shap_values(case, clf.features, table,
+                        keep=RC.ROW_KEY + [K.LABEL_COLUMN, "prediction", MO.PREDICTION])
     imp = XP.predicted_class_impacts(sv, clf.features, MO.PREDICTION)
     return XP.waterfall(imp, RC.ROW_KEY)
 

@@ -39,12 +39,16 @@ from pyspark.sql import types as T
 from flowlens.session import scratch_path, ship_package
 
 
+PRECOMPUTE_MAX_D = 8          # leaves with ≤ 8 distinct path features get a pattern table
+
+
 @dataclass
 class Leaf:
     features: np.ndarray      # distinct split features on the path (d,)
     z: np.ndarray             # cover-ratio product per feature (d,)
     conds: list               # per path node: (feature slot, kind, threshold/set, go_left)
     value: np.ndarray         # class distribution (C,)
+    table: np.ndarray | None = None   # (2^d, d) Shapley scalars for every o-pattern
 
 
 @dataclass
@@ -91,7 +95,13 @@ def build_leaf_table(spark: SparkSession, forest, n_features: int) -> LeafTable:
                     slot = feats.index(f)
                     z[slot] *= ratio
                     conds.append((slot, kind, thr, go_left))
-                leaves.append(Leaf(np.asarray(feats, dtype=int), z, conds, value))
+                leaf = Leaf(np.asarray(feats, dtype=int), z, conds, value)
+                d = len(feats)
+                if 0 < d <= PRECOMPUTE_MAX_D:
+                    codes = np.arange(1 << d, dtype=np.int64)
+                    pats = ((codes[:, None] >> np.arange(d)) & 1).astype(float)
+                    leaf.table = leaf_phi(pats, z)
+                leaves.append(leaf)
                 base[:] += value * (np.prod([p[4] for p in path]) if path else 1.0)
                 return
             sp = nd["split"]
@@ -133,63 +143,84 @@ def leaf_phi(o: np.ndarray, z: np.ndarray) -> np.ndarray:
             nxt[:, 1:deg + 2] += coef[:, 0:deg + 1] * o[:, j:j + 1]
             coef = nxt
             deg += 1
-        out[:, i] = (o[:, i] - z[i]) * (coef[:, :d] @ w)
+        out[:, i] = (o[:, i] - z[i]) * (coef * w).sum(axis=1)
     return out
 
 
 def shap_matrix(x: np.ndarray, table: LeafTable) -> np.ndarray:
-    """φ for a batch: x (n, F) → (n, C, F)."""
+    """φ for a batch: x (n, F) → (n, C, F).
+
+    Per leaf: the o-pattern code of every row, its Shapley scalars looked up
+    in the leaf's pattern table (or computed for the distinct patterns of the
+    batch), then added feature-major so every update is contiguous."""
     n = x.shape[0]
-    phi = np.zeros((n, table.n_classes, table.n_features))
+    acc = np.zeros((table.n_features, table.n_classes, n))
+    xt = np.ascontiguousarray(x.T)                              # (F, n)
     for leaf in table.leaves:
         d = len(leaf.features)
         if d == 0:
             continue
-        o = np.ones((n, d), dtype=bool)
+        o = [np.ones(n, dtype=bool) for _ in range(d)]
         for slot, kind, thr, go_left in leaf.conds:
-            f = leaf.features[slot]
-            if kind == "cont":
-                left = x[:, f] <= thr
-            else:
-                left = np.isin(x[:, f], list(thr))
-            o[:, slot] &= left if go_left else ~left
-        codes = o.astype(np.int64) @ (1 << np.arange(d, dtype=np.int64))
-        uniq, inv = np.unique(codes, return_inverse=True)
-        pats = ((uniq[:, None] >> np.arange(d)) & 1).astype(float)
-        s = leaf_phi(pats, leaf.z)[inv.reshape(-1)]          # (n, d)
-        contrib = s[:, None, :] * leaf.value[None, :, None]   # (n, C, d)
-        for k, f in enumerate(leaf.features):
-            phi[:, :, f] += contrib[:, :, k]
-    return phi / table.n_trees
+            col = xt[leaf.features[slot]]
+            left = col <= thr if kind == "cont" else np.isin(col, list(thr))
+            o[slot] &= left if go_left else ~left
+        codes = np.zeros(n, dtype=np.int64)
+        for slot in range(d):
+            codes |= o[slot].astype(np.int64) << slot
+        if leaf.table is not None:
+            st = leaf.table.T[:, codes]                            # (d, n)
+        else:
+            uniq, inv = np.unique(codes, return_inverse=True)
+            pats = ((uniq[:, None] >> np.arange(d)) & 1).astype(float)
+            st = leaf_phi(pats, leaf.z).T[:, inv.reshape(-1)]
+        val = leaf.value[:, None]
+        for k in range(d):
+            acc[leaf.features[k]] += val * st[k]
+    return acc.transpose(2, 1, 0) / table.n_trees
 
 
 def shap_values(df: DataFrame, features: list[str], table: LeafTable,
                 keep: list[str]) -> DataFrame:
     """For each row of ``df``: ``keep`` columns, ``base`` array<double>
-    (per class) and ``shap`` array<array<double>> ([class][feature])."""
+    (per class) and ``shap`` array<array<double>> ([class][feature]).
+
+    Runs as ``mapInArrow``: feature columns arrive as Arrow buffers, the
+    nested result arrays are built from the flat numpy buffer by offsets (no
+    per-value Python objects)."""
     spark = df.sparkSession
     ship_package(spark)
     bc = spark.sparkContext.broadcast(table)
     src = df.select(*[F.col(f"`{c}`") for c in keep],
-                    F.array(*[F.col(f"`{c}`").cast("double") for c in features]).alias("_x"))
+                    *[F.col(f"`{c}`").cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
     out_schema = T.StructType([src.schema[c] for c in keep] + [
         T.StructField("base", T.ArrayType(T.DoubleType())),
         T.StructField("shap", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    n_feat = len(features)
 
     def run(batches):
+        import pyarrow as pa
         tab = bc.value
-        base = tab.base.tolist()
-        for pdf in batches:
-            if len(pdf) == 0:
+        n_cls = tab.n_classes
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
                 continue
-            x = np.vstack(pdf["_x"].to_numpy()).astype(float)
-            phi = shap_matrix(x, tab)
-            res = pdf[keep].copy()
-            res["base"] = [base] * len(pdf)
-            res["shap"] = [p.tolist() for p in phi]
-            yield res
-
-    return src.mapInPandas(run, out_schema)
+            x = np.column_stack([rb.column(f"_f{i}").to_numpy(zero_copy_only=False)
+                                 for i in range(n_feat)]).astype(float)
+            phi = shap_matrix(x, tab)                                   # (n, C, F)
+            inner = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, n * n_cls * n_feat + 1, n_feat, dtype=np.int32)),
+                pa.array(phi.reshape(-1)))
+            outer = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, n * n_cls + 1, n_cls, dtype=np.int32)), inner)
+            base = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, n * n_cls + 1, n_cls, dtype=np.int32)),
+                pa.array(np.tile(np.asarray(tab.base, dtype=float), n)))
+            cols = [rb.column(c) for c in keep] + [base, outer]
+            yield pa.RecordBatch.from_arrays(cols, names=list(keep) + ["base", "shap"])
+
+    return src.mapInArrow(run, out_schema)
 
 
 # -- views over the Shapley table ---------------------------------------------

@@ -7,12 +7,16 @@
   to test, chosen by the smallest keys. Computed without sorting or
   windowing whole classes (the largest class can hold most of the rows):
 
-  1. a 20-bit bucket of the key; ``groupBy(class, bucket).count()`` with
-     partial aggregation — at most classes × 2^20 rows;
+  1. a ``bucket_bits``-bit bucket of the key (default 16);
+     ``groupBy(class, bucket).count()`` with partial aggregation — at most
+     classes × 2^bits rows;
   2. running counts over that small table find, per class, the boundary
      bucket and how many of its rows are still needed;
   3. rows outside their boundary bucket are decided by comparison; only the
-     rows inside it (≈ n_c / 2^20) are ranked.
+     rows inside it (≈ n_c / 2^bits) are ranked, per class.
+
+  Both sizes grow as 2^bits and n/2^bits: 16 bits suits up to ~10^10 rows;
+  raise it (≈ log2(n)/2) beyond that.
 
   The boundary table has one row per class (the category set is fixed, ≤ 6
   rows), so it is broadcast.
@@ -42,7 +46,7 @@ def default_split_key(df: DataFrame, seed: int = K.SPLIT_SEED) -> Column:
 
 def stratified_split(df: DataFrame, label_col: str = K.LABEL_COLUMN,
                      test_fraction: float = K.TEST_FRACTION, key: Column | None = None,
-                     key_bits: int = 62, bucket_bits: int = 20,
+                     key_bits: int = 62, bucket_bits: int = 16,
                      split_col: str = "is_test") -> DataFrame:
     """Add boolean ``split_col``: per class, the ``floor(n_c·f + 0.5)`` rows with
     the smallest (key, row values) are test rows, the rest train.

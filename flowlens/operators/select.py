@@ -42,14 +42,17 @@ def contingency(encoded: DataFrame, feature_cols: list[str], label_col: str = K.
 def mutual_information(encoded: DataFrame, feature_cols: list[str],
                        label_col: str = K.LABEL_COLUMN, bins: int = 32,
                        digits: int = 10) -> DataFrame:
-    """A3: (position, feature, mi) for every feature column."""
+    """A3: (position, feature, mi) for every feature column.
+
+    The marginals are window sums over the contingency table partitioned by
+    feature (≤ bins × classes rows per partition), so the rows are unpivoted
+    and counted once."""
     spark = encoded.sparkSession
     cont = contingency(encoded, feature_cols, label_col, bins)
-    n_x = cont.groupBy("pos", "bin").agg(F.sum("n_xy").alias("n_x"))
-    # class totals from one feature's slice: one row per class (bounded, broadcast)
-    n_y = (cont.filter(F.col("pos") == 0).groupBy("label").agg(F.sum("n_xy").alias("n_y"))
-               .withColumn("n_all", F.sum("n_y").over(Window.partitionBy())))
-    t = cont.join(n_x, ["pos", "bin"]).join(F.broadcast(n_y), "label")
+    by_pos = Window.partitionBy("pos")
+    t = (cont.withColumn("n_x", F.sum("n_xy").over(Window.partitionBy("pos", "bin")))
+             .withColumn("n_y", F.sum("n_xy").over(Window.partitionBy("pos", "label")))
+             .withColumn("n_all", F.sum("n_xy").over(by_pos)))
     nxy, nx, ny, n = (F.col(c).cast("double") for c in ("n_xy", "n_x", "n_y", "n_all"))
     term = (nxy / n) * F.log((nxy * n) / (nx * ny))
     mi = t.groupBy("pos").agg(F.sum(term).alias("mi"))

@@ -53,8 +53,12 @@ class Prepared:
 
 
 def labelled_split(records: DataFrame, key: Column | None = None,
-                   materialize: bool = True) -> DataFrame:
+                   materialize: bool = True, materialize_input: bool = True) -> DataFrame:
+    """Labels, then the split. The split reads its input twice (counts, then
+    decisions), so a derived input (e.g. a join) is written once first."""
     labelled = PR.label_records(records)
+    if materialize_input:
+        labelled = write_scratch(labelled, "labelled")
     split = PR.stratified_split(labelled, key=key, split_col=SPLIT_COL)
     return write_scratch(split, "split") if materialize else split
 

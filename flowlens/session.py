@@ -17,6 +17,11 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Python workers run numpy per Arrow batch; one BLAS thread each, since
+    # Spark already runs one worker per core.
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
+    "spark.executorEnv.MKL_NUM_THREADS": "1",
 }
 
 
@@ -68,6 +73,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def spread(df):
+    """Round-robin a freshly read table over the default parallelism when it
+    is stored in fewer files than that (a small table in one file and row
+    group is otherwise read by one task). Decided from the file listing only;
+    a large table has more files than cores and passes through untouched, so
+    this adds no shuffle at scale."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    if len(df.inputFiles()) < want:
+        return df.repartition(want)
+    return df
+
+
 def write_scratch(df, name: str):
     """Write ``df`` as a parquet table in the shared checkpoint folder and read
     it back: cuts lineage, survives executor loss, and later readers get

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.session import spread
+
 PACKET_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampNTZType()),
@@ -75,7 +77,7 @@ def packets_from_events(events: DataFrame) -> DataFrame:
 
 def read_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packet table derived from ``events`` under ``sf_dir``."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return packets_from_events(events)
 
 

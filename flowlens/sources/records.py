@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.session import spread
+
 from flowlens import constants as K
 
 
@@ -89,7 +91,7 @@ def records_from_lineitem(lineitem: DataFrame, orders: DataFrame,
 
 
 def read_records(spark: SparkSession, sf_dir: str, keep_key: bool = True) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     od = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return records_from_lineitem(li, od, keep_key=keep_key)
 

@@ -34,9 +34,9 @@ def window_start(ts_col: str, duration: str) -> Column:
     return F.window(F.col(ts_col), duration).start
 
 
-def with_flow_keys(packets: DataFrame, window_duration: str = "1 day") -> DataFrame:
-    """Add window start, the direction-free key (P8) as its two endpoints, and
-    per-packet indicators."""
+def packet_indicators(packets: DataFrame) -> DataFrame:
+    """Direction-free key (P8) as its two endpoints, plus per-packet
+    indicators. Keeps ``ts``; adds no window."""
     ep_src = S.endpoint("ip_src", "port_src")
     ep_dst = S.endpoint("ip_dst", "port_dst")
     src_lo = ep_src <= ep_dst          # string order, as the key sorts "ip:port" texts
@@ -45,7 +45,6 @@ def with_flow_keys(packets: DataFrame, window_duration: str = "1 day") -> DataFr
     pick = lambda lo, a, b: F.when(lo, F.col(a)).otherwise(F.col(b))
     return packets.select(
         "event_id", "ts", "proto", "bytes", "ip_src",
-        window_start("ts", window_duration).alias("window_start"),
         pick(src_lo, "ip_src", "ip_dst").alias("lo_ip"),
         pick(src_lo, "port_src", "port_dst").alias("lo_port"),
         pick(src_lo, "ip_dst", "ip_src").alias("hi_ip"),
@@ -60,20 +59,23 @@ def with_flow_keys(packets: DataFrame, window_duration: str = "1 day") -> DataFr
     )
 
 
-FLOW_KEY = ["window_start", "proto", "lo_ip", "lo_port", "hi_ip", "hi_port"]
+def with_flow_keys(packets: DataFrame, window_duration: str = "1 day") -> DataFrame:
+    """Window start (ST1), key and indicators."""
+    return packet_indicators(packets).withColumn("window_start", window_start("ts", window_duration))
 
 
-def flow_partials(packets: DataFrame, window_duration: str = "1 day") -> DataFrame:
-    """A1, aggregation step: one row per (window, direction-free key, protocol).
+KEY_NO_WINDOW = ["proto", "lo_ip", "lo_port", "hi_ip", "hi_port"]
+FLOW_KEY = ["window_start"] + KEY_NO_WINDOW
 
-    Packets are ordered by capture sequence (``event_id``), as the capture loop
-    sees them: the first packet fixes direction and start time, the last one
-    the end time. Every buffer is fixed-width, so this is a hash aggregation
-    with a map-side partial step.
-    """
-    k = with_flow_keys(packets, window_duration)
+
+def flow_aggregates() -> list[Column]:
+    """A1 aggregate expressions. Packets are ordered by capture sequence
+    (``event_id``), as the capture loop sees them: the first packet fixes
+    direction and start time, the last one the end time. Every buffer is
+    fixed-width, so Spark uses a hash aggregation with a map-side partial step
+    (and, in streaming, a compact state row per open flow)."""
     from_lo_ip = F.col("ip_src") == F.col("lo_ip")
-    return k.groupBy(*FLOW_KEY).agg(
+    return [
         F.min("event_id").alias("flow_seq"),
         F.min_by("src_is_lo", "event_id").alias("first_src_is_lo"),
         F.min_by("ts", "event_id").alias("start_time"),
@@ -85,7 +87,12 @@ def flow_partials(packets: DataFrame, window_duration: str = "1 day") -> DataFra
         F.bool_or("f_r").alias("has_r"), F.bool_or("f_a").alias("has_a"),
         F.sum("failed_hit").alias("num_failed_logins"),
         F.max("guest_hit").alias("is_guest_login"),
-    )
+    ]
+
+
+def flow_partials(packets: DataFrame, window_duration: str = "1 day") -> DataFrame:
+    """A1, aggregation step: one row per (window, direction-free key, protocol)."""
+    return with_flow_keys(packets, window_duration).groupBy(*FLOW_KEY).agg(*flow_aggregates())
 
 
 def finish_flows(agg: DataFrame) -> DataFrame:

@@ -43,14 +43,18 @@ def flow_records(spark: SparkSession, sf_dir: str, window: str) -> DataFrame:
     return FL.flow_records(read_packets(spark, sf_dir), window)
 
 
-def scored_by_rule(spark: SparkSession, sf_dir: str, window: str = "1 day",
-                   node_ip: str = DEFAULT_NODE_IP) -> DataFrame:
-    rec = flow_records(spark, sf_dir, window)
+def score_records_by_rule(rec: DataFrame, window: str = "1 day",
+                          node_ip: str = DEFAULT_NODE_IP) -> DataFrame:
     return rec.select(*_batch_cols(rec, window, node_ip),
                       rule_prediction().alias("prediction"),
                       F.col("same_srv_rate").alias("confidence"))
 
 
+def scored_by_rule(spark: SparkSession, sf_dir: str, window: str = "1 day",
+                   node_ip: str = DEFAULT_NODE_IP) -> DataFrame:
+    return score_records_by_rule(flow_records(spark, sf_dir, window), window, node_ip)
+
+
 def rule_alerts(spark: SparkSession, sf_dir: str, window: str = "1 day") -> DataFrame:
     return AL.alert_records(AL.gate(scored_by_rule(spark, sf_dir, window)))
 

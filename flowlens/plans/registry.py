@@ -27,7 +27,7 @@ from flowlens.plans import oracle_alert_sql as OA
 from flowlens.plans import oracle_prep_sql as OP
 from flowlens.plans import oracle_sql as O
 from flowlens.plans import prepare as PP
-from flowlens.session import write_scratch
+from flowlens.session import scratch_path, write_scratch
 from flowlens.sources import records as RC
 from flowlens.sources.packets import read_packets
 
@@ -270,6 +270,26 @@ def q_model_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AP.model_alerts(spark, scored, clf)
 
 
+# -- streaming ------------------------------------------------------------------
+
+STREAM_WATERMARK = "1 hour"
+
+
+def q_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1–ST4 / S6 / S8: packets landed as time-ordered files, streamed through
+    the stateful flow aggregation (daily windows, 1 hour watermark) and the
+    foreachBatch scorer; returns the alert rows written by the stream. The
+    last window stays open (no later packet moves the watermark past it)."""
+    from flowlens.streaming import live as LV
+    land = scratch_path(spark, "packets-landing")
+    LV.land_packets(read_packets(spark, sf_dir), land)
+    out = scratch_path(spark, "live-out")
+    q = LV.run_live(spark, land, out, lambda rec: AP.score_records_by_rule(rec, BATCH_WINDOW),
+                    window=BATCH_WINDOW, watermark=STREAM_WATERMARK)
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/alerts").drop("epoch")
+
+
 REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "flows": (q_flows, O.flows_sql()),
     "flow_records": (q_flow_records, O.flow_records_sql()),
@@ -302,6 +322,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "batch_summary": (q_batch_summary, OA.batch_summary_sql()),
     "verdicts": (q_verdicts, OA.verdicts_sql()),
     "model_alerts": (q_model_alerts, None),
+    "stream_alerts": (q_stream_alerts, None),
 }
 
 

@@ -41,7 +41,8 @@ def label_records(df: DataFrame, label_col: str = K.LABEL_COLUMN) -> DataFrame:
 
 def default_split_key(df: DataFrame, seed: int = K.SPLIT_SEED) -> Column:
     """Seeded 62-bit hash of the whole row."""
-    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]) & F.lit((1 << 62) - 1)
+    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+    return h.bitwiseAND(F.lit((1 << 62) - 1))
 
 
 def stratified_split(df: DataFrame, label_col: str = K.LABEL_COLUMN,

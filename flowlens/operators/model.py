@@ -140,3 +140,33 @@ def load_transformer(spark: SparkSession, path: str) -> tuple[EN.ColumnTransform
     sel = [r["feature"] for r in spark.read.json(f"{path}/selected_features")
            .orderBy("position").collect()]
     return EN.ColumnTransformer(scaler, vocab), sel
+
+
+# -- M10 / M11 ----------------------------------------------------------------
+
+def binary_label(label_col: str = K.LABEL_COLUMN):
+    """The normal / anomaly view of a label or prediction (1.0 = anomaly)."""
+    return (~F.lower(F.col(label_col)).isin(*K.NORMAL_PREDICTIONS)).cast("double")
+
+
+def train_binary(train_encoded: DataFrame, features: list[str], label_col: str = K.LABEL_COLUMN,
+                 kind: str = "logistic", max_iter: int = 50):
+    """Binary normal/anomaly detector (logistic regression or linear SVM)
+    over the encoded features, class-weighted like the multi-class model."""
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    rows = with_class_weight(train_encoded.withColumn("_y", binary_label(label_col)), "_y", "weight")
+    assembler = VectorAssembler(inputCols=features, outputCol=FEATURES)
+    est = (LogisticRegression(maxIter=max_iter) if kind == "logistic" else LinearSVC(maxIter=max_iter))
+    est = est.setFeaturesCol(FEATURES).setLabelCol("_y").setWeightCol("weight")
+    model = est.fit(assembler.transform(rows))
+    return PipelineModel(stages=[assembler, model])
+
+
+def forest_importance(clf: Classifier, k: int = 9) -> DataFrame:
+    """The forest's feature importances, top k (ties by feature order).
+    One value per feature, held by the model."""
+    spark = SparkSession.getActiveSession()
+    imp = clf.forest.featureImportances.toArray().tolist()
+    rows = [(i, f, float(v)) for i, (f, v) in enumerate(zip(clf.features, imp))]
+    df = spark.createDataFrame(rows, "position int, feature string, importance double")
+    return df.orderBy(F.col("importance").desc(), F.col("position")).limit(k)

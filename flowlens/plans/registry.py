@@ -159,6 +159,23 @@ def q_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ME.summary(ME.confusion_long(clf.predict(prep.test)))
 
 
+def q_forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-9 features by the trained forest's importance."""
+    prep, clf = _trained(spark, sf_dir)
+    return MO.forest_importance(clf, 9)
+
+
+def q_binary_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normal/anomaly logistic detector on the train split, test rows scored;
+    returns the binary confusion counts."""
+    prep = PP.prepare_records(spark, sf_dir)
+    known = prep.train.filter(F.col(K.LABEL_COLUMN) != K.UNKNOWN_CATEGORY)
+    model = MO.train_binary(known, prep.selected)
+    scored = model.transform(prep.test).withColumn("y", MO.binary_label(K.LABEL_COLUMN))
+    return ME.confusion_long(scored.select(F.col("y").alias("label"),
+                                           F.col("prediction").alias("prediction")))
+
+
 # -- E2: explanation ----------------------------------------------------------
 
 def _explained_test(spark, sf_dir):
@@ -308,6 +325,8 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "summary_metrics": (q_summary_metrics, OP.summary_sql()),
     "model_predictions": (q_model_predictions, None),
     "model_summary": (q_model_summary, None),
+    "forest_importance": (q_forest_importance, None),
+    "binary_detector": (q_binary_detector, None),
     "shap_values": (q_shap_values, None),
     "global_importance": (q_global_importance, None),
     "shap_direction": (q_direction, None),

@@ -129,3 +129,23 @@ def test_critical_case_priority(spark):
     assert XP.critical_case(df, "rid").first().rid == 2
     assert XP.critical_case(df.filter(F.col("rid") != 2), "rid").first().rid == 1
     assert XP.critical_case(df.filter(F.col("rid") == 3), "rid").first().rid == 3
+
+
+def test_report_files_and_importance(spark, trained):
+    prep, clf = trained
+    conf = ME.confusion_long(clf.predict(prep.test))
+    path = scratch_path(spark, "report")
+    ME.write_report(spark, ME.class_report(conf), ME.summary(conf), path, {"train_sec": 1.5})
+    text = "\n".join(r.value for r in spark.read.text(f"{path}/report_txt").collect())
+    assert "macro avg" in text and "weighted avg" in text
+    assert spark.read.json(f"{path}/summary").first().train_sec == 1.5
+    imp = MO.forest_importance(clf, 3).collect()
+    assert len(imp) == 3 and imp[0].importance >= imp[1].importance >= imp[2].importance
+
+
+def test_binary_detector(spark, trained):
+    prep, _ = trained
+    known = prep.train.filter(F.col("label") != "unknown")
+    m = MO.train_binary(known, prep.selected, max_iter=10)
+    out = m.transform(prep.test).select("prediction").distinct().collect()
+    assert {r.prediction for r in out} <= {0.0, 1.0}

@@ -43,6 +43,11 @@ class TrainParams:
     feature_subset: str = "0.8"
     max_bins: int = 32
     seed: int = K.SPLIT_SEED
+    # more node statistics per pass over the data → fewer passes per level;
+    # node ids cached with the data and checkpointed every 10 iterations
+    max_memory_mb: int = 1024
+    cache_node_ids: bool = True
+    checkpoint_interval: int = 10
 
 
 @dataclass
@@ -97,7 +102,9 @@ def train_classifier(train_encoded: DataFrame, features: list[str],
                                 minInstancesPerNode=p.min_instances_per_node,
                                 subsamplingRate=p.subsampling_rate,
                                 featureSubsetStrategy=p.feature_subset, maxBins=p.max_bins,
-                                seed=p.seed)
+                                seed=p.seed, maxMemoryInMB=p.max_memory_mb,
+                                cacheNodeIds=p.cache_node_ids,
+                                checkpointInterval=p.checkpoint_interval)
     forest = rf.fit(assembler.transform(rows))
     decoder = IndexToString(inputCol=PREDICTION, outputCol=PREDICTED, labels=labels)
     pipe = PipelineModel(stages=[assembler, forest, decoder])

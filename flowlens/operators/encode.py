@@ -59,21 +59,29 @@ class ScalerParams:
 
 def fit_scaler(train: DataFrame, numeric_cols: list[str], exact: bool = True,
                accuracy: int = 100000) -> ScalerParams:
-    """A4: one global aggregation over the training rows.
+    """A4: quartiles, median, min and max of each numeric column (train rows).
 
-    ``exact`` uses ``percentile`` (linear interpolation, as numpy); its
-    buffer holds the distinct values of a column, so for very high
-    cardinality columns at scale pass ``exact=False`` to merge bounded
-    quantile sketches (``percentile_approx``) instead.
+    ``exact`` finds the order statistics by distributed interval narrowing
+    (``operators.quantiles``: no task holds a column's distinct values) and
+    interpolates linearly; ``exact=False`` merges bounded quantile sketches
+    (``percentile_approx``) in one pass instead.
     """
+    q1, med, q3, lo, hi = [], [], [], [], []
+    if exact:
+        from flowlens.operators.quantiles import exact_percentiles
+        res = exact_percentiles(train, list(numeric_cols), [0.25, 0.5, 0.75])
+        for c in numeric_cols:
+            qs, mn, mx, _ = res[c]
+            qs = qs or [0.0, 0.0, 0.0]
+            q1.append(float(qs[0])); med.append(float(qs[1])); q3.append(float(qs[2]))
+            lo.append(float(mn if mn is not None else 0.0)); hi.append(float(mx if mx is not None else 0.0))
+        return ScalerParams(list(numeric_cols), q1, med, q3, lo, hi)
     aggs = []
     for i, c in enumerate(numeric_cols):
         x = _q(c).cast("double")
-        q = (F.percentile(x, [0.25, 0.5, 0.75]) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy))
-        aggs += [q.alias(f"q{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        aggs += [F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"q{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     row = train.agg(*aggs).first()
-    q1, med, q3, lo, hi = [], [], [], [], []
     for i in range(len(numeric_cols)):
         qs = row[f"q{i}"] or [0.0, 0.0, 0.0]
         q1.append(float(qs[0])); med.append(float(qs[1])); q3.append(float(qs[2]))

@@ -101,3 +101,21 @@ def test_class_weights_balanced(spark):
     df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2, "label string")
     w = {r.label: r.weight for r in PR.class_weights(df).collect()}
     assert w == pytest.approx({"a": 8 / (2 * 6), "b": 8 / (2 * 2)})
+
+
+def test_exact_quantiles_multi_level_against_numpy(spark):
+    from flowlens.operators.quantiles import exact_percentiles
+    rng = np.random.default_rng(3)
+    a = np.concatenate([rng.lognormal(3, 2, 3000), np.zeros(500), np.full(200, 7.0)])
+    b = np.round(rng.normal(0, 1, 3700), 2)
+    c = np.full(3700, 5.0)
+    df = spark.createDataFrame([(float(x), float(y), float(z)) for x, y, z in zip(a, b, c)],
+                               "a double, b double, c double")
+    got = exact_percentiles(df, ["a", "b", "c"], [0.25, 0.5, 0.75], buckets=4, final_rows=16)
+    for col, v in (("a", a), ("b", b), ("c", c)):
+        srt = np.sort(v)
+        for p, q in zip([0.25, 0.5, 0.75], got[col][0]):
+            rn = (len(v) - 1) * p
+            lo, hi = srt[math.floor(rn)], srt[math.ceil(rn)]
+            assert q == lo + (hi - lo) * (rn - math.floor(rn))
+        assert got[col][1] == v.min() and got[col][2] == v.max() and got[col][3] == len(v)

@@ -66,3 +66,14 @@ def test_stream_equals_batch_for_closed_windows(spark):
     bb = b.join(closed, "window_start").select(*s.columns)
     assert closed.count() >= b.select("window_start").distinct().count() - 1
     assert s.exceptAll(bb).count() == 0 and bb.exceptAll(s).count() == 0
+    # ST5: running KPIs over the alert folder equal the batch KPIs of those alerts
+    from flowlens.sources.requests import ALERT_SCHEMA
+    kq = (LV.kpi_stream(spark, f"{out}/alerts", ALERT_SCHEMA).writeStream.outputMode("complete")
+            .format("memory").queryName("kpi_test")
+            .option("checkpointLocation", scratch_path(spark, "kpi-ckpt")).trigger(availableNow=True).start())
+    kq.awaitTermination()
+    got = spark.sql("select * from kpi_test").first()
+    alerts = spark.read.parquet(f"{out}/alerts")
+    assert got.total_alerts == alerts.count()
+    assert got.threats == alerts.filter("lower(prediction) not in ('normal', '0')").count()
+    assert got.nodes == 1

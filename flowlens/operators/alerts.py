@@ -66,7 +66,12 @@ def dashboard_rows(alerts: DataFrame, n: int = K.DASHBOARD_ROWS,
     if cleared_at is not None:
         alerts = alerts.filter(F.col("ts") > F.to_timestamp_ntz(F.lit(cleared_at)))
     top = alerts.orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(n)
-    return top.select(
+    extra = []
+    if "features" in alerts.columns:
+        # P24: "feature:impact" with two decimals, in the map's order
+        extra.append(F.array_join(F.transform(F.map_entries("features"), lambda e: F.concat(
+            e["key"], F.lit(":"), S.impact_text(e["value"]))), " ").alias("features_text"))
+    return top.select(*extra,
         "id", "timestamp", "node_ip", "src_ip", "dst_ip", "prediction", "confidence",
         S.threat_class("prediction").alias("threat_class"),
         S.severity("prediction", "confidence").alias("severity"),

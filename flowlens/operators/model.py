@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,14 +87,19 @@ class Classifier:
 
 def train_classifier(train_encoded: DataFrame, features: list[str],
                      label_col: str = K.LABEL_COLUMN, params: TrainParams | None = None) -> Classifier:
-    """M5 + A6 + M6: alphabetical label index (unseen label at transform is an
-    error), balanced class weights, forest fit."""
+    """M5 + A6 + M6. One aggregation gives the class counts; from them the
+    alphabetical label index (an unseen label at transform is an error), the
+    balanced weights n/(k·n_c) and the number of ``unknown`` rows dropped."""
     p = params or TrainParams()
+    counts = {r[0]: r[1] for r in train_encoded.groupBy(label_col).count().collect()}  # one row per class
+    n_unknown = counts.pop(K.UNKNOWN_CATEGORY, 0)
+    labels = sorted(c for c in counts if c is not None)
+    total, k = sum(counts[c] for c in labels), len(labels)
+    weights = F.create_map(*[x for c in labels for x in (F.lit(c), F.lit(total / (k * counts[c])))])
     known = train_encoded.filter(F.col(label_col) != K.UNKNOWN_CATEGORY)
-    indexer = StringIndexer(inputCol=label_col, outputCol=LABEL_INDEX,
-                            stringOrderType="alphabetAsc", handleInvalid="error").fit(known)
-    labels = list(indexer.labels)
-    rows = with_class_weight(indexer.transform(known), label_col, "weight")
+    indexer = StringIndexerModel.from_labels(labels, inputCol=label_col, outputCol=LABEL_INDEX,
+                                             handleInvalid="error")
+    rows = indexer.transform(known).withColumn("weight", F.element_at(weights, F.col(label_col)))
     assembler = VectorAssembler(inputCols=features, outputCol=FEATURES)
     rf = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL_INDEX, weightCol="weight",
                                 predictionCol=PREDICTION, probabilityCol=PROBABILITY,
@@ -108,7 +113,7 @@ def train_classifier(train_encoded: DataFrame, features: list[str],
     forest = rf.fit(assembler.transform(rows))
     decoder = IndexToString(inputCol=PREDICTION, outputCol=PREDICTED, labels=labels)
     pipe = PipelineModel(stages=[assembler, forest, decoder])
-    return Classifier(list(features), labels, pipe)
+    return Classifier(list(features), labels, pipe, n_unknown)
 
 
 def count_unknown(train_encoded: DataFrame, label_col: str = K.LABEL_COLUMN) -> int:

@@ -59,9 +59,12 @@ def packet_indicators(packets: DataFrame) -> DataFrame:
     )
 
 
-def with_flow_keys(packets: DataFrame, window_duration: str = "1 day") -> DataFrame:
-    """Window start (ST1), key and indicators."""
-    return packet_indicators(packets).withColumn("window_start", window_start("ts", window_duration))
+def with_flow_keys(packets: DataFrame, window_duration: str = "1 day",
+                   batch_start: Column | None = None) -> DataFrame:
+    """Window start (ST1), key and indicators. ``batch_start`` replaces the
+    event-time window by a given batch start (capture batches)."""
+    w = batch_start if batch_start is not None else window_start("ts", window_duration)
+    return packet_indicators(packets).withColumn("window_start", w)
 
 
 KEY_NO_WINDOW = ["proto", "lo_ip", "lo_port", "hi_ip", "hi_port"]
@@ -90,9 +93,11 @@ def flow_aggregates() -> list[Column]:
     ]
 
 
-def flow_partials(packets: DataFrame, window_duration: str = "1 day") -> DataFrame:
+def flow_partials(packets: DataFrame, window_duration: str = "1 day",
+                  batch_start: Column | None = None) -> DataFrame:
     """A1, aggregation step: one row per (window, direction-free key, protocol)."""
-    return with_flow_keys(packets, window_duration).groupBy(*FLOW_KEY).agg(*flow_aggregates())
+    return (with_flow_keys(packets, window_duration, batch_start)
+            .groupBy(*FLOW_KEY).agg(*flow_aggregates()))
 
 
 def finish_flows(agg: DataFrame) -> DataFrame:
@@ -119,12 +124,13 @@ def finish_flows(agg: DataFrame) -> DataFrame:
     )
 
 
-def aggregate_flows(packets: DataFrame, window_duration: str = "1 day") -> DataFrame:
+def aggregate_flows(packets: DataFrame, window_duration: str = "1 day",
+                    batch_start: Column | None = None) -> DataFrame:
     """A1: bidirectional flows. Output: window_start, flow_seq (capture
     sequence of the first packet), start_time, end_time,
     n_packets, protocol_type, service, ip_src, ip_dst, port_src, port_dst,
     src_bytes, dst_bytes, flag, num_failed_logins, is_guest_login."""
-    return finish_flows(flow_partials(packets, window_duration))
+    return finish_flows(flow_partials(packets, window_duration, batch_start))
 
 
 def service_counts(flows: DataFrame) -> DataFrame:

@@ -20,10 +20,11 @@ weighted mean of leaf values; base + Σ φ = predicted probability.
 
 Distribution: the leaf table depends only on the model (its size is bounded
 by numTrees · 2^maxDepth), so it is built on the driver from the saved
-model's node table and broadcast. Rows are processed by ``mapInPandas`` in
-Arrow batches; within a leaf, rows sharing the same o-pattern are computed
-once (at most 2^d patterns per leaf). Filter rows *before* this step: the
-Python stage blocks predicate pushdown.
+model's node table and broadcast. For leaves with at most 8 distinct path
+features the Shapley scalars of all 2^d o-patterns are precomputed there, so
+a row only needs its pattern code. Rows are processed by ``mapInArrow`` in
+Arrow batches (numpy per batch, result arrays built from numpy buffers).
+Filter rows *before* this step: the Python stage blocks predicate pushdown.
 """
 
 from __future__ import annotations

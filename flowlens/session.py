@@ -100,7 +100,7 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``flowlens`` importable in Python workers (``mapInPandas`` stages):
+    """Make ``flowlens`` importable in Python workers (``mapInArrow`` stages):
     zip the package into the shared folder once per SparkContext and add it
     with ``addPyFile`` (the same as ``spark-submit --py-files``)."""
     sc = spark.sparkContext

@@ -13,7 +13,9 @@
   2. running counts over that small table find, per class, the boundary
      bucket and how many of its rows are still needed;
   3. rows outside their boundary bucket are decided by comparison; only the
-     rows inside it (≈ n_c / 2^bits) are ranked, per class.
+     rows inside it (≈ n_c / 2^bits) are ranked, per class — after identical
+     rows are collapsed to one row with a copy count, so a heavily copied row
+     does not land in one task (see ``_split_boundary``).
 
   Both sizes grow as 2^bits and n/2^bits: 16 bits suits up to ~10^10 rows;
   raise it (≈ log2(n)/2) beyond that.
@@ -48,7 +50,7 @@ def default_split_key(df: DataFrame, seed: int = K.SPLIT_SEED) -> Column:
 def stratified_split(df: DataFrame, label_col: str = K.LABEL_COLUMN,
                      test_fraction: float = K.TEST_FRACTION, key: Column | None = None,
                      key_bits: int = 62, bucket_bits: int = 16,
-                     split_col: str = "is_test") -> DataFrame:
+                     split_col: str = "is_test", copy_chunk: int = 1 << 20) -> DataFrame:
     """Add boolean ``split_col``: per class, the ``floor(n_c·f + 0.5)`` rows with
     the smallest (key, row values) are test rows, the rest train.
 
@@ -72,13 +74,33 @@ def stratified_split(df: DataFrame, label_col: str = K.LABEL_COLUMN,
     j = d.join(F.broadcast(boundary), label_col, "left")
     plain = (j.filter(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb")))
               .withColumn(split_col, F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False))))
+    edge = _split_boundary(j.filter(F.col("_b") == F.col("_bb")), cols, label_col, split_col, copy_chunk)
+    out = plain.select(*[F.col(f"`{c}`") for c in cols], split_col).unionByName(edge)
+    return out
+
+
+def _split_boundary(edge: DataFrame, cols: list[str], label_col: str, split_col: str,
+                    copy_chunk: int) -> DataFrame:
+    """Rows of each class's boundary bucket. Identical rows (same key and
+    values) are counted first — a row copied a billion times becomes one row
+    with a count — then ranked by (key, values) with running copy counts; each
+    distinct row's copies are re-emitted, the first ``need − below`` as test.
+    Copies are interchangeable, so this is the same multiset as ranking every
+    copy. Large copy groups are emitted in ``copy_chunk``-sized pieces spread
+    over tasks."""
+    q = [F.col(f"`{c}`") for c in cols]
     order = [F.col("_k")] + [F.col(f"`{c}`") for c in cols if c != label_col]
-    edge = (j.filter(F.col("_b") == F.col("_bb"))
-             .withColumn("_r", F.row_number().over(Window.partitionBy(label_col).orderBy(*order)))
-             .withColumn(split_col, F.col("_r") <= F.col("_need"))
-             .drop("_r"))
-    out = plain.unionByName(edge)
-    return out.select(*[F.col(f"`{c}`") for c in cols], split_col)
+    distinct = edge.groupBy("_k", "_need", *q).agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(label_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = distinct.withColumn("_below", F.sum("_c").over(run) - F.col("_c"))
+    ranked = ranked.withColumn("_t", F.least(F.col("_c"), F.greatest(F.lit(0), F.col("_need") - F.col("_below"))))
+    pieces = ranked.select("*", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / F.lit(copy_chunk)).cast("long"))).alias("_p"))
+    pieces = pieces.repartition("_k", "_p")
+    lo = F.col("_p") * F.lit(copy_chunk)
+    hi = F.least(F.col("_c"), lo + F.lit(copy_chunk)) - 1
+    rows = pieces.select("*", F.explode(F.sequence(lo, hi)).alias("_i"))
+    return rows.select(*q, (F.col("_i") < F.col("_t")).alias(split_col))
 
 
 def split_train_test(df: DataFrame, split_col: str = "is_test") -> tuple[DataFrame, DataFrame]:

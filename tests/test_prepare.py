@@ -119,3 +119,14 @@ def test_exact_quantiles_multi_level_against_numpy(spark):
             lo, hi = srt[math.floor(rn)], srt[math.ceil(rn)]
             assert q == lo + (hi - lo) * (rn - math.floor(rn))
         assert got[col][1] == v.min() and got[col][2] == v.max() and got[col][3] == len(v)
+
+
+def test_split_with_heavy_copies(spark):
+    # a third of the rows are copies of one row: counts stay exact, rows stay whole
+    base = spark.range(3000).select(F.col("id"), (F.col("id") % 5 == 0).cast("string").alias("label"))
+    copies = spark.range(1500).select(F.lit(7).cast("long").alias("id"), F.lit("false").alias("label"))
+    df = base.unionByName(copies)
+    out = PR.stratified_split(df, bucket_bits=2, copy_chunk=100)
+    for r in out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("t")).collect():
+        assert r.t == math.floor(r.n * 0.2 + 0.5)
+    assert out.drop("is_test").exceptAll(df).count() == 0 and df.exceptAll(out.drop("is_test")).count() == 0

@@ -4,10 +4,9 @@ Input: scored rows with ``batch`` (window start), ``seq`` (capture order in
 the batch), node/src/dst IPs, ``prediction`` and ``confidence``.
 
 * P19 "threat, or the first row of its batch": the first row is found with a
-  per-batch ``min(seq)`` (partial aggregation) joined back on the batch key,
-  not a ``row_number()`` over the batch, which would put a whole (possibly
-  huge) batch into one task. The per-batch table has one row per batch; a
-  hot batch is a skewed probe side, which AQE splits.
+  per-batch ``min(seq)`` (partial aggregation) joined back on (batch, seq) —
+  unique per row — not a ``row_number()`` over the batch, which would put a
+  whole (possibly huge) batch into one task.
 * T3/T4 keep the newest N alerts: ``orderBy(...).limit(N)`` is a per-partition
   top-N then a merge of N·partitions rows — the limit is the feature.
 """
@@ -23,13 +22,15 @@ from flowlens.functions import scalar as S
 
 def gate(scored: DataFrame, batch_col: str = "batch", seq_col: str = "seq") -> DataFrame:
     """P18 + P19: add ``is_threat`` and ``is_first``; keep threats or the first
-    row of each batch."""
-    first = scored.groupBy(batch_col).agg(F.min(seq_col).alias("_first_seq"))
-    j = scored.join(first, batch_col, "inner")
+    row of each batch. The per-batch first sequence numbers are joined on
+    (batch, seq), a key unique per row, so a batch holding most rows is not a
+    hot join key."""
+    first = (scored.groupBy(batch_col).agg(F.min(seq_col).alias(seq_col))
+                   .withColumn("is_first", F.lit(True)))
+    j = scored.join(first, [batch_col, seq_col], "left")
     return (j.withColumn("is_threat", S.is_threat("prediction"))
-             .withColumn("is_first", F.col(seq_col) == F.col("_first_seq"))
-             .filter(F.col("is_threat") | F.col("is_first"))
-             .drop("_first_seq"))
+             .withColumn("is_first", F.coalesce(F.col("is_first"), F.lit(False)))
+             .filter(F.col("is_threat") | F.col("is_first")))
 
 
 def alert_records(gated: DataFrame, ts_col: str = "alert_ts", seq_col: str = "seq",

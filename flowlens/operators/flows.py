@@ -12,10 +12,10 @@ Plan shape (batch):
 2. ``host_features`` (A2, W1, W2): the source compared every flow with every
    other in its batch (O(n²)). Here: per (window, ip_dst, service) counts with
    partial aggregation, rolled up to (window, ip_dst), and joined back to the
-   flows on (window, ip_dst, service). The count tables hold one row per key,
-   so a hot destination host is a skewed *probe* side only; AQE's skew-join
-   handling splits it. No window function is used: a ``count() over
-   (partition by ip_dst)`` would put a hot host's flows in a single task.
+   flows on (window, ip_dst, service). The count tables hold one row per key;
+   keys with very many flows are salted for the join-back. No window function
+   is used: a ``count() over (partition by ip_dst)`` would put a hot host's
+   flows in a single task.
 3. ``assemble_records`` (P11–P15): column expressions only.
 """
 
@@ -152,11 +152,26 @@ def service_counts(flows: DataFrame) -> DataFrame:
         "window_start", "ip_dst", "service", "srv_count", "count", "s0_count", "rej_count")
 
 
-def host_features(flows: DataFrame) -> DataFrame:
+def host_features(flows: DataFrame, salt_threshold: int = 1 << 20, salts: int = 32) -> DataFrame:
     """Window counters for each flow (same destination host,
-    same service), joined back on (window, ip_dst, service)."""
+    same service), joined back on (window, ip_dst, service).
+
+    Hot keys are salted: a key with more than ``salt_threshold`` flows has its
+    one counter row replicated over ``salts`` salt values and its flows spread
+    over them by capture sequence, so no single task joins all of a hot
+    host's flows. There are at most total_flows / ``salt_threshold`` hot keys,
+    so that key list is broadcast; with no hot key every salt is 0."""
+    keys = ["window_start", "ip_dst", "service"]
     counts = service_counts(flows)
-    return flows.join(counts, ["window_start", "ip_dst", "service"], "inner")
+    is_hot = F.col("srv_count") > F.lit(salt_threshold)
+    hot = counts.filter(is_hot).select(*keys).withColumn("_hot", F.lit(True))
+    f = (flows.join(F.broadcast(hot), keys, "left")
+              .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.col("flow_seq"), F.lit(salts)))
+                                    .otherwise(F.lit(0)))
+              .drop("_hot"))
+    c = counts.withColumn("_salt", F.explode(
+        F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return f.join(c, keys + ["_salt"], "inner").drop("_salt")
 
 
 def assemble_records(feat: DataFrame) -> DataFrame:

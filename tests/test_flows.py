@@ -90,3 +90,33 @@ def test_windows_split_flows(spark):
             pk(2, 5, "tcp", 10, "1.1.1.1", "2.2.2.2", 1, 2, "S")]
     flows = _flows(spark, rows, window="4 seconds")
     assert len(flows) == 2
+
+
+def test_hot_host_skew_join_path_matches(spark):
+    """One destination host with a third of all flows: the salted sort-merge
+    path gives the same records as the plain (broadcast) path."""
+    rows = []
+    for i in range(3000):
+        dst = "10.9.9.9" if i % 3 == 0 else f"10.8.{i % 40}.{i % 7}"
+        rows.append(pk(i, i % 50, "tcp", 10 + i % 5, f"10.1.{i // 250}.{i % 250}", dst, 40000 + i % 9,
+                       80 if i % 2 else 21, "S" if i % 4 else "SA"))
+    df = spark.createDataFrame(rows, PACKET_SCHEMA)
+    want = FL.flow_records(df, "1 day", materialize=False).collect()
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        flows = FL.aggregate_flows(df, "1 day")
+        got_df = FL.assemble_records(FL.host_features(flows, salt_threshold=100, salts=8))
+        got = got_df.collect()
+        plan = got_df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))

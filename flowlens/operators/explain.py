@@ -182,7 +182,7 @@ def shap_matrix(x: np.ndarray, table: LeafTable) -> np.ndarray:
 
 
 def shap_values(df: DataFrame, features: list[str], table: LeafTable,
-                keep: list[str]) -> DataFrame:
+                keep: list[str], with_values: bool = False) -> DataFrame:
     """For each row of ``df``: ``keep`` columns, ``base`` array<double>
     (per class) and ``shap`` array<array<double>> ([class][feature]).
 
@@ -196,7 +196,8 @@ def shap_values(df: DataFrame, features: list[str], table: LeafTable,
                     *[F.col(f"`{c}`").cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
     out_schema = T.StructType([src.schema[c] for c in keep] + [
         T.StructField("base", T.ArrayType(T.DoubleType())),
-        T.StructField("shap", T.ArrayType(T.ArrayType(T.DoubleType())))])
+        T.StructField("shap", T.ArrayType(T.ArrayType(T.DoubleType())))]
+        + ([T.StructField("values", T.ArrayType(T.DoubleType()))] if with_values else []))
     n_feat = len(features)
 
     def run(batches):
@@ -219,7 +220,12 @@ def shap_values(df: DataFrame, features: list[str], table: LeafTable,
                 pa.array(np.arange(0, n * n_cls + 1, n_cls, dtype=np.int32)),
                 pa.array(np.tile(np.asarray(tab.base, dtype=float), n)))
             cols = [rb.column(c) for c in keep] + [base, outer]
-            yield pa.RecordBatch.from_arrays(cols, names=list(keep) + ["base", "shap"])
+            names = list(keep) + ["base", "shap"]
+            if with_values:
+                cols.append(pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, n * n_feat + 1, n_feat, dtype=np.int32)), pa.array(x.reshape(-1))))
+                names.append("values")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return src.mapInArrow(run, out_schema)
 
@@ -264,12 +270,15 @@ def global_importance(shap: DataFrame, features: list[str], classes: list[str])
                          "mean_abs_impact"))
 
 
-def direction_data(shap: DataFrame, x_df_cols: list[str], features: list[str],
+def direction_data(shap: DataFrame, row_keys: list[str], features: list[str],
                    class_index: int = 0) -> DataFrame:
-    """(row keys, feature, phi, feature value) for one class."""
+    """(row keys, feature, phi, feature value) for one class; ``shap``
+    must carry ``values`` (``shap_values(..., with_values=True)``)."""
     names = F.array(*[F.lit(f) for f in features])
-    return (shap.select(*x_df_cols, F.posexplode(F.element_at("shap", class_index + 1)).alias("fi", "phi"))
-                .withColumn("feature", F.element_at(names, F.col("fi") + 1)))
+    pairs = F.arrays_zip(F.element_at("shap", class_index + 1).alias("phi"), F.col("values").alias("v"))
+    return (shap.select(*row_keys, F.posexplode(pairs).alias("fi", "pv"))
+                .select(*row_keys, F.element_at(names, F.col("fi") + 1).alias("feature"),
+                        F.col("pv.phi").alias("phi"), F.col("pv.v").alias("feature_value")))
 
 
 def waterfall(impacts: DataFrame, row_keys: list[str]) -> DataFrame:

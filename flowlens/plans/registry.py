@@ -178,12 +178,13 @@ def q_binary_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- E2: explanation ----------------------------------------------------------
 
-def _explained_test(spark, sf_dir):
+def _explained_test(spark, sf_dir, with_values=False):
     prep, clf = _trained(spark, sf_dir)
     scored = write_scratch(clf.predict(prep.test), "scored_test")
     table = XP.build_leaf_table(spark, clf.forest, len(clf.features))
     keys = RC.ROW_KEY + [K.LABEL_COLUMN, "prediction", MO.PREDICTION]
-    return prep, clf, scored, XP.shap_values(scored, clf.features, table, keep=keys)
+    return prep, clf, scored, XP.shap_values(scored, clf.features, table, keep=keys,
+                                             with_values=with_values)
 
 
 def q_shap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,12 +201,8 @@ def q_global_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(Shapley value, feature value) pairs of class index 0."""
-    prep, clf, scored, sv = _explained_test(spark, sf_dir)
-    d = XP.direction_data(sv, RC.ROW_KEY, clf.features, 0)
-    vals = scored.select(*RC.ROW_KEY, F.array(*[F.col(f"`{c}`") for c in clf.features]).alias("_v"))
-    return (d.join(vals, RC.ROW_KEY)
-             .select(*RC.ROW_KEY, "feature", "phi",
-                     F.element_at("_v", F.col("fi") + 1).alias("feature_value")))
+    prep, clf, scored, sv = _explained_test(spark, sf_dir, with_values=True)
+    return XP.direction_data(sv, RC.ROW_KEY, clf.features, 0)
 
 
 def q_critical_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,15 @@ class ColumnTransformer:
     def feature_names(self) -> list[str]:
         return list(self.scaler.columns) + self.vocab.feature_names()
 
+    def constant_features(self) -> set:
+        """Encoded columns that are constant on the fitting rows: numeric
+        columns with min = max, one-hot columns of a single-valued nominal."""
+        out = {c for i, c in enumerate(self.scaler.columns) if self.scaler.x_min[i] == self.scaler.x_max[i]}
+        for c in self.vocab.columns:
+            if len(self.vocab.values[c]) == 1:
+                out.add(f"{c}_{self.vocab.values[c][0]}")
+        return out
+
     def columns(self) -> list[Column]:
         num = [scaled_column(self.scaler, i).alias(c) for i, c in enumerate(self.scaler.columns)]
         return num + onehot_columns(self.vocab)

@@ -31,24 +31,27 @@ def bin_expr(c: str, bins: int) -> Column:
 
 
 def contingency(encoded: DataFrame, feature_cols: list[str], label_col: str = K.LABEL_COLUMN,
-                bins: int = 32) -> DataFrame:
-    """(pos, bin, label, n_xy) over all rows of ``encoded``."""
+                bins: int = 32, skip: set | None = None) -> DataFrame:
+    """(pos, bin, label, n_xy) over all rows of ``encoded`` (columns in
+    ``skip`` are left out)."""
+    skip = skip or set()
     pairs = F.array(*[F.struct(F.lit(i).alias("pos"), bin_expr(c, bins).alias("bin"))
-                      for i, c in enumerate(feature_cols)])
+                      for i, c in enumerate(feature_cols) if c not in skip])
     long = encoded.select(_q(label_col).alias("label"), F.inline(pairs))
     return long.groupBy("pos", "bin", "label").agg(F.count(F.lit(1)).alias("n_xy"))
 
 
 def mutual_information(encoded: DataFrame, feature_cols: list[str],
                        label_col: str = K.LABEL_COLUMN, bins: int = 32,
-                       digits: int = 10) -> DataFrame:
+                       digits: int = 10, constant: set | None = None) -> DataFrame:
     """A3: (position, feature, mi) for every feature column.
 
     The marginals are window sums over the contingency table partitioned by
     feature (≤ bins × classes rows per partition), so the rows are unpivoted
-    and counted once."""
+    and counted once. Columns known to be ``constant`` on these rows have a
+    single bin, hence MI exactly 0, and are not unpivoted."""
     spark = encoded.sparkSession
-    cont = contingency(encoded, feature_cols, label_col, bins)
+    cont = contingency(encoded, feature_cols, label_col, bins, skip=constant)
     by_pos = Window.partitionBy("pos")
     t = (cont.withColumn("n_x", F.sum("n_xy").over(Window.partitionBy("pos", "bin")))
              .withColumn("n_y", F.sum("n_xy").over(Window.partitionBy("pos", "label")))

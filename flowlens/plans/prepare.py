@@ -73,7 +73,7 @@ def prepare(records: DataFrame, key_cols: list[str], key: Column | None = None,
     if materialize:
         encoded = write_scratch(encoded, "encoded")
     scores = SE.mutual_information(encoded.filter(~F.col(SPLIT_COL)), tr.feature_names,
-                                   K.LABEL_COLUMN, bins=bins)
+                                   K.LABEL_COLUMN, bins=bins, constant=tr.constant_features())
     selected = SE.selected_feature_list(SE.select_k_best(scores, k))
     return Prepared(split, tr, encoded, scores, selected)
 

@@ -176,6 +176,15 @@ def q_binary_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            F.col("prediction").alias("prediction")))
 
 
+def q_training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 end to end (S2–S5, S10, A13): prepare, write processed tables, train,
+    evaluate, persist model and report; returns the summary row with timings."""
+    from flowlens.plans import train as TR
+    out = scratch_path(spark, "training-run")
+    summary = TR.run_training_on_records(spark, sf_dir, out)
+    return spark.createDataFrame([summary])
+
+
 # -- E2: explanation ----------------------------------------------------------
 
 def _explained_test(spark, sf_dir, with_values=False):
@@ -323,6 +332,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "model_predictions": (q_model_predictions, None),
     "model_summary": (q_model_summary, None),
     "forest_importance": (q_forest_importance, None),
+    "training_run": (q_training_run, None),
     "binary_detector": (q_binary_detector, None),
     "shap_values": (q_shap_values, None),
     "global_importance": (q_global_importance, None),

@@ -46,9 +46,9 @@ def read_request_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(REQUEST_SCHEMA).json(path)
 
 
-def request_records(req: DataFrame) -> DataFrame:
+def request_records(req: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Requests → node/src/dst/timestamp + the 41 attributes, bound by name.
-    IP defaults are applied here."""
+    IP defaults are applied here; ``keep`` columns pass through."""
     attrs = []
     for c in K.ATTRIBUTE_COLUMNS:
         v = F.element_at(F.col("features"), F.lit(c))
@@ -57,7 +57,7 @@ def request_records(req: DataFrame) -> DataFrame:
         else:
             attrs.append(F.coalesce(v.cast("double"), F.lit(0.0)).alias(c))
     return req.select(
-        "node_ip",
+        *(keep or []), "node_ip",
         F.coalesce(F.col("src_ip"), F.lit("0.0.0.0")).alias("src_ip"),
         F.coalesce(F.col("dst_ip"), F.lit("0.0.0.0")).alias("dst_ip"),
         "timestamp",

@@ -149,3 +149,26 @@ def test_binary_detector(spark, trained):
     m = MO.train_binary(known, prep.selected, max_iter=10)
     out = m.transform(prep.test).select("prediction").distinct().collect()
     assert {r.prediction for r in out} <= {0.0, 1.0}
+
+
+def test_training_run_and_request_scoring(spark):
+    from flowlens.plans import alerting as AP
+    from flowlens.plans import registry as R
+    from flowlens.plans import serve as SV
+    from flowlens.plans import train as TR
+    from flowlens.sources import requests as RQ
+    out = scratch_path(spark, "train-run")
+    summ = TR.run_training_on_records(spark, SF_SMALL, out, params=MO.TrainParams(num_trees=5))
+    assert summ["support"] > 0 and summ["train_sec"] > 0 and 0 <= summ["accuracy"] <= 1
+    assert spark.read.parquet(f"{out}/processed/train").count() > 0
+    # requests built from flow records, two files = two batches
+    rec = AP.flow_records(spark, SF_SMALL, R.BATCH_WINDOW)
+    req_path = scratch_path(spark, "requests-in")
+    RQ.requests_from_records(rec, "192.168.1.9").repartition(2).write.mode("overwrite").json(req_path)
+    alerts = SV.score_request_files(spark, req_path, f"{out}/model", out_dir=out).collect()
+    verdicts = spark.read.parquet(f"{out}/verdicts")
+    assert verdicts.count() == rec.count()
+    assert len(alerts) >= 2 and all(len(a.features) == 3 for a in alerts)
+    firsts = {a.seq for a in alerts}
+    assert len({r.batch for r in verdicts.select("batch").distinct().collect()}) == 2
+    assert firsts

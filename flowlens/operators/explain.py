@@ -270,6 +270,23 @@ def global_importance(shap: DataFrame, features: list[str], classes: list[str])
                          "mean_abs_impact"))
 
 
+def shap_long(shap: DataFrame, row_keys: list[str], features: list[str],
+              classes: list[str]) -> DataFrame:
+    """The long table (row keys…, class, feature, phi[, feature_value])
+    of a Shapley result (``values`` is used when present)."""
+    cls = F.array(*[F.lit(c) for c in classes])
+    names = F.array(*[F.lit(f) for f in features])
+    has_v = "values" in shap.columns
+    per_class = shap.select(*row_keys, *(["values"] if has_v else []),
+                            F.posexplode("shap").alias("ci", "row"))
+    cells = per_class.select("*", F.posexplode("row").alias("fi", "phi"))
+    out = [*row_keys, F.element_at(cls, F.col("ci") + 1).alias("class"),
+           F.element_at(names, F.col("fi") + 1).alias("feature"), "phi"]
+    if has_v:
+        out.append(F.element_at("values", F.col("fi") + 1).alias("feature_value"))
+    return cells.select(*out)
+
+
 def direction_data(shap: DataFrame, row_keys: list[str], features: list[str],
                    class_index: int = 0) -> DataFrame:
     """(row keys, feature, phi, feature value) for one class; ``shap``

@@ -75,6 +75,38 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+RAW_PACKET_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("has_ip", T.BooleanType()),
+    T.StructField("has_tcp", T.BooleanType()),
+    T.StructField("has_udp", T.BooleanType()),
+    T.StructField("has_icmp", T.BooleanType()),
+    T.StructField("bytes", T.LongType()),
+    T.StructField("ip_src", T.StringType()),
+    T.StructField("ip_dst", T.StringType()),
+    T.StructField("port_src", T.IntegerType()),
+    T.StructField("port_dst", T.IntegerType()),
+    T.StructField("tcp_flags", T.StringType()),
+    T.StructField("payload", T.BinaryType()),
+])
+
+
+def normalize_packets(raw: DataFrame) -> DataFrame:
+    """Decoded capture rows → packet schema. Non-IP packets are dropped;
+    the protocol is tcp, udp, icmp or other (in that order); ports are 0
+    unless TCP or UDP; flags are kept for TCP only. The payload stays bytes."""
+    from flowlens.functions.scalar import protocol_tag
+    proto = protocol_tag("has_tcp", "has_udp", "has_icmp")
+    tcp_or_udp = F.col("has_tcp") | F.col("has_udp")
+    return raw.filter(F.col("has_ip")).select(
+        "event_id", "ts", proto.alias("proto"), "bytes", "ip_src", "ip_dst",
+        F.when(tcp_or_udp, F.col("port_src")).otherwise(0).cast("int").alias("port_src"),
+        F.when(tcp_or_udp, F.col("port_dst")).otherwise(0).cast("int").alias("port_dst"),
+        F.when(F.col("has_tcp"), F.coalesce(F.col("tcp_flags"), F.lit(""))).otherwise("").alias("tcp_flags"),
+        "payload")
+
+
 def read_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packet table derived from ``events`` under ``sf_dir``."""
     events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))

@@ -120,3 +120,18 @@ def test_hot_host_skew_join_path_matches(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert "SortMergeJoin" in plan
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+
+def test_normalize_raw_packets(spark):
+    from flowlens.sources.packets import RAW_PACKET_SCHEMA, normalize_packets
+    raw = spark.createDataFrame([
+        (1, T0, True, True, False, False, 60, "1.1.1.1", "2.2.2.2", 4000, 80, "S", b"x"),
+        (2, T0, True, False, True, False, 60, "1.1.1.1", "2.2.2.2", 5000, 53, "S", b"x"),
+        (3, T0, True, False, False, True, 60, "1.1.1.1", "2.2.2.2", 7, 9, "S", b"x"),
+        (4, T0, True, False, False, False, 60, "1.1.1.1", "2.2.2.2", 7, 9, None, b"x"),
+        (5, T0, False, True, False, False, 60, None, None, 1, 2, "S", b"x")], RAW_PACKET_SCHEMA)
+    got = [(r.proto, r.port_src, r.port_dst, r.tcp_flags) for r in normalize_packets(raw).orderBy("event_id").collect()]
+    assert got == [("tcp", 4000, 80, "S"), ("udp", 5000, 53, ""), ("icmp", 0, 0, ""), ("other", 0, 0, "")]
+    flows = FL.aggregate_flows(normalize_packets(raw)).collect()
+    assert sorted(f.service for f in flows) == ["domain_u", "eco_i", "http", "other"]

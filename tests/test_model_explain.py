@@ -93,10 +93,14 @@ def test_shapley_equals_brute_force_and_is_additive(spark):
     prob = np.array([r.probability.toArray() for r in m.transform(v).limit(12).collect()])
     np.testing.assert_allclose(tab.base[None, :] + phi.sum(axis=2), prob, atol=1e-12)
     # distributed path gives the same numbers
-    sv = XP.shap_values(df.limit(12), ["a", "b", "c"], tab, keep=["a", "b", "c"]).collect()
+    svdf = XP.shap_values(df.limit(12), ["a", "b", "c"], tab, keep=["a", "b", "c"], with_values=True)
+    sv = svdf.collect()
     got = {(r.a, r.b, r.c): np.array(r.shap) for r in sv}
     for i in range(len(x)):
         np.testing.assert_allclose(got[tuple(x[i])], phi[i], atol=1e-12)
+    long = XP.shap_long(svdf, ["a", "b", "c"], ["f", "g", "h"], ["k0", "k1", "k2"]).collect()
+    assert len(long) == len(sv) * 3 * 3
+    assert all(r.feature_value == {"f": r.a, "g": r.b, "h": r.c}[r.feature] for r in long)
 
 
 def test_top_impacts_tie_by_feature_order_and_waterfall(spark):

@@ -152,7 +152,8 @@ def service_counts(flows: DataFrame) -> DataFrame:
         "window_start", "ip_dst", "service", "srv_count", "count", "s0_count", "rej_count")
 
 
-def host_features(flows: DataFrame, salt_threshold: int = 1 << 20, salts: int = 32) -> DataFrame:
+def host_features(flows: DataFrame, salt_threshold: int = 1 << 20, salts: int = 32,
+                  materialize: bool = False) -> DataFrame:
     """Window counters for each flow (same destination host,
     same service), joined back on (window, ip_dst, service).
 
@@ -160,9 +161,13 @@ def host_features(flows: DataFrame, salt_threshold: int = 1 << 20, salts: int =
     one counter row replicated over ``salts`` salt values and its flows spread
     over them by capture sequence, so no single task joins all of a hot
     host's flows. There are at most total_flows / ``salt_threshold`` hot keys,
-    so that key list is broadcast; with no hot key every salt is 0."""
+    so that key list is broadcast; with no hot key every salt is 0. With
+    ``materialize`` the counter table (one row per key) is written once, as
+    it is read twice."""
     keys = ["window_start", "ip_dst", "service"]
     counts = service_counts(flows)
+    if materialize:
+        counts = write_scratch(counts, "host-counts")
     is_hot = F.col("srv_count") > F.lit(salt_threshold)
     hot = counts.filter(is_hot).select(*keys).withColumn("_hot", F.lit(True))
     f = (flows.join(F.broadcast(hot), keys, "left")
@@ -232,4 +237,4 @@ def flow_records(packets: DataFrame, window_duration: str = "1 day",
     flows = aggregate_flows(packets, window_duration)
     if materialize:
         flows = write_scratch(flows, "flows")
-    return assemble_records(host_features(flows))
+    return assemble_records(host_features(flows, materialize=materialize))

@@ -100,20 +100,19 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``flowlens`` importable in Python workers (``mapInArrow`` stages):
-    zip the package into the shared folder once per SparkContext and add it
-    with ``addPyFile`` (the same as ``spark-submit --py-files``)."""
+    """Make ``flowlens`` importable in Python workers (``mapInArrow`` stages).
+
+    On a cluster the package is shipped the usual way (``spark-submit
+    --py-files flowlens.zip``) and nothing happens here. In local mode (tests,
+    bench) the package is zipped into the checkpoint folder once per
+    SparkContext and added with ``addPyFile``."""
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _SHIPPED:
+    if key in _SHIPPED or not sc.master.startswith("local"):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    base = ensure_checkpoint_dir(spark)
-    if "://" in base and not base.startswith("file:"):
-        # a remote shared folder: build locally, Spark copies it to the executors
-        base = tempfile.mkdtemp(prefix="flowlens-pkg-")
-    base = base.replace("file:", "")
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
     os.makedirs(base, exist_ok=True)
     zpath = os.path.join(base, f"flowlens-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:

@@ -157,6 +157,10 @@ class ColumnTransformer:
     def feature_names(self) -> list[str]:
         return list(self.scaler.columns) + self.vocab.feature_names()
 
+    def onehot_sources(self) -> dict[str, tuple[str, str]]:
+        """One-hot feature name -> (nominal column, value)."""
+        return {f"{c}_{v}": (c, v) for c in self.vocab.columns for v in self.vocab.values[c]}
+
     def constant_features(self) -> set:
         """Encoded columns that are constant on the fitting rows: numeric
         columns with min = max, one-hot columns of a single-valued nominal."""

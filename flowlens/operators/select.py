@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens import constants as K
+from flowlens.session import write_scratch
 
 
 def _q(c: str) -> Column:
@@ -31,27 +32,61 @@ def bin_expr(c: str, bins: int) -> Column:
 
 
 def contingency(encoded: DataFrame, feature_cols: list[str], label_col: str = K.LABEL_COLUMN,
-                bins: int = 32, skip: set | None = None) -> DataFrame:
-    """(pos, bin, label, n_xy) over all rows of ``encoded`` (columns in
-    ``skip`` are left out)."""
-    skip = skip or set()
-    pairs = F.array(*[F.struct(F.lit(i).alias("pos"), bin_expr(c, bins).alias("bin"))
-                      for i, c in enumerate(feature_cols) if c not in skip])
-    long = encoded.select(_q(label_col).alias("label"), F.inline(pairs))
-    return long.groupBy("pos", "bin", "label").agg(F.count(F.lit(1)).alias("n_xy"))
+                bins: int = 32, skip: set | None = None,
+                onehot: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """(pos, bin, label, n_xy) over all rows of ``encoded``.
+
+    Columns in ``skip`` are left out. One-hot columns listed in ``onehot``
+    (feature -> (nominal column, value)) are counted from the nominal column
+    itself — one entry per row per nominal column, not one per value: bin
+    ``bins-1`` is n(c = v, y) and bin 0 is n_y − n(c = v, y), with n_y from a
+    class-total entry."""
+    skip = set(skip or ())
+    onehot = {f: cv for f, cv in (onehot or {}).items() if f not in skip}
+    pos = {c: i for i, c in enumerate(feature_cols)}
+    entries = [F.struct(F.lit(i).alias("pos"), bin_expr(c, bins).alias("bin"))
+               for i, c in enumerate(feature_cols) if c not in skip and c not in onehot]
+    by_col: dict[str, dict[str, int]] = {}
+    for f, (c, v) in onehot.items():
+        by_col.setdefault(c, {})[v] = pos[f]
+    for c, vals in by_col.items():
+        m = F.create_map(*[x for v, p in vals.items() for x in (F.lit(v), F.lit(p))])
+        p = F.element_at(m, _q(c).cast("string"))
+        entries.append(F.when(p.isNotNull(), F.struct(p.alias("pos"), F.lit(bins - 1).alias("bin"))))
+    if onehot:
+        entries.append(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("bin")))   # class totals
+    arr = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    long = encoded.select(_q(label_col).alias("label"), F.inline(arr))
+    cont = long.groupBy("pos", "bin", "label").agg(F.count(F.lit(1)).alias("n_xy"))
+    if not onehot:
+        return cont
+    cont = write_scratch(cont, "contingency")     # small; read three times below
+    oh_pos = sorted(pos[f] for f in onehot)
+    totals = cont.filter(F.col("pos") == -1).select("label", F.col("n_xy").alias("n_y"))
+    # (one-hot position, class) pairs: the class-total rows (one per class)
+    # each expanded by the literal list of one-hot positions
+    pairs = totals.select("label", "n_y", F.explode(F.array(*[F.lit(p) for p in oh_pos])).alias("pos"))
+    ones = cont.filter(F.col("bin") == bins - 1).select("pos", "label", F.col("n_xy").alias("n1"))
+    zeros = (pairs.join(ones, ["pos", "label"], "left")
+                  .select("pos", F.lit(0).alias("bin"), "label",
+                          (F.col("n_y") - F.coalesce(F.col("n1"), F.lit(0))).alias("n_xy"))
+                  .filter(F.col("n_xy") > 0))
+    return cont.filter(F.col("pos") >= 0).unionByName(zeros)
 
 
 def mutual_information(encoded: DataFrame, feature_cols: list[str],
                        label_col: str = K.LABEL_COLUMN, bins: int = 32,
-                       digits: int = 10, constant: set | None = None) -> DataFrame:
+                       digits: int = 10, constant: set | None = None,
+                       onehot: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """A3: (position, feature, mi) for every feature column.
 
     The marginals are window sums over the contingency table partitioned by
     feature (≤ bins × classes rows per partition), so the rows are unpivoted
     and counted once. Columns known to be ``constant`` on these rows have a
-    single bin, hence MI exactly 0, and are not unpivoted."""
+    single bin, hence MI exactly 0, and are not unpivoted; one-hot columns
+    can be counted from their nominal column (``onehot``)."""
     spark = encoded.sparkSession
-    cont = contingency(encoded, feature_cols, label_col, bins, skip=constant)
+    cont = contingency(encoded, feature_cols, label_col, bins, skip=constant, onehot=onehot)
     by_pos = Window.partitionBy("pos")
     t = (cont.withColumn("n_x", F.sum("n_xy").over(Window.partitionBy("pos", "bin")))
              .withColumn("n_y", F.sum("n_xy").over(Window.partitionBy("pos", "label")))

@@ -69,11 +69,12 @@ def prepare(records: DataFrame, key_cols: list[str], key: Column | None = None,
     split = labelled_split(records, key, materialize)
     train = split.filter(~F.col(SPLIT_COL))
     tr = EN.fit_transformer(train, K.NUMERIC_COLUMNS, K.NOMINAL_COLUMNS, exact=exact)
-    encoded = tr.transform(split, keep=key_cols + [K.LABEL_COLUMN, SPLIT_COL])
+    encoded = tr.transform(split, keep=key_cols + [K.LABEL_COLUMN, SPLIT_COL] + K.NOMINAL_COLUMNS)
     if materialize:
         encoded = write_scratch(encoded, "encoded")
     scores = SE.mutual_information(encoded.filter(~F.col(SPLIT_COL)), tr.feature_names,
-                                   K.LABEL_COLUMN, bins=bins, constant=tr.constant_features())
+                                   K.LABEL_COLUMN, bins=bins, constant=tr.constant_features(),
+                                   onehot=tr.onehot_sources())
     selected = SE.selected_feature_list(SE.select_k_best(scores, k))
     return Prepared(split, tr, encoded, scores, selected)
 

@@ -130,3 +130,17 @@ def test_split_with_heavy_copies(spark):
     for r in out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("t")).collect():
         assert r.t == math.floor(r.n * 0.2 + 0.5)
     assert out.drop("is_test").exceptAll(df).count() == 0 and df.exceptAll(out.drop("is_test")).count() == 0
+
+
+def test_mutual_information_onehot_from_nominal(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 500)
+    svc = np.where(y == 1, "http", rng.choice(["ftp", "smtp", "http"], 500))
+    df = spark.createDataFrame([(str(s), str(k)) for s, k in zip(svc, y)], "service string, label string")
+    v = EN.fit_vocabulary(df, ["service"])
+    tr = EN.ColumnTransformer(EN.ScalerParams([], [], [], [], [], []), v)
+    enc = tr.transform(df, keep=["service", "label"])
+    plain = {r.feature: r.mi for r in SE.mutual_information(enc, tr.feature_names).collect()}
+    fast = {r.feature: r.mi for r in SE.mutual_information(enc, tr.feature_names,
+                                                             onehot=tr.onehot_sources()).collect()}
+    assert plain == pytest.approx(fast, abs=1e-12) and max(plain.values()) > 0

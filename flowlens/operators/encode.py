@@ -16,7 +16,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _q(c: str) -> Column:
@@ -215,5 +214,3 @@ def conform_features(df: DataFrame, selected: list[str], keep: list[str] | None
     cols = [(_q(c).cast("double") if c in df.columns else F.lit(0.0)).alias(c) for c in selected]
     return df.select(*[_q(k) for k in keep], *cols)
 
-
-NUMERIC = T.DoubleType()

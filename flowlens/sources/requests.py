@@ -79,13 +79,24 @@ def write_requests(req: DataFrame, path: str) -> None:
     req.write.mode("overwrite").json(path)
 
 
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    """Append alert rows to the alert table."""
-    alerts.write.mode("append").parquet(path)
+ALERT_TABLE_SCHEMA = T.StructType(ALERT_SCHEMA.fields + [T.StructField("alert_date", T.DateType())])
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ALERT_SCHEMA).parquet(path)
+def append_alerts(alerts: DataFrame, path: str) -> None:
+    """Append alert rows to the alert table, partitioned by day so that
+    time-bounded reads (after a clear, newest alerts) prune partitions."""
+    (alerts.withColumn("alert_date", F.to_date("ts"))
+           .write.mode("append").partitionBy("alert_date").parquet(path))
+
+
+def read_alerts(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """The alert table; ``since`` keeps alerts after that time, pruning the
+    day partitions before it."""
+    df = spark.read.schema(ALERT_TABLE_SCHEMA).parquet(path)
+    if since is not None:
+        t = F.to_timestamp_ntz(F.lit(since))
+        df = df.filter((F.col("alert_date") >= F.to_date(t)) & (F.col("ts") > t))
+    return df
 
 
 def publish_verdicts(verdicts: DataFrame, path: str) -> None:

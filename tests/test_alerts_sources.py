@@ -105,3 +105,8 @@ def test_alert_append_sink(spark):
     RQ.append_alerts(alerts, path)
     assert RQ.read_alerts(spark, path).count() == 2 * alerts.count()
     assert alerts.filter(F.length("id") != 8).count() == 0
+    since = "2024-01-20 00:00:00"
+    recent = RQ.read_alerts(spark, path, since=since)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(alert_date" in plan
+    assert recent.count() == 2 * alerts.filter(F.col("ts") > F.to_timestamp_ntz(F.lit(since))).count()

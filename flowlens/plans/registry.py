@@ -301,8 +301,8 @@ STREAM_WATERMARK = "1 hour"
 def q_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1–ST4 / S6 / S8: packets landed as time-ordered files, streamed through
     the stateful flow aggregation (daily windows, 1 hour watermark) and the
-    foreachBatch scorer; returns the alert rows written by the stream. The
-    last window stays open (no later packet moves the watermark past it)."""
+    foreachBatch scorer; returns the alert rows written by the stream: those of
+    every window the final watermark (max event time − 1 hour) has closed."""
     from flowlens.streaming import live as LV
     land = scratch_path(spark, "packets-landing")
     LV.land_packets(read_packets(spark, sf_dir), land)
@@ -348,7 +348,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "batch_summary": (q_batch_summary, OA.batch_summary_sql()),
     "verdicts": (q_verdicts, OA.verdicts_sql()),
     "model_alerts": (q_model_alerts, None),
-    "stream_alerts": (q_stream_alerts, None),
+    "stream_alerts": (q_stream_alerts, OA.stream_alerts_sql(STREAM_WATERMARK)),
 }
 
 

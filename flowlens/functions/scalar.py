@@ -166,3 +166,26 @@ def alert_id(*cols) -> Column:
 def timestamp_text(ts) -> Column:
     """``yyyy-MM-dd HH:mm:ss``."""
     return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")
+
+
+# -- time without the session time zone ----------------------------------------
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def micros_between(start, end) -> Column:
+    """Microseconds from ``start`` to ``end`` (TIMESTAMP_NTZ), independent of
+    the session time zone (no DST shifts)."""
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+
+
+def ntz_to_event_time(ts) -> Column:
+    """TIMESTAMP_NTZ → TIMESTAMP with the same wall-clock reading in UTC, for
+    watermarks and windows; independent of the session time zone."""
+    return F.timestamp_micros(micros_between(_epoch(), ts))
+
+
+def event_time_to_ntz(ts) -> Column:
+    """Inverse of ``ntz_to_event_time``."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(ts)), _epoch())

@@ -108,8 +108,7 @@ def node_status(alerts: DataFrame, now: str | None = None) -> DataFrame:
         last = last.withColumn("_now", F.max("last_seen").over(Window.partitionBy()))
     else:
         last = last.withColumn("_now", F.to_timestamp_ntz(F.lit(now)))
-    age = F.floor((F.unix_micros(F.col("_now").cast("timestamp"))
-                   - F.unix_micros(F.col("last_seen").cast("timestamp"))) / F.lit(1e6))
+    age = F.floor(S.micros_between("last_seen", "_now") / F.lit(1e6))
     return last.select("node_ip", "last_seen", age.cast("long").alias("age_seconds"),
                        F.when(age < K.ONLINE_SECONDS, "ONLINE").otherwise("AWAY").alias("status"))
 

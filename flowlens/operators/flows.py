@@ -188,9 +188,8 @@ def assemble_records(feat: DataFrame) -> DataFrame:
     serror = F.col("s0_count") / denom
     rerror = F.col("rej_count") / denom
     same_srv = srv / denom
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     values = {
-        "duration": F.greatest(F.lit(0.0), (us("end_time") - us("start_time")) / F.lit(1e6)),
+        "duration": F.greatest(F.lit(0.0), S.micros_between("start_time", "end_time") / F.lit(1e6)),
         "protocol_type": F.col("protocol_type"),
         "service": F.col("service"),
         "flag": F.col("flag"),

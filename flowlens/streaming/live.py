@@ -15,8 +15,9 @@
   distinct counts are not available on streams).
 
 Event time: packet ``ts`` is TIMESTAMP_NTZ, which ``withWatermark`` refuses,
-so it is read as TIMESTAMP with the session time zone (UTC) and windows are
-turned back into TIMESTAMP_NTZ on output.
+so it becomes a TIMESTAMP with the same reading in UTC (not through the
+session time zone, which would move windows and durations across DST), and
+windows are turned back into TIMESTAMP_NTZ on output.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.functions import scalar as S
 from flowlens.operators import alerts as AL
 from flowlens.operators import flows as FL
 from flowlens.session import scratch_path, write_scratch
@@ -40,12 +42,12 @@ def packet_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1
 
 def flow_stream(packets: DataFrame, window: str = "4 seconds", watermark: str = "10 seconds") -> DataFrame:
     """ST1 + ST2: closed flows per tumbling window (append mode)."""
-    k = (FL.packet_indicators(packets.withColumn("ts", F.col("ts").cast("timestamp")))
+    k = (FL.packet_indicators(packets.withColumn("ts", S.ntz_to_event_time("ts")))
            .withWatermark("ts", watermark))
     agg = k.groupBy(F.window("ts", window).alias("w"), *FL.KEY_NO_WINDOW).agg(*FL.flow_aggregates())
-    agg = (agg.withColumn("window_start", F.col("w.start").cast("timestamp_ntz"))
-              .withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
-              .withColumn("end_time", F.col("end_time").cast("timestamp_ntz"))
+    agg = (agg.withColumn("window_start", S.event_time_to_ntz(F.col("w.start")))
+              .withColumn("start_time", S.event_time_to_ntz("start_time"))
+              .withColumn("end_time", S.event_time_to_ntz("end_time"))
               .drop("w"))
     return FL.finish_flows(agg)
 

@@ -135,3 +135,17 @@ def test_normalize_raw_packets(spark):
     assert got == [("tcp", 4000, 80, "S"), ("udp", 5000, 53, ""), ("icmp", 0, 0, ""), ("other", 0, 0, "")]
     flows = FL.aggregate_flows(normalize_packets(raw)).collect()
     assert sorted(f.service for f in flows) == ["domain_u", "eco_i", "http", "other"]
+
+
+
+def test_duration_ignores_session_time_zone_and_dst(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    rows = [(1, dt.datetime(2024, 3, 10, 1, 30), "tcp", 10, "1.1.1.1", "2.2.2.2", 1, 2, "S", "x"),
+            (2, dt.datetime(2024, 3, 10, 3, 30), "tcp", 10, "1.1.1.1", "2.2.2.2", 1, 2, "S", "x")]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        rec = FL.assemble_records(FL.host_features(FL.aggregate_flows(
+            spark.createDataFrame(rows, PACKET_SCHEMA)))).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert rec.duration == 7200.0

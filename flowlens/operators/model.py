@@ -100,7 +100,7 @@ def train_classifier(train_encoded: DataFrame, features: list[str],
     indexer = StringIndexerModel.from_labels(labels, inputCol=label_col, outputCol=LABEL_INDEX,
                                              handleInvalid="error")
     rows = indexer.transform(known).withColumn("weight", F.element_at(weights, F.col(label_col)))
-    assembler = VectorAssembler(inputCols=features, outputCol=FEATURES)
+    assembler = VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL_INDEX, weightCol="weight",
                                 predictionCol=PREDICTION, probabilityCol=PROBABILITY,
                                 numTrees=p.num_trees, maxDepth=p.max_depth,
@@ -167,7 +167,7 @@ def train_binary(train_encoded: DataFrame, features: list[str], label_col: str =
     over the encoded features, class-weighted like the multi-class model."""
     from pyspark.ml.classification import LinearSVC, LogisticRegression
     rows = with_class_weight(train_encoded.withColumn("_y", binary_label(label_col)), "_y", "weight")
-    assembler = VectorAssembler(inputCols=features, outputCol=FEATURES)
+    assembler = VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="keep")
     est = (LogisticRegression(maxIter=max_iter) if kind == "logistic" else LinearSVC(maxIter=max_iter))
     est = est.setFeaturesCol(FEATURES).setLabelCol("_y").setWeightCol("weight")
     model = est.fit(assembler.transform(rows))

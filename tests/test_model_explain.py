@@ -176,3 +176,10 @@ def test_training_run_and_request_scoring(spark):
     firsts = {a.seq for a in alerts}
     assert len({r.batch for r in verdicts.select("batch").distinct().collect()}) == 2
     assert firsts
+
+
+def test_scoring_tolerates_missing_values(spark, trained):
+    prep, clf = trained
+    row = prep.test.limit(3).withColumn(clf.features[0], F.lit(None).cast("double"))
+    out = clf.predict(row).collect()
+    assert len(out) == 3 and all(r.prediction in clf.labels for r in out)

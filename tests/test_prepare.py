@@ -144,3 +144,11 @@ def test_mutual_information_onehot_from_nominal(spark):
     fast = {r.feature: r.mi for r in SE.mutual_information(enc, tr.feature_names,
                                                              onehot=tr.onehot_sources()).collect()}
     assert plain == pytest.approx(fast, abs=1e-12) and max(plain.values()) > 0
+
+
+def test_out_of_range_test_values_not_clipped(spark):
+    train = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (5.0,)], "v double")
+    p = EN.fit_scaler(train, ["v"])
+    test = spark.createDataFrame([(-3.0,), (1.0,), (5.0,), (13.0,)], "v double")
+    got = [r[0] for r in EN.ColumnTransformer(p, EN.Vocabulary([], {})).transform(test).collect()]
+    assert got == pytest.approx([-1.0, 0.0, 1.0, 3.0])

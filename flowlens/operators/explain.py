@@ -69,57 +69,99 @@ def _node_table(spark: SparkSession, forest) -> list:
     return spark.read.parquet(f"{path}/data").collect()
 
 
-def build_leaf_table(spark: SparkSession, forest, n_features: int) -> LeafTable:
-    rows = _node_table(spark, forest)
+def _tree_leaves(nodes: dict, value_fn, cover_fn, n_out: int):
+    """Leaves of one tree (node id -> node row) and its expected output.
+    ``value_fn(node) -> (n_out,)`` gives a leaf's output, ``cover_fn(stats)``
+    a node's training cover."""
+    leaves, base = [], np.zeros(n_out)
+    root = min(nodes)                        # the root has the smallest id
+
+    def walk(nid, path):
+        nd = nodes[nid]
+        if nd["leftChild"] < 0:
+            value = value_fn(nd)
+            feats = []
+            for (f, _, _, _, _) in path:
+                if f not in feats:
+                    feats.append(f)
+            z = np.ones(len(feats))
+            conds = []
+            for (f, kind, thr, go_left, ratio) in path:
+                slot = feats.index(f)
+                z[slot] *= ratio
+                conds.append((slot, kind, thr, go_left))
+            leaf = Leaf(np.asarray(feats, dtype=int), z, conds, value)
+            d = len(feats)
+            if 0 < d <= PRECOMPUTE_MAX_D:
+                codes = np.arange(1 << d, dtype=np.int64)
+                pats = ((codes[:, None] >> np.arange(d)) & 1).astype(float)
+                leaf.table = leaf_phi(pats, z)
+            leaves.append(leaf)
+            base[:] += value * (np.prod([p[4] for p in path]) if path else 1.0)
+            return
+        sp = nd["split"]
+        f = int(sp["featureIndex"])
+        kind = "cont" if sp["numCategories"] < 0 else "cat"
+        thr = (float(sp["leftCategoriesOrThreshold"][0]) if kind == "cont"
+               else frozenset(float(v) for v in sp["leftCategoriesOrThreshold"]))
+        cover = cover_fn(np.asarray(nd["impurityStats"], dtype=float))
+        for child, go_left in ((nd["leftChild"], True), (nd["rightChild"], False)):
+            c_cover = cover_fn(np.asarray(nodes[child]["impurityStats"], dtype=float))
+            walk(child, path + [(f, kind, thr, go_left, c_cover / cover if cover > 0 else 0.0)])
+
+    walk(root, [])
+    return leaves, base
+
+
+def _trees_of(rows) -> dict[int, dict[int, object]]:
     trees: dict[int, dict[int, object]] = {}
     for r in rows:
         trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
+    return trees
+
+
+def build_leaf_table(spark: SparkSession, forest, n_features: int) -> LeafTable:
+    """Random forest classifier: leaf output = normalised class counts, cover =
+    weighted count; the forest output is the mean over trees."""
+    trees = _trees_of(_node_table(spark, forest))
     n_classes = int(forest.numClasses)
+
+    def value(nd):
+        stats = np.asarray(nd["impurityStats"], dtype=float)
+        tot = stats.sum()
+        return stats / tot if tot > 0 else np.zeros(n_classes)
+
     leaves, base = [], np.zeros(n_classes)
     for tid in sorted(trees):
-        nodes = trees[tid]
-        root = min(nodes)                        # the root has the smallest id
-
-        def walk(nid, path, _nodes=nodes):
-            nd = _nodes[nid]
-            stats = np.asarray(nd["impurityStats"], dtype=float)
-            if nd["leftChild"] < 0:
-                tot = stats.sum()
-                value = stats / tot if tot > 0 else np.zeros(n_classes)
-                feats = []
-                for (f, _, _, _, _) in path:
-                    if f not in feats:
-                        feats.append(f)
-                z = np.ones(len(feats))
-                conds = []
-                for (f, kind, thr, go_left, ratio) in path:
-                    slot = feats.index(f)
-                    z[slot] *= ratio
-                    conds.append((slot, kind, thr, go_left))
-                leaf = Leaf(np.asarray(feats, dtype=int), z, conds, value)
-                d = len(feats)
-                if 0 < d <= PRECOMPUTE_MAX_D:
-                    codes = np.arange(1 << d, dtype=np.int64)
-                    pats = ((codes[:, None] >> np.arange(d)) & 1).astype(float)
-                    leaf.table = leaf_phi(pats, z)
-                leaves.append(leaf)
-                base[:] += value * (np.prod([p[4] for p in path]) if path else 1.0)
-                return
-            sp = nd["split"]
-            f = int(sp["featureIndex"])
-            kind = "cont" if sp["numCategories"] < 0 else "cat"
-            thr = (float(sp["leftCategoriesOrThreshold"][0]) if kind == "cont"
-                   else frozenset(float(v) for v in sp["leftCategoriesOrThreshold"]))
-            cover = stats.sum()
-            for child, go_left in ((nd["leftChild"], True), (nd["rightChild"], False)):
-                c_cover = float(np.asarray(_nodes[child]["impurityStats"], dtype=float).sum())
-                walk(child, path + [(f, kind, thr, go_left, c_cover / cover if cover > 0 else 0.0)])
-
-        walk(root, [])
+        lv, b = _tree_leaves(trees[tid], value, lambda st: float(st.sum()), n_classes)
+        leaves += lv
+        base += b
     n_trees = len(trees)
     return LeafTable(n_features, n_classes, n_trees, leaves, base / n_trees)
 
 
+def build_margin_table(spark: SparkSession, models: list, n_features: int) -> LeafTable:
+    """One boosted-tree model per class (one-vs-rest): class c's output is its
+    raw margin Σ_t w_t · tree_t(x). Leaf output = w_t · leaf value in slot c;
+    cover = the regression node's weighted count. Outputs add over trees."""
+    n_classes = len(models)
+    leaves, base = [], np.zeros(n_classes)
+    for c, m in enumerate(models):
+        trees = _trees_of(_node_table(spark, m))
+        weights = list(m.treeWeights)
+        for tid in sorted(trees):
+            w = weights[tid]
+
+            def value(nd, _c=c, _w=w):
+                v = np.zeros(n_classes)
+                v[_c] = _w * float(nd["prediction"])
+                return v
+            lv, b = _tree_leaves(trees[tid], value, lambda st: float(st[0]), n_classes)
+            leaves += lv
+            base += b
+    return LeafTable(n_features, n_classes, 1, leaves, base)
+
+
 def _weights(d: int) -> np.ndarray:
     return np.array([math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d)
                      for s in range(d)])

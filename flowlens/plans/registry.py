@@ -159,6 +159,14 @@ def q_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ME.summary(ME.confusion_long(clf.predict(prep.test)))
 
 
+def q_boosted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 (boosted form): one-vs-rest gradient-boosted trees on the train
+    split; A9 summary of the test predictions."""
+    prep = PP.prepare_records(spark, sf_dir)
+    bst = MO.train_boosted(prep.train, prep.selected)
+    return ME.summary(ME.confusion_long(bst.predict(prep.test)))
+
+
 def q_forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-9 features by the trained forest's importance."""
     prep, clf = _trained(spark, sf_dir)
@@ -331,6 +339,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "summary_metrics": (q_summary_metrics, OP.summary_sql()),
     "model_predictions": (q_model_predictions, None),
     "model_summary": (q_model_summary, None),
+    "boosted_summary": (q_boosted_summary, None),
     "forest_importance": (q_forest_importance, None),
     "training_run": (q_training_run, None),
     "binary_detector": (q_binary_detector, None),

@@ -183,3 +183,24 @@ def test_scoring_tolerates_missing_values(spark, trained):
     row = prep.test.limit(3).withColumn(clf.features[0], F.lit(None).cast("double"))
     out = clf.predict(row).collect()
     assert len(out) == 3 and all(r.prediction in clf.labels for r in out)
+
+
+
+def test_boosted_one_vs_rest_and_margin_shapley(spark, trained):
+    prep, _ = trained
+    bst = MO.train_boosted(prep.train, prep.selected, params=MO.BoostParams(rounds=4, max_depth=3))
+    scored = bst.predict(prep.test)
+    rows = scored.select("probs", "margins", "confidence", "prediction", MO.PREDICTION, *bst.features).limit(40).collect()
+    for r in rows:
+        assert sum(r.probs) == pytest.approx(1.0, abs=1e-9)
+        assert r.confidence == max(r.probs) and r.prediction == bst.labels[int(r[MO.PREDICTION])]
+    acc = ME.summary(ME.confusion_long(scored)).first().accuracy
+    assert acc > 0.5
+    tab = XP.build_margin_table(spark, bst.models, len(bst.features))
+    x = np.array([[r[f] for f in bst.features] for r in rows])
+    phi = XP.shap_matrix(x, tab)
+    np.testing.assert_allclose(tab.base[None, :] + phi.sum(axis=2), np.array([r.margins for r in rows]), atol=1e-9)
+    path = scratch_path(spark, "boosted")
+    bst.save(path)
+    again = MO.BoostedClassifier.load(spark, path).predict(prep.test).select("prediction").collect()
+    assert [r.prediction for r in again] == [r.prediction for r in scored.select("prediction").collect()]

@@ -110,3 +110,19 @@ def test_alert_append_sink(spark):
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(alert_date" in plan
     assert recent.count() == 2 * alerts.filter(F.col("ts") > F.to_timestamp_ntz(F.lit(since))).count()
+
+
+def test_training_from_headerless_csv(spark):
+    """The real-data path: 43-column CSV without a row key, default hash split key."""
+    from flowlens.operators import model as MO
+    from flowlens.plans import train as TR
+    recs = RC.read_records(spark, SF_SMALL, keep_key=False)
+    path = scratch_path(spark, "kdd-csv-train")
+    RC.write_connection_csv(recs, path)
+    out = scratch_path(spark, "csv-run")
+    summ = TR.run_training(spark, RC.read_connection_csv(spark, path), out,
+                           params=MO.TrainParams(num_trees=5))
+    n_test = spark.read.parquet(f"{out}/processed/test").count()
+    n_all = recs.count()
+    assert summ["support"] == n_test and abs(n_test - 0.2 * n_all) <= 6
+    assert 0.0 <= summ["accuracy"] <= 1.0

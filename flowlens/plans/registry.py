@@ -248,47 +248,51 @@ def _rule_alerts(spark, sf_dir):
 
 
 def q_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alert rows (threats, and the first flow of each batch)."""
+    """Alert rows of the rule-scored flow records (threats, and
+    the first flow of each batch)."""
     return _rule_alerts(spark, sf_dir)
 
 
 def q_alert_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 100 alerts kept by the service."""
+    """The newest 100 alerts kept by the service (rule-scored flows;
+    ``alerts.replay`` orders them oldest-first for a new viewer, T6)."""
     return AL.newest(_rule_alerts(spark, sf_dir))
 
 
 def q_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4 + P20–P24: newest 51 rows with severity, label and percent text."""
+    """T4 + P20–P24: newest 51 rows with severity, label and percent text
+    (rule-scored flows)."""
     return AL.dashboard_rows(_rule_alerts(spark, sf_dir))
 
 
 def q_dashboard_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class filter and IP substring filter over the dashboard rows."""
+    """Class filter and IP substring filter over the dashboard rows
+    (rule-scored flows)."""
     return AL.filter_rows(AL.dashboard_rows(_rule_alerts(spark, sf_dir)), FILTER_CLASS, FILTER_IP)
 
 
 def q_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total alerts, threats and distinct nodes."""
+    """Total alerts, threats and distinct nodes (rule-scored flows)."""
     return AL.kpis(_rule_alerts(spark, sf_dir))
 
 
 def q_kpis_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T7 + A11: counters restarted at a clear time."""
+    """T7 + A11: counters restarted at a clear time (rule-scored flows)."""
     return AL.kpis(_rule_alerts(spark, sf_dir), cleared_at=CLEARED_AT)
 
 
 def q_node_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last-seen time and ONLINE/AWAY per node."""
+    """Last-seen time and ONLINE/AWAY per node (rule-scored flows)."""
     return AL.node_status(_rule_alerts(spark, sf_dir))
 
 
 def q_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows and threats per batch."""
+    """Flows and threats per batch (rule-scored flows)."""
     return AL.batch_summary(AP.scored_by_rule(spark, sf_dir, BATCH_WINDOW))
 
 
 def q_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict row of every scored flow."""
+    """The verdict row of every rule-scored flow."""
     return AL.verdicts(AP.scored_by_rule(spark, sf_dir, BATCH_WINDOW))
 
 
@@ -309,7 +313,7 @@ STREAM_WATERMARK = "1 hour"
 def q_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1–ST4 / S6 / S8: packets landed as time-ordered files, streamed through
     the stateful flow aggregation (daily windows, 1 hour watermark) and the
-    foreachBatch scorer; returns the alert rows written by the stream: those of
+    foreachBatch step (counters, rule scorer, gate); returns the alert rows written by the stream: those of
     every window the final watermark (max event time − 1 hour) has closed."""
     from flowlens.streaming import live as LV
     land = scratch_path(spark, "packets-landing")

@@ -120,20 +120,29 @@ def _narrow(df: DataFrame, cols: list[str], big: list[_Target], buckets: int) ->
 
 
 def _rank_directly(df: DataFrame, cols: list[str], small: list[_Target]) -> None:
+    """Rank the rows of each distinct (column, interval) once and read every
+    wanted rank from it."""
+    groups: dict[tuple[int, float, float], list[_Target]] = {}
+    for t in small:
+        groups.setdefault((t.col, t.lo, t.hi), []).append(t)
+    keys = list(groups)
     entries = []
-    for ti, t in enumerate(small):
-        x = _q(cols[t.col])
-        entries.append(F.when(_in_range(x, t), F.struct(F.lit(ti).alias("t"), x.alias("x"))))
+    for gi, (ci, lo, hi) in enumerate(keys):
+        x = _q(cols[ci])
+        entries.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
+                              F.struct(F.lit(gi).alias("g"), x.alias("x"))))
     cells = (df.select(F.filter(F.array(*entries), lambda e: e.isNotNull()).alias("_e"))
                .select(F.inline("_e")))
-    w = Window.partitionBy("t").orderBy("x")
+    w = Window.partitionBy("g").orderBy("x")
     spark = df.sparkSession
-    wdf = spark.createDataFrame([(ti, t.rank - t.base + 1) for ti, t in enumerate(small)],
-                                "t int, rn long")
+    want = sorted({(gi, t.rank - t.base + 1) for gi, k in enumerate(keys) for t in groups[k]})
+    wdf = spark.createDataFrame(want, "g int, rn long")
     got = (cells.withColumn("rn", F.row_number().over(w))
-                .join(F.broadcast(wdf), ["t", "rn"]).select("t", "x").collect())
-    for r in got:
-        small[r["t"]].value = float(r["x"])
+                .join(F.broadcast(wdf), ["g", "rn"]).select("g", "rn", "x").collect())
+    found = {(r["g"], r["rn"]): float(r["x"]) for r in got}
+    for gi, k in enumerate(keys):
+        for t in groups[k]:
+            t.value = found[(gi, t.rank - t.base + 1)]
 
 
 def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float], **kw) -> dict:
@@ -168,3 +177,22 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float], **kw)
             qs.append(a if lo_r == hi_r else a + (b - a) * (rn - lo_r))
         out[c] = (qs, stats[i][1], stats[i][2], stats[i][0])
     return out
+
+
+def frequency_cuts(df: DataFrame, cols: list[str], bins: int, **kw) -> dict[str, list[float]]:
+    """Equal-frequency cut points per column: the distinct order statistics at
+    0-based ranks floor(i·n/bins), i = 1 … bins−1 (exact, distributed)."""
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(_q(c)).alias(f"n{i}"), F.min(_q(c)).alias(f"lo{i}"), F.max(_q(c)).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    stats, ranks = {}, {}
+    for i in range(len(cols)):
+        n = int(row[f"n{i}"])
+        if n == 0:
+            continue
+        stats[i] = (n, float(row[f"lo{i}"]), float(row[f"hi{i}"]))
+        ranks[i] = sorted({min(n - 1, (j * n) // bins) for j in range(1, bins)})
+    vals = order_statistics(df, cols, ranks, stats, **kw)
+    return {c: sorted({vals[(i, r)] for r in ranks[i]}) if i in ranks else []
+            for i, c in enumerate(cols)}

@@ -1,8 +1,12 @@
 """Mutual-information feature scoring (A3) and top-k selection.
 
 MI is estimated from a contingency table of (feature, value bin, class):
-one-hot columns have two exact bins; scaled numeric columns (train values in
-[0, 1]) use ``bins`` equal-width bins. The encoded rows are unpivoted with
+one-hot columns have two exact bins; numeric columns use equal-frequency
+bins — a value's bin is the number of cut points ≤ it, the cuts being the
+exact order statistics at ranks floor(i·n/bins) (``frequency_cuts``), so a
+column with few distinct values gets one bin per value and a heavy-tailed one
+is not squeezed into one bin (without cuts, ``bins`` equal-width bins over
+[0, 1] are used). The encoded rows are unpivoted with
 ``inline`` and counted with ``groupBy(pos, bin, label)`` — a partial
 aggregation, so the shuffle carries at most features × bins × classes rows
 per map task. Everything after that works on that small table.
@@ -31,9 +35,18 @@ def bin_expr(c: str, bins: int) -> Column:
     return F.least(F.greatest(F.floor(x * F.lit(bins)), F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
+def bin_by_cuts(c: str, cuts: list[float]) -> Column:
+    """Number of cut points ≤ the value (0 … len(cuts))."""
+    if not cuts:
+        return F.lit(0)
+    x = _q(c).cast("double")
+    return F.size(F.filter(F.array(*[F.lit(float(t)) for t in cuts]), lambda t: t <= x)).cast("int")
+
+
 def contingency(encoded: DataFrame, feature_cols: list[str], label_col: str = K.LABEL_COLUMN,
                 bins: int = 32, skip: set | None = None,
-                onehot: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+                onehot: dict[str, tuple[str, str]] | None = None,
+                cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """(pos, bin, label, n_xy) over all rows of ``encoded``.
 
     Columns in ``skip`` are left out. One-hot columns listed in ``onehot``
@@ -44,7 +57,9 @@ def contingency(encoded: DataFrame, feature_cols: list[str], label_col: str = K.
     skip = set(skip or ())
     onehot = {f: cv for f, cv in (onehot or {}).items() if f not in skip}
     pos = {c: i for i, c in enumerate(feature_cols)}
-    entries = [F.struct(F.lit(i).alias("pos"), bin_expr(c, bins).alias("bin"))
+    cuts = cuts or {}
+    entries = [F.struct(F.lit(i).alias("pos"),
+                        (bin_by_cuts(c, cuts[c]) if c in cuts else bin_expr(c, bins)).alias("bin"))
                for i, c in enumerate(feature_cols) if c not in skip and c not in onehot]
     by_col: dict[str, dict[str, int]] = {}
     for f, (c, v) in onehot.items():
@@ -77,7 +92,8 @@ def contingency(encoded: DataFrame, feature_cols: list[str], label_col: str = K.
 def mutual_information(encoded: DataFrame, feature_cols: list[str],
                        label_col: str = K.LABEL_COLUMN, bins: int = 32,
                        digits: int = 10, constant: set | None = None,
-                       onehot: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+                       onehot: dict[str, tuple[str, str]] | None = None,
+                       cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """A3: (position, feature, mi) for every feature column.
 
     The marginals are window sums over the contingency table partitioned by
@@ -86,7 +102,7 @@ def mutual_information(encoded: DataFrame, feature_cols: list[str],
     single bin, hence MI exactly 0, and are not unpivoted; one-hot columns
     can be counted from their nominal column (``onehot``)."""
     spark = encoded.sparkSession
-    cont = contingency(encoded, feature_cols, label_col, bins, skip=constant, onehot=onehot)
+    cont = contingency(encoded, feature_cols, label_col, bins, skip=constant, onehot=onehot, cuts=cuts)
     by_pos = Window.partitionBy("pos")
     t = (cont.withColumn("n_x", F.sum("n_xy").over(Window.partitionBy("pos", "bin")))
              .withColumn("n_y", F.sum("n_xy").over(Window.partitionBy("pos", "label")))

@@ -125,10 +125,16 @@ def encoded_sql() -> str:
 
 
 def mutual_info_sql(bins: int = 32, digits: int = 10) -> str:
+    rank_list = ", ".join(f"least(n - 1, floor({j} * n / {bins}))" for j in range(1, bins))
+    cut_parts = " union all ".join(
+        f"select {i} as pos, list_sort(list_distinct(list(x))) as cl from "
+        f"(select {c} as x, row_number() over (order by {c}) - 1 as r, count(*) over () as n "
+        f"from enc where not is_test) s where r in ({rank_list})" for i, c in enumerate(NUM))
     unpiv = " union all ".join(
-        f"select label, {i} as pos, cast(least(greatest(floor({c} * {bins}), 0), {bins - 1}) as int) as bin "
-        f"from enc where not is_test" for i, c in enumerate(NUM))
+        f"select label, {i} as pos, cast(len(list_filter((select cl from cuts where pos = {i}), "
+        f"lambda t: t <= {c})) as int) as bin from enc where not is_test" for i, c in enumerate(NUM))
     return "with " + ENCODED_CTE + f""",
+cuts as ({cut_parts}),
 lng as ({unpiv}
   union all
   select e.label, v.position as pos,

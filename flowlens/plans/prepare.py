@@ -17,6 +17,7 @@ from flowlens import constants as K
 from flowlens.operators import encode as EN
 from flowlens.operators import prepare as PR
 from flowlens.operators import select as SE
+from flowlens.operators.quantiles import frequency_cuts
 from flowlens.session import write_scratch
 from flowlens.sources import records as RC
 
@@ -72,9 +73,12 @@ def prepare(records: DataFrame, key_cols: list[str], key: Column | None = None,
     encoded = tr.transform(split, keep=key_cols + [K.LABEL_COLUMN, SPLIT_COL] + K.NOMINAL_COLUMNS)
     if materialize:
         encoded = write_scratch(encoded, "encoded")
-    scores = SE.mutual_information(encoded.filter(~F.col(SPLIT_COL)), tr.feature_names,
-                                   K.LABEL_COLUMN, bins=bins, constant=tr.constant_features(),
-                                   onehot=tr.onehot_sources())
+    train_enc = encoded.filter(~F.col(SPLIT_COL))
+    constant = tr.constant_features()
+    numeric = [c for c in tr.scaler.columns if c not in constant]
+    cuts = frequency_cuts(train_enc, numeric, bins)
+    scores = SE.mutual_information(train_enc, tr.feature_names, K.LABEL_COLUMN, bins=bins,
+                                   constant=constant, onehot=tr.onehot_sources(), cuts=cuts)
     selected = SE.selected_feature_list(SE.select_k_best(scores, k))
     return Prepared(split, tr, encoded, scores, selected)
 

@@ -152,3 +152,16 @@ def test_out_of_range_test_values_not_clipped(spark):
     test = spark.createDataFrame([(-3.0,), (1.0,), (5.0,), (13.0,)], "v double")
     got = [r[0] for r in EN.ColumnTransformer(p, EN.Vocabulary([], {})).transform(test).collect()]
     assert got == pytest.approx([-1.0, 0.0, 1.0, 3.0])
+
+
+def test_frequency_cuts_against_numpy(spark):
+    from flowlens.operators.quantiles import frequency_cuts
+    rng = np.random.default_rng(9)
+    a = np.concatenate([rng.lognormal(2, 2, 900), np.zeros(300)])
+    b = rng.integers(0, 3, 1200).astype(float)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    got = frequency_cuts(df, ["a", "b"], 8, buckets=4, final_rows=50)
+    for col, v in (("a", a), ("b", b)):
+        srt, n = np.sort(v), len(v)
+        assert got[col] == sorted({float(srt[min(n - 1, (j * n) // 8)]) for j in range(1, 8)})
+    assert got["b"] == [0.0, 1.0, 2.0]

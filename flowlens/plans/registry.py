@@ -140,10 +140,18 @@ def q_summary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ME.summary(ME.confusion_long(_rule_scored_test(spark, sf_dir)))
 
 
+_TRAINED: dict = {}
+
+
 def _trained(spark, sf_dir):
-    prep = PP.prepare_records(spark, sf_dir)
-    clf = MO.train_classifier(prep.train, prep.selected)
-    return prep, clf
+    """Prepared stand-in records and the forest trained on them; reused by the
+    later model queries of the same Spark application (the prepared tables
+    live in the shared folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        prep = PP.prepare_records(spark, sf_dir)
+        _TRAINED[key] = (prep, MO.train_classifier(prep.train, prep.selected))
+    return _TRAINED[key]
 
 
 def q_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,11 +43,20 @@ def _any_marker(text: str, markers) -> str:
     return "(" + " or ".join(f"contains({text}, '{m}')" for m in markers) + ")"
 
 
+def _window_expr(window: str) -> str:
+    """DuckDB window start: ``date_trunc`` for calendar units, ``time_bucket``
+    for an interval such as '4 seconds' (its default origin, 2000-01-03, is a
+    whole number of such buckets after the epoch, as Spark's windows are)."""
+    if " " in window:
+        return f"time_bucket(interval '{window}', ts)"
+    return f"date_trunc('{window}', ts)"
+
+
 def _flows_body(window: str = "day") -> str:
     """CTEs ``packets``, ``flows`` and ``flow_feat`` (window counters by
     window functions, the plain formulation)."""
     return PACKETS_CTE + f""",
-pk_k as (select *, date_trunc('{window}', ts) as window_start,
+pk_k as (select *, {_window_expr(window)} as window_start,
    least(ip_src||':'||port_src, ip_dst||':'||port_dst) ep_lo,
    greatest(ip_src||':'||port_src, ip_dst||':'||port_dst) ep_hi,
    lower(payload) ptxt from packets),

@@ -46,6 +46,14 @@ def q_flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.flow_records(read_packets(spark, sf_dir), BATCH_WINDOW)
 
 
+CAPTURE_WINDOW = "4 seconds"   # the agent's capture interval
+
+
+def q_flow_records_4s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 → A2 → P11–P15 with the agent's 4-second batches (ST1 in batch form)."""
+    return FL.flow_records(read_packets(spark, sf_dir), CAPTURE_WINDOW)
+
+
 # -- E1: preparation ---------------------------------------------------------
 
 SELECT_K_QUERY = 20   # of the 48 encoded stand-in columns; the pipeline default is 100
@@ -347,6 +355,7 @@ def q_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "flows": (q_flows, O.flows_sql()),
     "flow_records": (q_flow_records, O.flow_records_sql()),
+    "flow_records_4s": (q_flow_records_4s, O.flow_records_sql(CAPTURE_WINDOW)),
     "labelled_records": (q_labelled_records, OP.labelled_records_sql()),
     "label_counts": (q_label_counts, OP.label_counts_sql()),
     "stratified_split": (q_split, OP.split_sql()),

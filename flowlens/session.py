@@ -25,6 +25,22 @@ DEFAULT_CONF = {
 }
 
 
+def sized_conf(input_bytes: int, total_cores: int, partition_mb: int = 128) -> dict:
+    """Shuffle and scan sizing for a given input volume: ~``partition_mb`` per
+    scan split and per shuffle partition (a few per core), so tasks fit in
+    executor memory and spill stays rare; AQE then coalesces small
+    partitions and splits skewed ones. E.g. 100 TB on 1000 executors × 8
+    cores → ~800k shuffle partitions of 128 MB."""
+    part = partition_mb * 1024 * 1024
+    shuffle = max(2 * total_cores, -(-input_bytes // part))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(part),
+        "spark.sql.shuffle.partitions": str(int(shuffle)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(part),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * part),
+    }
+
+
 def get_spark(app: str = "flowlens", master: str | None = None,
               shuffle_partitions: int | None = None, conf: dict | None = None) -> SparkSession:
     """Session for local runs and tests; on a cluster the submitter's settings win."""

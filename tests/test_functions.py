@@ -69,3 +69,11 @@ def test_alert_id_is_deterministic(spark):
     b = df.select(S.alert_id("a", "b", "c")).first()[0]
     assert a == b and len(a) == 8 and all(ch in "0123456789abcdef" for ch in a)
     assert df.select(S.timestamp_text(F.to_timestamp_ntz(F.col("b")))).first()[0] == "2024-01-01 00:00:00"
+
+
+
+def test_sized_conf():
+    from flowlens.session import sized_conf
+    c = sized_conf(100 * 1024 ** 4, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 819200
+    assert sized_conf(10, 8)["spark.sql.shuffle.partitions"] == "16"

@@ -10,6 +10,9 @@
   41-attribute records, scoring, the alert gate (P19), alert rows; written
   per epoch (``epoch=<id>`` folders, overwritten on retry, so a replayed
   micro-batch does not duplicate rows).
+* Capture batches — ``run_capture_batches``: the source's own batching, each
+  micro-batch of packets is one batch (processing-time trigger of the
+  capture interval); flows never span batches.
 * ST5 — ``kpi_stream``: running KPIs over the alert folder as a second
   streaming query (complete mode; distinct nodes approximated, as exact
   distinct counts are not available on streams).

@@ -151,7 +151,7 @@ def fit_pu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, p: Toxici
                 gp = gp_pos + gp_neg
             g = np.bincount(fp, weights=gp[bp], minlength=size + 1) + np.bincount(fu, weights=gu[bu], minlength=size + 1)
             g[size] = gp.sum() + gu.sum()
-                step += 1
+            step += 1
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
             w -= p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)

@@ -25,7 +25,7 @@ g as (select doc_id, w, pos, n, {grams} from l),
 c as (select doc_id, w, {flags} from g),
 m as (select doc_id, count(*) as n_words, sum(length(w))::bigint as word_chars, sum(r3)::bigint as n_repeat_words, {sums} from c group by doc_id),
 li as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos from t),
-lw as (select doc_id, list_sum(list_transform(regexp_extract_all(line, '{WORD}'), x -> length(x))) as chars,
+lw as (select doc_id, list_sum(list_transform(regexp_extract_all(line, '{WORD}'), lambda x: length(x))) as chars,
        row_number() over (partition by doc_id, line order by pos) as k from li where regexp_matches(line, '{WORD}')),
 ld as (select doc_id, count(*) as n_dup_lines, sum(chars)::bigint as dup_line_chars from lw where k > 1 group by doc_id),
 a as (select t.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars,
@@ -127,10 +127,10 @@ from r left join f using (host)
 OP8 = r"""
 with p as (select page_id, coalesce(html, '') as b from pages),
 x as (select page_id, strlen(b)::bigint as payload_bytes, sha1(b) as hex, min(page_id) over (partition by b) as first from p),
-bits as (select *, list_reduce(list_transform(range(1, 41), i -> lpad(bin(('0x' || substr(hex, i::int, 1))::int), 4, '0')), (a, c) -> a || c) as s from x)
+bits as (select *, list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || substr(hex, i::int, 1))::int), 4, '0')), lambda a, c: a || c) as s from x)
 select page_id, payload_bytes,
-       list_reduce(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-         list_sum(list_transform(range(0, 5), j -> (substr(s, (5 * i + j + 1)::int, 1)::int * (16 >> j::int))))::int + 1, 1)), (a, c) -> a || c) as payload_digest,
+       list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         list_sum(list_transform(range(0, 5), lambda j: (substr(s, (5 * i + j + 1)::int, 1)::int * (16 >> j::int))))::int + 1, 1)), lambda a, c: a || c) as payload_digest,
        case when page_id = first then 'response' else 'revisit' end as record_type,
        case when page_id = first then null else first end as refers_to
 from bits

@@ -12,7 +12,7 @@ from __future__ import annotations
 #: Longer pieces are not cached (a text without spaces is one piece).
 CACHED_CHARS = 64
 #: Entries of a worker's cache; about 200 bytes each.
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 20
 
 
 def cut(text: str) -> list[str]:

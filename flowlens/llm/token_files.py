@@ -37,6 +37,8 @@ from flowlens.session import scratch_path
 from . import common as C
 from .pieces import PieceCache
 
+#: Marks that often follow a word.
+ENDS = ".,!?;:"
 MANIFEST = "part int, name string, n_docs long, n_null long, n_tokens long, width int"
 
 
@@ -51,10 +53,30 @@ class Encoder:
         top = max(self.tok.get_vocab(with_added_tokens=True).values())
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.pieces = PieceCache(self.encode_pieces)
+        self.marks = dict(zip(ENDS, self.encode_texts(list(ENDS)), strict=True))
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """A mark after letters is a token run of its own, so a word followed
+        by one is encoded as the word and the mark, each looked up first."""
+        held, todo = self.pieces.held, {}
+        cuts = []
+        for p in pieces:
+            mark = p[-1:]
+            if mark in ENDS and mark and p[:-1].removeprefix(" ").isalpha():
+                word = p[:-1]
+                known = held.get(word[1:]) if word[0] == " " else None
+                cuts.append((word, known, mark))
+                if known is None:
+                    todo[word] = None
+            else:
+                cuts.append((p, None, ""))
+                todo[p] = None
+        ids = dict(zip(todo, self.encode_texts(list(todo)), strict=True)) if todo else {}
+        return [(ids[p] if known is None else known) + (self.marks[mark] if mark else b"") for p, known, mark in cuts]
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.dtype.itemsize == 2 else "I"
-        return [array.array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array.array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         return [b"".join(p) + end for p in self.pieces.texts(texts)]

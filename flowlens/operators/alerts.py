@@ -3,10 +3,10 @@
 Input: scored rows with ``batch`` (window start), ``seq`` (capture order in
 the batch), node/src/dst IPs, ``prediction`` and ``confidence``.
 
-* P19 "threat, or the first row of its batch": the first row is found with a
-  per-batch ``min(seq)`` (partial aggregation) joined back on (batch, seq) —
-  unique per row — not a ``row_number()`` over the batch, which would put a
-  whole (possibly huge) batch into one task.
+* P19 "threat, or the first row of its batch": the first row is the ``min_by``
+  of its batch, an aggregation with map-side combine that moves one row per
+  batch and task; of the other rows only threats are shuffled, and no batch
+  is one task.
 * T3/T4 keep the newest N alerts: ``orderBy(...).limit(N)`` is a per-partition
   top-N then a merge of N·partitions rows — the limit is the feature.
 """
@@ -21,16 +21,15 @@ from flowlens.functions import scalar as S
 
 
 def gate(scored: DataFrame, batch_col: str = "batch", seq_col: str = "seq") -> DataFrame:
-    """P18 + P19: add ``is_threat`` and ``is_first``; keep threats or the first
-    row of each batch. The per-batch first sequence numbers are joined on
-    (batch, seq), a key unique per row, so a batch holding most rows is not a
-    hot join key."""
-    first = (scored.groupBy(batch_col).agg(F.min(seq_col).alias(seq_col))
-                   .withColumn("is_first", F.lit(True)))
-    j = scored.join(first, [batch_col, seq_col], "left")
-    return (j.withColumn("is_threat", S.is_threat("prediction"))
-             .withColumn("is_first", F.coalesce(F.col("is_first"), F.lit(False)))
-             .filter(F.col("is_threat") | F.col("is_first")))
+    """P18 + P19: add ``is_threat`` and ``is_first``; keep threats and the first
+    row of each batch. Only threats are joined (on (batch, seq), unique per
+    row) with the first rows, to mark those that are both."""
+    marked = scored.withColumn("is_threat", F.coalesce(S.is_threat("prediction"), F.lit(False)))
+    first = (marked.groupBy(batch_col).agg(F.min_by(F.struct(*marked.columns), seq_col).alias("row"))
+                   .select("row.*").withColumn("is_first", F.lit(True)))
+    threats = marked.filter("is_threat").join(first.select(batch_col, seq_col, "is_first"), [batch_col, seq_col], "left")
+    return (threats.withColumn("is_first", F.coalesce("is_first", F.lit(False))).select(*marked.columns, "is_first")
+            .unionByName(first.filter(~F.col("is_threat"))))
 
 
 def alert_records(gated: DataFrame, ts_col: str = "alert_ts", seq_col: str = "seq",

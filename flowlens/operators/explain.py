@@ -349,12 +349,13 @@ def waterfall(impacts: DataFrame, row_keys: list[str]) -> DataFrame:
                    .withColumn("running_total", F.col("base_value") + F.sum("impact").over(run)))
 
 
-def critical_case(scored: DataFrame, order_col: str, label_col: str = "label",
+def critical_case(scored: DataFrame, order_by: str | list[str], label_col: str = "label",
                   pred_col: str = "prediction", targets=("u2r", "r2l")) -> DataFrame:
     """T5: first correctly predicted u2r/r2l row; else first correct attack;
-    else the first row. One row."""
+    else the first row. One row; ``order_by`` should be a key, or a tie may
+    fall either way."""
     correct = F.col(label_col) == F.col(pred_col)
     prio = (F.when(correct & F.col(label_col).isin(*targets), 0)
              .when(correct & (F.col(label_col) != "normal"), 1).otherwise(2))
-    return scored.withColumn("priority", prio).orderBy("priority", order_col).limit(1)
+    return scored.withColumn("priority", prio).orderBy("priority", *([order_by] if isinstance(order_by, str) else order_by)).limit(1)
 

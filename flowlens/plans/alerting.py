@@ -20,7 +20,7 @@ from flowlens.operators import model as MO
 from flowlens.session import write_scratch
 from flowlens.sources.packets import read_packets
 
-DEFAULT_NODE_IP = "192.168.1.105"
+DEFAULT_NODE_IP = "192.0.2.10"
 
 
 def rule_prediction() -> Column:

@@ -76,10 +76,3 @@ def batch_summary_sql() -> str:
 
 def verdicts_sql() -> str:
     return _cte() + "select batch, seq, src_ip, dst_ip, prediction from scored"
-
-
-def stream_alerts_sql(watermark: str = "1 hour") -> str:
-    """Alerts of the windows a watermarked stream has closed after reading
-    everything: window end ≤ max event time − watermark."""
-    return _cte() + (f"select * from alerts where ts <= "
-                     f"(select max(ts) from events) - interval {watermark}")

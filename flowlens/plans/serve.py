@@ -21,8 +21,11 @@ from flowlens.sources import requests as RQ
 
 
 def score_request_files(spark: SparkSession, requests_path: str, model_dir: str,
-                        out_dir: str | None = None) -> DataFrame:
-    """Alert rows for the requests under ``requests_path`` (one file = one batch)."""
+                        out_dir: str | None = None, batch_id: str | None = None) -> DataFrame:
+    """Alert rows for the requests under ``requests_path`` (one file = one
+    batch). Rows whose fields do not parse are scored with those fields absent
+    and also written to ``rejected``; a rerun with the same ``batch_id``
+    replaces its outputs."""
     tr, selected = MO.load_transformer(spark, model_dir)
     clf = MO.Classifier.load(spark, model_dir)
     req = RQ.read_requests(spark, requests_path).withColumn("_file", F.input_file_name())
@@ -33,14 +36,17 @@ def score_request_files(spark: SparkSession, requests_path: str, model_dir: str,
                       F.col("request_ts").alias("alert_ts"), "node_ip", "src_ip", "dst_ip",
                       *K.ATTRIBUTE_COLUMNS)
     base = write_scratch(base, "requests")        # fixes row ids before they are reused
-    scored = MO.score_records(base, tr, clf, keep=["batch", "seq", "alert_ts", "node_ip", "src_ip", "dst_ip"])
+    scored = write_scratch(MO.score_records(base, tr, clf, keep=["batch", "seq", "alert_ts", "node_ip", "src_ip", "dst_ip"]),
+                           "served-scored")
     gated = write_scratch(AL.gate(scored), "served-gated")
     table = XP.build_leaf_table(spark, clf.forest, len(clf.features))
     sv = XP.shap_values(gated, clf.features, table, keep=["batch", "seq", MO.PREDICTION])
     top = XP.top_impacts(XP.predicted_class_impacts(sv, clf.features, MO.PREDICTION),
                          ["batch", "seq"], K.TOP_IMPACTS)
-    alerts = AL.alert_records(gated.join(top, ["batch", "seq"], "left"), features_col="features")
+    alerts = write_scratch(AL.alert_records(gated.join(top, ["batch", "seq"], "left"), features_col="features"), "served-alerts")
     if out_dir:
-        RQ.append_alerts(alerts, f"{out_dir}/alerts")
-        RQ.publish_verdicts(AL.verdicts(scored), f"{out_dir}/verdicts")
+        RQ.append_alerts(alerts, f"{out_dir}/alerts", batch_id)
+        RQ.publish_verdicts(AL.verdicts(scored), f"{out_dir}/verdicts", batch_id)
+        rejected = RQ.rejected_requests(RQ.read_requests(spark, requests_path))
+        rejected.write.mode("overwrite").json(f"{out_dir}/rejected/batch={batch_id or 'all'}")
     return alerts

@@ -62,11 +62,14 @@ def get_spark(app: str = "flowlens", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) a fresh scratch folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``; only in local mode
+    (tests), where all tasks share the machine, a fresh scratch folder is taken
+    when it is unset.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="flowlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -37,10 +37,17 @@ from flowlens.session import scratch_path, write_scratch
 from flowlens.sources.packets import PACKET_SCHEMA
 
 
-def packet_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Packet files under ``path`` (parquet, packet schema) as a stream."""
-    return (spark.readStream.schema(PACKET_SCHEMA)
-                 .option("maxFilesPerTrigger", max_files_per_trigger).parquet(path))
+#: Protocol tag of the row that ends a bounded input; never a packet's tag.
+HEARTBEAT = "heartbeat"
+
+
+def packet_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Packet files under ``path`` (parquet, packet schema) as a stream.
+    A micro-batch takes all files that are there unless a number is given."""
+    r = spark.readStream.schema(PACKET_SCHEMA)
+    if max_files_per_trigger is not None:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(path)
 
 
 def flow_stream(packets: DataFrame, window: str = "4 seconds", watermark: str = "10 seconds") -> DataFrame:
@@ -68,9 +75,11 @@ def process_closed_flows(out_dir: str, window: str,
     alerts (S8) for the epoch."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        flows = write_scratch(batch, f"stream-flows-{epoch_id}")   # read twice below
-        rec = records_from_flows(flows)
-        scored = score(rec)
+        # the heartbeat goes here, not in the stream's plan: a filter there would
+        # move below the watermark, which must see it
+        flows = write_scratch(batch.where(F.col("protocol_type") != HEARTBEAT), f"stream-flows-{epoch_id}")
+        rec = write_scratch(records_from_flows(flows), f"stream-records-{epoch_id}")
+        scored = write_scratch(score(rec), f"stream-scored-{epoch_id}")   # the three outputs read it
         part = f"epoch={epoch_id}"
         flows.write.mode("overwrite").parquet(f"{out_dir}/flows/{part}")
         rec.write.mode("overwrite").parquet(f"{out_dir}/records/{part}")
@@ -83,10 +92,13 @@ def process_closed_flows(out_dir: str, window: str,
 
 def run_live(spark: SparkSession, packets_path: str, out_dir: str, score: Callable[[DataFrame], DataFrame],
              window: str = "4 seconds", watermark: str = "10 seconds",
-             checkpoint: str | None = None, available_now: bool = True):
+             checkpoint: str | None = None, available_now: bool = True,
+             max_files_per_trigger: int | None = None):
     """Start the live query: file source → stateful flows → foreachBatch.
-    With ``available_now`` it processes what is there and stops."""
-    flows = flow_stream(packet_stream(spark, packets_path), window, watermark)
+    With ``available_now`` it processes what is there and stops; windows that
+    the watermark has not passed stay open in the state (``land_heartbeat``
+    ends a bounded input)."""
+    flows = flow_stream(packet_stream(spark, packets_path, max_files_per_trigger), window, watermark)
     w = (flows.writeStream.outputMode("append")
               .option("checkpointLocation", checkpoint or scratch_path(spark, "live-ckpt"))
               .foreachBatch(process_closed_flows(out_dir, window, score)))
@@ -108,8 +120,8 @@ def process_capture_batch(out_dir: str, score: Callable[[DataFrame], DataFrame]
             return
         flows = write_scratch(FL.aggregate_flows(packets, batch_start=F.lit(first)),
                               f"capture-flows-{epoch_id}")
-        rec = records_from_flows(flows)
-        scored = score(rec)
+        rec = write_scratch(records_from_flows(flows), f"capture-records-{epoch_id}")
+        scored = write_scratch(score(rec), f"capture-scored-{epoch_id}")
         part = f"epoch={epoch_id}"
         flows.write.mode("overwrite").parquet(f"{out_dir}/flows/{part}")
         rec.write.mode("overwrite").parquet(f"{out_dir}/records/{part}")
@@ -122,11 +134,12 @@ def process_capture_batch(out_dir: str, score: Callable[[DataFrame], DataFrame]
 
 def run_capture_batches(spark: SparkSession, packets_path: str, out_dir: str,
                         score: Callable[[DataFrame], DataFrame], interval: str = "4 seconds",
-                        checkpoint: str | None = None, available_now: bool = True):
+                        checkpoint: str | None = None, available_now: bool = True,
+                        max_files_per_trigger: int | None = None):
     """ST1 as the source batches: a processing-time trigger of ``interval``
-    (or everything available, one file per micro-batch), each micro-batch
-    aggregated on its own."""
-    w = (packet_stream(spark, packets_path).writeStream
+    (or everything available), each micro-batch aggregated on its own;
+    ``max_files_per_trigger=1`` makes every landed file a batch."""
+    w = (packet_stream(spark, packets_path, max_files_per_trigger).writeStream
          .option("checkpointLocation", checkpoint or scratch_path(spark, "capture-ckpt"))
          .foreachBatch(process_capture_batch(out_dir, score)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
@@ -143,26 +156,22 @@ def kpi_stream(spark: SparkSession, alerts_path: str, alert_schema) -> DataFrame
                       F.max("ts").alias("last_alert"))
 
 
-def node_last_seen_stream(spark: SparkSession, alerts_path: str, alert_schema) -> DataFrame:
-    """ST5 / A12: last alert time per node (update or complete mode)."""
-    alerts = spark.readStream.schema(alert_schema).parquet(alerts_path)
-    return alerts.groupBy("node_ip").agg(F.max("ts").alias("last_seen"))
-
-
 def land_packets(packets: DataFrame, path: str, files: int = 8) -> None:
-    """Write a packet table as ``files`` consecutive time slices, one write
-    after the other, the way a capture process drops files (the file source
-    takes files in modification order). Test and demo input for
-    ``packet_stream``."""
-    bounds = packets.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    if lo is None:
-        return
-    step = (hi - lo) / files
-    for i in range(files):
-        a = lo + step * i
-        cond = F.col("ts") >= F.lit(a)
-        if i < files - 1:
-            cond = cond & (F.col("ts") < F.lit(lo + step * (i + 1)))
-        (packets.filter(cond).coalesce(1).sortWithinPartitions("ts", "event_id")
-                .write.mode("append").parquet(path))
+    """Write a packet table as about ``files`` files of consecutive time ranges,
+    in parallel. Test and demo input for ``packet_stream``; packets without a
+    time are in the first file."""
+    (packets.repartitionByRange(files, "ts").sortWithinPartitions("ts", "event_id")
+            .write.mode("append").parquet(path))
+
+
+def land_heartbeat(spark: SparkSession, path: str, window: str, watermark: str) -> None:
+    """End a bounded input: land one row later than all packets under ``path``
+    by a window and the watermark twice, so that every window with packets
+    closes. Its own window stays open; it never becomes a flow."""
+    last = spark.read.schema(PACKET_SCHEMA).parquet(path).agg(F.max("ts").alias("ts")).where("ts is not null")
+    later = F.col("ts") + F.expr(f"interval {window}") * 2 + F.expr(f"interval {watermark}") * 2
+    zero = F.lit("0.0.0.0")
+    row = last.select(F.lit(-1).cast("long").alias("event_id"), later.alias("ts"), F.lit(HEARTBEAT).alias("proto"),
+                      F.lit(0).cast("long").alias("bytes"), zero.alias("ip_src"), zero.alias("ip_dst"),
+                      F.lit(0).alias("port_src"), F.lit(0).alias("port_dst"), F.lit("").alias("tcp_flags"), F.lit("").alias("payload"))
+    row.write.mode("append").parquet(path)

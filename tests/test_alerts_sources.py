@@ -112,6 +112,28 @@ def test_alert_append_sink(spark):
     assert recent.count() == 2 * alerts.filter(F.col("ts") > F.to_timestamp_ntz(F.lit(since))).count()
 
 
+def test_alert_table_keeps_features_and_reruns_replace(spark):
+    alerts = AP.rule_alerts(spark, SF_SMALL).withColumn("features", F.create_map(F.lit("count"), F.lit(0.5)))
+    path = scratch_path(spark, "alerts-features")
+    RQ.append_alerts(alerts, path, batch_id="a")
+    RQ.append_alerts(alerts, path, batch_id="a")
+    back = RQ.read_alerts(spark, path)
+    assert back.count() == alerts.count()
+    assert back.filter(F.col("features")["count"] == 0.5).count() == alerts.count()
+
+
+def test_bad_request_fields_do_not_stop_the_batch(spark):
+    rows = [("n", None, None, "2024-01-01T00:00:00", {"count": "abc", "duration": "2"}),
+            ("n", None, None, "2024-01-01 00:00:00", {"count": "3"}), ("n", None, None, None, None)]
+    req = spark.createDataFrame(rows, RQ.REQUEST_SCHEMA)
+    got = RQ.request_records(req).collect()
+    assert [r.timestamp for r in got] == ["2024-01-01T00:00:00", "2024-01-01 00:00:00", None]
+    assert [r.request_ts is None for r in got] == [True, False, True]
+    assert [(r["count"], r.duration) for r in got] == [(0.0, 2.0), (3.0, 0.0), (0.0, 0.0)]
+    bad = RQ.rejected_requests(req).collect()
+    assert [r.bad_fields for r in bad] == [["timestamp", "count"]]
+
+
 def test_training_from_headerless_csv(spark):
     """The real-data path: 43-column CSV without a row key, default hash split key."""
     from flowlens.operators import model as MO

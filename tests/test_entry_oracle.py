@@ -84,7 +84,8 @@ def test_capture_batch_mode(spark):
     land = scratch_path(spark, "land-capture")
     LV.land_packets(read_packets(spark, SF_SMALL), land, files=3)
     out = scratch_path(spark, "capture-out")
-    q = LV.run_capture_batches(spark, land, out, lambda rec: AP.score_records_by_rule(rec, R.BATCH_WINDOW))
+    q = LV.run_capture_batches(spark, land, out, lambda rec: AP.score_records_by_rule(rec, R.BATCH_WINDOW),
+                               max_files_per_trigger=1)
     q.awaitTermination()
     rec = spark.read.parquet(f"{out}/records")
     # one batch per landed file, flows never span batches, every packet counted once

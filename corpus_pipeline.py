@@ -33,7 +33,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = write_scratch(jaccard_join(docs), "classes")
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
     again = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # one plan at every size: the texts cross one shuffle on doc_id
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    left = write_scratch(left, "left")
     once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 

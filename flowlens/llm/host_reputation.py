@@ -98,7 +98,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, params: ReputationPar
     kd = _strength(domains, suffixes, "suffix", p)
     kh = _strength(counts, domains, "domain", p)
     top = whole.first()
-    mean = ((top["bad"] or 0) + 1) / ((top["n"] or 0) + 2) if top else 0.5
+    mean = (top["bad"] + 1) / (top["n"] + 2) if top and top["n"] else 0.0
     post = lambda k, m: (F.col("bad") + F.lit(k) * m) / (F.col("n") + F.lit(k))
     suffixes = suffixes.select("suffix", post(ks, F.lit(mean)).alias("suffix_mean"))
     domains = domains.join(suffixes, "suffix").select("domain", post(kd, F.col("suffix_mean")).alias("domain_mean"))

@@ -186,6 +186,7 @@ def _tiled(rows: DataFrame, blocks: str) -> DataFrame:
     own = F.pmod(F.xxhash64("nid"), F.col(blocks)).cast("int")
     return (rows.withColumn("block", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)))
+            .withColumn("within", F.col("block") == F.col("other"))  # a tile of one block, not of two of which one is empty
             .withColumn("tile", F.least("block", "other") * F.col(blocks).cast("int") + F.greatest("block", "other")))
 
 
@@ -288,7 +289,7 @@ def _verified(docs: DataFrame, sets: DataFrame, comp: DataFrame, p: JoinParams)
                 yield part.filter(pa.array(own, pa.bool_()))
 
     rows = C.map_batches(texts, to_sets, "component long, blocks int, nid long, copies long, tokens binary")
-    rows = (_tiled(rows, "blocks").select("component", "tile", "block", "nid", "copies", "tokens")
+    rows = (_tiled(rows, "blocks").select("component", "tile", "block", "within", "nid", "copies", "tokens")
             .repartition(C.input_partitions(docs.sparkSession), "component", "tile")
             .sortWithinPartitions("component", "tile", "block", "nid"))
     s = p.similarity / (1 + p.similarity)
@@ -307,7 +308,10 @@ def _verified(docs: DataFrame, sets: DataFrame, comp: DataFrame, p: JoinParams)
             nid, block, copies = nid[once], block[once], copies[once]
             raw = g.column("tokens").to_pylist()
             sets = [np.frombuffer(raw[i], U64) for i in once]
+            within = g.column("within")[0].as_py()
             cut = int(np.searchsorted(block, block[0], "right"))
+            if not within and cut == len(nid):
+                continue  # the other block has no sets
             a, b = (slice(0, cut), slice(cut, None)) if cut < len(nid) else (slice(None), slice(None))
             size = np.array([len(x) for x in sets])
             link = overlaps(sets[a], sets[b]) >= s * (size[a][:, None] + size[b][None, :]) - 1e-9

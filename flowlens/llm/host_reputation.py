@@ -11,7 +11,7 @@ posterior's lower bound (mean less ``z`` standard deviations) exceeds
 
 Outcomes are counted by host with map-side partial aggregation; the tables of
 hosts, domains and suffixes are joined to pages on the host, so a hot host is
-one row there. Three rows of sums reach the driver.
+one row there. Four rows of sums reach the driver.
 
 Edge cases: null urls and urls without ``://`` have empty host and path, and
 the empty host is a host like any other; hosts without outcomes have their
@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.session import write_scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (rule, verdict); a rule is a host and the beginning of a path.
@@ -68,12 +70,13 @@ def domain_of(host: Column, two_label: tuple[str, ...]) -> Column:
             .when(last.isin(*two_label), F.substring_index(bare, ".", -3)).otherwise(last))
 
 
-def _strength(children: DataFrame, parents: DataFrame, on: str, p: ReputationParams) -> float:
+def _strength(children: DataFrame, p: ReputationParams) -> float:
     """Prior sample size kappa from the children's spread: rho = 1 / (kappa + 1)
-    is the correlation of outcomes within a child."""
-    r = F.col("bad") / F.col("n")
-    q = F.col("parent_bad") / F.col("parent_n")
-    sums = (children.where("n > 0").join(parents.select(on, F.col("n").alias("parent_n"), F.col("bad").alias("parent_bad")), on)
+    is the correlation of outcomes within a child. ``children``: n, bad and
+    their parent's parent_n, parent_bad."""
+    r = F.try_divide("bad", "n")
+    q = F.try_divide("parent_bad", "parent_n")
+    sums = (children.where("n > 0")
             .agg(F.sum(F.col("n") * (r - q) * (r - q)).alias("spread"), F.sum(q * (1 - q)).alias("chance"),
                  F.sum(q * (1 - q) * (F.col("n") - 1)).alias("pairs")).first())
     rho = (sums["spread"] - sums["chance"]) / sums["pairs"] if sums["pairs"] else p.least_spread
@@ -89,15 +92,15 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, params: ReputationPar
     named = pages.select("page_id", host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
     counts = (named.select("host", F.lit(0).alias("k"), F.lit(0).cast("long").alias("bad")).unionByName(seen.select("host", F.lit(1).alias("k"), "bad"))
               .groupBy("host").agg(F.sum("k").alias("n"), F.sum("bad").alias("bad"))
+              .transform(lambda d: write_scratch(d, "host-counts"))
               .withColumn("domain", domain_of(F.col("host"), p.two_label_suffixes)).withColumn("suffix", F.substring_index("domain", ".", -1)))
     domains = counts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.lit(0))
-    whole = suffixes.groupBy("root").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-
-    ks = _strength(suffixes, whole, "root", p)
-    kd = _strength(domains, suffixes, "suffix", p)
-    kh = _strength(counts, domains, "domain", p)
-    top = whole.first()
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    top = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    as_parent = lambda d, on: d.select(on, F.col("n").alias("parent_n"), F.col("bad").alias("parent_bad"))
+    ks = _strength(suffixes.withColumns({"parent_n": F.lit(top["n"]), "parent_bad": F.lit(top["bad"])}), p)
+    kd = _strength(domains.join(as_parent(suffixes, "suffix"), "suffix"), p)
+    kh = _strength(counts.join(as_parent(domains, "domain"), "domain"), p)
     mean = (top["bad"] + 1) / (top["n"] + 2) if top and top["n"] else 0.0
     post = lambda k, m: (F.col("bad") + F.lit(k) * m) / (F.col("n") + F.lit(k))
     suffixes = suffixes.select("suffix", post(ks, F.lit(mean)).alias("suffix_mean"))

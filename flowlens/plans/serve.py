@@ -48,5 +48,5 @@ def score_request_files(spark: SparkSession, requests_path: str, model_dir: str,
         RQ.append_alerts(alerts, f"{out_dir}/alerts", batch_id)
         RQ.publish_verdicts(AL.verdicts(scored), f"{out_dir}/verdicts", batch_id)
         rejected = RQ.rejected_requests(RQ.read_requests(spark, requests_path))
-        rejected.write.mode("overwrite").json(f"{out_dir}/rejected/batch={batch_id or 'all'}")
+        rejected.write.mode("overwrite").json(f"{out_dir}/rejected/write={batch_id or 'all'}")
     return alerts

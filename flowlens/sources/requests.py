@@ -113,13 +113,13 @@ def append_alerts(alerts: DataFrame, path: str, batch_id: str | None = None) ->
     if "features" not in alerts.columns:
         alerts = alerts.withColumn("features", F.lit(None).cast("map<string,double>"))
     (alerts.withColumn("alert_date", F.to_date("ts"))
-           .write.mode("overwrite").partitionBy("alert_date").parquet(f"{path}/batch={batch_id or uuid.uuid4().hex}"))
+           .write.mode("overwrite").partitionBy("alert_date").parquet(f"{path}/write={batch_id or uuid.uuid4().hex}"))
 
 
 def read_alerts(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """The alert table; ``since`` keeps alerts after that time, pruning the
     day partitions before it."""
-    df = spark.read.schema(ALERT_TABLE_SCHEMA).parquet(path).drop("batch")
+    df = spark.read.schema(ALERT_TABLE_SCHEMA).parquet(path).drop("write")
     if since is not None:
         t = F.to_timestamp_ntz(F.lit(since))
         df = df.filter((F.col("alert_date") >= F.to_date(t)) & (F.col("ts") > t))
@@ -129,4 +129,4 @@ def read_alerts(spark: SparkSession, path: str, since: str | None = None) -> Dat
 def publish_verdicts(verdicts: DataFrame, path: str, batch_id: str | None = None) -> None:
     """Each scored batch's (src, dst, prediction) rows; a rerun with the
     same ``batch_id`` replaces them."""
-    verdicts.write.mode("overwrite").parquet(f"{path}/batch={batch_id or uuid.uuid4().hex}")
+    verdicts.write.mode("overwrite").parquet(f"{path}/write={batch_id or uuid.uuid4().hex}")

@@ -22,6 +22,7 @@ alone; an empty table gives no parts; texts are encoded whole.
 from __future__ import annotations
 
 import array
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -79,7 +80,11 @@ class Encoder:
         return [array.array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        return [b"".join(p) + end for p in self.pieces.texts(texts)]
+        gc.disable()  # strings and bytes only: no cycles to look for
+        try:
+            return [b"".join(p) + end for p in self.pieces.texts(texts)]
+        finally:
+            gc.enable()
 
 
 _encoders: dict[str, Encoder] = {}  # one for each worker and file

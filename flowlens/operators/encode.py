@@ -60,7 +60,7 @@ def fit_scaler(train: DataFrame, numeric_cols: list[str], exact: bool = True,
                accuracy: int = 100000) -> ScalerParams:
     """A4: quartiles, median, min and max of each numeric column (train rows).
 
-    ``exact`` finds the order statistics by distributed interval narrowing
+    ``exact`` finds the order statistics by sketches and exact counts
     (``operators.quantiles``: no task holds a column's distinct values) and
     interpolates linearly; ``exact=False`` merges bounded quantile sketches
     (``percentile_approx``) in one pass instead.

@@ -1,24 +1,25 @@
-"""Exact quantiles without holding a column's distinct values in one task.
-
-``percentile`` keeps every distinct value of a column in its aggregation
-buffer and merges all of them in the single task of a global aggregation —
-fine for counters and rates, an out-of-memory for a continuous column of
-10^12 rows. Here each wanted order statistic (the rank-k value of a column) is
-found by narrowing a value interval:
-
-1. one pass: count, min, max per column;
-2. per level: rows inside a target's interval are put in B equal-width
-   buckets; ``groupBy(target, bucket)`` with partial aggregation gives count,
-   min and max per bucket (≤ targets × B rows); running counts over that table
-   (window per target, ≤ B rows) pick the bucket holding rank k. Bucketing is
-   monotone in the value, so the bucket's own [min, max] contains exactly its
-   values — the next interval;
-3. when an interval holds a single value, that is the answer; when it holds
-   few rows (≤ ``final_rows``), they are ranked directly (window per target).
-
-Only per-target state (a few numbers) reaches the driver. Linear
+"""Exact quantiles without holding a column's values in one task.
+
+The wanted order statistics (the rank-k values of a column) are bracketed by
+Spark's own sketches and then counted, the same way at every size:
+
+1. one pass: count, min and max of each column;
+2. twice: ``percentile_approx`` on a grid gives, for each open interval, the
+   values next to each wanted rank (a few KB of sketch per map task); one pass
+   then counts the rows between and at these values (partial aggregation, a
+   handful of groups per rank). The exact counts tell which value a rank has,
+   or between which two it lies, however good the sketch was;
+3. what is still open lies in intervals of about 1/grid² of the rows: their
+   values are collapsed to (value, copies) and the running count per interval
+   gives the rank.
+
+Values that are held by many rows are grid values themselves and are found by
+the counting alone. Only per-rank state reaches the driver. Linear
 interpolation between the two neighbouring order statistics gives the
 percentile: ``lo + (hi − lo) · d`` with position ``(n − 1) · p``.
+
+Nulls and NaN are left out; an infinite value is an error that names the
+column; a column without values has no quantiles.
 """
 
 from __future__ import annotations
@@ -29,170 +30,160 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Grid of the sketches: an interval shrinks to about 1/GRID of its rows a round.
+GRID = 256
+ROUNDS = 2
+
 
 @dataclass
 class _Target:
     col: int
     rank: int            # 0-based rank wanted
-    lo: float
-    hi: float
-    base: int            # values strictly below ``lo``
-    count: int           # values inside [lo, hi]
+    count: int           # values inside the open interval (lo, hi)
+    lo: float = -math.inf
+    hi: float = math.inf
+    base: int = 0        # values at or below ``lo``
     value: float | None = None
 
 
 def _q(c: str):
-    return F.col(f"`{c}`").cast("double")
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _column_stats(df: DataFrame, cols: list[str]) -> dict[int, tuple[int, float, float]]:
+    """{column index: (count, min, max)} of the columns that have values."""
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(_q(c)).alias(f"n{i}"), F.min(_q(c)).alias(f"lo{i}"), F.max(_q(c)).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    stats = {}
+    for i, c in enumerate(cols):
+        if not row[f"n{i}"]:
+            continue
+        n, lo, hi = int(row[f"n{i}"]), float(row[f"lo{i}"]), float(row[f"hi{i}"])
+        if math.isinf(lo) or math.isinf(hi):
+            raise ValueError(f"column {c!r} holds an infinite value")
+        stats[i] = (n, lo, hi)
+    return stats
 
 
 def order_statistics(df: DataFrame, cols: list[str], ranks: dict[int, list[int]],
-                     stats: dict[int, tuple[int, float, float]], buckets: int = 1 << 16,
-                     final_rows: int = 1 << 17, max_levels: int = 12) -> dict[tuple[int, int], float]:
+                     stats: dict[int, tuple[int, float, float]],
+                     grid: int = GRID, rounds: int = ROUNDS) -> dict[tuple[int, int], float]:
     """Values at the given 0-based ranks (per column index)."""
-    targets: list[_Target] = []
+    targets = []
     for ci, rs in ranks.items():
         n, mn, mx = stats[ci]
-        for r in sorted(set(rs)):
-            t = _Target(ci, r, mn, mx, 0, n)
-            if mn == mx:
-                t.value = mn
-            targets.append(t)
-
-    for _ in range(max_levels):
-        open_t = [t for t in targets if t.value is None]
-        if not open_t:
-            break
-        small = [t for t in open_t if t.count <= final_rows]
-        big = [t for t in open_t if t.count > final_rows]
-        if small:
-            _rank_directly(df, cols, small)
-        if not big:
-            break
-        _narrow(df, cols, big, buckets)
-    for t in targets:
-        if t.value is None:                       # pathological: rank what is left
-            _rank_directly(df, cols, [t])
+        targets += [_Target(ci, r, n, value=mn if mn == mx else None) for r in sorted(set(rs))]
+    for _ in range(rounds):
+        _narrow(df, cols, _open(targets), grid)
+    _rank(df, cols, _open(targets))
     return {(t.col, t.rank): t.value for t in targets}
 
 
-def _in_range(df_col, t: _Target):
-    return (df_col >= F.lit(t.lo)) & (df_col <= F.lit(t.hi))
-
-
-def _narrow(df: DataFrame, cols: list[str], big: list[_Target], buckets: int) -> None:
-    # targets sharing column and interval share one histogram
+def _open(targets: list[_Target]) -> list[list[_Target]]:
+    """Targets without a value, those of one interval together. The intervals
+    of a column don't overlap."""
     groups: dict[tuple[int, float, float], list[_Target]] = {}
-    for t in big:
-        groups.setdefault((t.col, t.lo, t.hi), []).append(t)
-    keys = list(groups)
-    entries = []
-    for gi, (ci, lo, hi) in enumerate(keys):
-        x = _q(cols[ci])
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets))),
-                    F.lit(buckets - 1)).cast("long")
-        entries.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
-                              F.struct(F.lit(gi).alias("g"), b.alias("b"), x.alias("x"))))
-    cells = (df.select(F.filter(F.array(*entries), lambda e: e.isNotNull()).alias("_e"))
-               .select(F.inline("_e")))
-    hist = cells.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"),
-                                       F.max("x").alias("mx"))
-    run = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("cum", F.sum("n").over(run))
-    # wanted (group, rank offset) pairs: a tiny literal table, broadcast
-    want = []
-    for gi, k in enumerate(keys):
-        for t in groups[k]:
-            want.append((gi, t.rank - t.base))
-    spark = df.sparkSession
-    wdf = spark.createDataFrame(want, "g int, off long")
-    hit = (hist.join(F.broadcast(wdf), "g")
-               .filter((F.col("cum") - F.col("n") <= F.col("off")) & (F.col("off") < F.col("cum")))
-               .select("g", "off", "n", "mn", "mx", (F.col("cum") - F.col("n")).alias("below"))
-               .collect())
-    found = {(r["g"], r["off"]): r for r in hit}
-    for gi, k in enumerate(keys):
-        for t in groups[k]:
-            r = found[(gi, t.rank - t.base)]
-            t.base += int(r["below"])
-            t.lo, t.hi, t.count = float(r["mn"]), float(r["mx"]), int(r["n"])
-            if t.lo == t.hi:
-                t.value = t.lo
-
-
-def _rank_directly(df: DataFrame, cols: list[str], small: list[_Target]) -> None:
-    """Rank the rows of each distinct (column, interval) once and read every
-    wanted rank from it."""
-    groups: dict[tuple[int, float, float], list[_Target]] = {}
-    for t in small:
-        groups.setdefault((t.col, t.lo, t.hi), []).append(t)
-    keys = list(groups)
-    entries = []
-    for gi, (ci, lo, hi) in enumerate(keys):
-        x = _q(cols[ci])
-        entries.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
-                              F.struct(F.lit(gi).alias("g"), x.alias("x"))))
-    cells = (df.select(F.filter(F.array(*entries), lambda e: e.isNotNull()).alias("_e"))
-               .select(F.inline("_e")))
-    w = Window.partitionBy("g").orderBy("x")
-    spark = df.sparkSession
-    want = sorted({(gi, t.rank - t.base + 1) for gi, k in enumerate(keys) for t in groups[k]})
-    wdf = spark.createDataFrame(want, "g int, rn long")
-    got = (cells.withColumn("rn", F.row_number().over(w))
-                .join(F.broadcast(wdf), ["g", "rn"]).select("g", "rn", "x").collect())
-    found = {(r["g"], r["rn"]): float(r["x"]) for r in got}
-    for gi, k in enumerate(keys):
-        for t in groups[k]:
-            t.value = found[(gi, t.rank - t.base + 1)]
+    for t in targets:
+        if t.value is None:
+            groups.setdefault((t.col, t.lo, t.hi), []).append(t)
+    return list(groups.values())
+
+
+def _cells(df: DataFrame, cols: list[str], groups: list[list[_Target]]) -> DataFrame:
+    """(g, x): the values inside interval ``g``; one entry a row and column at most."""
+    place = {}
+    for g, (t, *_) in enumerate(groups):
+        x = _q(cols[t.col])
+        inside = (x > F.lit(t.lo)) & (x < F.lit(t.hi))
+        place[t.col] = place[t.col].when(inside, g) if t.col in place else F.when(inside, g)
+    entries = [F.struct(g.cast("int").alias("g"), _q(cols[ci]).alias("x")) for ci, g in place.items()]
+    return df.select(F.inline(F.array(*entries))).where("g is not null")
+
+
+def _narrow(df: DataFrame, cols: list[str], groups: list[list[_Target]], grid: int) -> None:
+    if not groups:
+        return
+    cells = _cells(df, cols, groups)
+    probs = [i / grid for i in range(grid + 1)]
+    sketches = cells.groupBy("g").agg(F.percentile_approx("x", probs, 4 * grid).alias("cuts")).collect()
+    cuts = {r["g"]: r["cuts"] for r in sketches}
+    bounds = {}
+    for g, ts in enumerate(groups):
+        near = set()
+        for t in ts:
+            i = (t.rank - t.base) * grid // t.count
+            near.update(cuts[g][max(0, i - 1):i + 3])
+        bounds[g] = sorted(near)
+    # a handful of values per wanted rank
+    table = df.sparkSession.createDataFrame(list(bounds.items()), "g int, bounds array<double>")
+    # 2k: between bounds k-1 and k; 2k+1: equal to bound k
+    seg = (F.size(F.filter("bounds", lambda b: b < F.col("x")))
+           + F.size(F.filter("bounds", lambda b: b <= F.col("x"))))
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in (cells.join(F.broadcast(table), "g").groupBy("g", seg.alias("seg"))
+                   .agg(F.count(F.lit(1)).alias("n")).collect()):
+        counts.setdefault(r["g"], []).append((r["seg"], r["n"]))
+    for g, ts in enumerate(groups):
+        for t in ts:
+            for s, n in sorted(counts[g]):
+                if t.rank - t.base < n:
+                    break
+                t.base += n
+            k = s // 2
+            if s % 2:
+                t.value = bounds[g][k]
+            else:
+                t.count = n
+                if k > 0:
+                    t.lo = bounds[g][k - 1]
+                if k < len(bounds[g]):
+                    t.hi = bounds[g][k]
+
+
+def _rank(df: DataFrame, cols: list[str], groups: list[list[_Target]]) -> None:
+    if not groups:
+        return
+    copies = _cells(df, cols, groups).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    want = [(g, off) for g, ts in enumerate(groups) for off in sorted({t.rank - t.base for t in ts})]
+    table = df.sparkSession.createDataFrame(want, "g int, off long")      # one row per wanted rank
+    hit = (copies.withColumn("upto", F.sum("n").over(run)).join(F.broadcast(table), "g")
+                 .where("upto - n <= off and off < upto").select("g", "off", "x").collect())
+    found = {(r["g"], r["off"]): float(r["x"]) for r in hit}
+    for g, ts in enumerate(groups):
+        for t in ts:
+            t.value = found[(g, t.rank - t.base)]
 
 
 def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float], **kw) -> dict:
     """{column: ([p-quantiles], min, max, n)} with linear interpolation."""
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(_q(c)).alias(f"n{i}"), F.min(_q(c)).alias(f"lo{i}"), F.max(_q(c)).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
-    stats, ranks, pos = {}, {}, {}
-    for i in range(len(cols)):
-        n = int(row[f"n{i}"])
-        if n == 0:
-            continue
-        stats[i] = (n, float(row[f"lo{i}"]), float(row[f"hi{i}"]))
-        rs = []
-        for p in probs:
-            rn = (n - 1) * p
-            lo_r, hi_r = math.floor(rn), math.ceil(rn)
-            pos[(i, p)] = (rn, lo_r, hi_r)
-            rs += [lo_r, hi_r]
-        ranks[i] = rs
+    stats, ranks = _column_stats(df, cols), {}
+    for i, (n, _, _) in stats.items():
+        ranks[i] = [r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))]
     vals = order_statistics(df, cols, ranks, stats, **kw)
     out = {}
     for i, c in enumerate(cols):
         if i not in stats:
             out[c] = (None, None, None, 0)
             continue
+        n, mn, mx = stats[i]
         qs = []
         for p in probs:
-            rn, lo_r, hi_r = pos[(i, p)]
-            a, b = vals[(i, lo_r)], vals[(i, hi_r)]
-            qs.append(a if lo_r == hi_r else a + (b - a) * (rn - lo_r))
-        out[c] = (qs, stats[i][1], stats[i][2], stats[i][0])
+            at = (n - 1) * p
+            a, b = vals[(i, math.floor(at))], vals[(i, math.ceil(at))]
+            qs.append(a if a == b else a + (b - a) * (at - math.floor(at)))
+        out[c] = (qs, mn, mx, n)
     return out
 
 
 def frequency_cuts(df: DataFrame, cols: list[str], bins: int, **kw) -> dict[str, list[float]]:
     """Equal-frequency cut points per column: the distinct order statistics at
     0-based ranks floor(i·n/bins), i = 1 … bins−1 (exact, distributed)."""
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(_q(c)).alias(f"n{i}"), F.min(_q(c)).alias(f"lo{i}"), F.max(_q(c)).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
-    stats, ranks = {}, {}
-    for i in range(len(cols)):
-        n = int(row[f"n{i}"])
-        if n == 0:
-            continue
-        stats[i] = (n, float(row[f"lo{i}"]), float(row[f"hi{i}"]))
-        ranks[i] = sorted({min(n - 1, (j * n) // bins) for j in range(1, bins)})
+    stats = _column_stats(df, cols)
+    ranks = {i: sorted({min(n - 1, (j * n) // bins) for j in range(1, bins)}) for i, (n, _, _) in stats.items()}
     vals = order_statistics(df, cols, ranks, stats, **kw)
     return {c: sorted({vals[(i, r)] for r in ranks[i]}) if i in ranks else []
             for i, c in enumerate(cols)}

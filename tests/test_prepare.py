@@ -111,7 +111,7 @@ def test_exact_quantiles_multi_level_against_numpy(spark):
     c = np.full(3700, 5.0)
     df = spark.createDataFrame([(float(x), float(y), float(z)) for x, y, z in zip(a, b, c)],
                                "a double, b double, c double")
-    got = exact_percentiles(df, ["a", "b", "c"], [0.25, 0.5, 0.75], buckets=4, final_rows=16)
+    got = exact_percentiles(df, ["a", "b", "c"], [0.25, 0.5, 0.75], grid=4)
     for col, v in (("a", a), ("b", b), ("c", c)):
         srt = np.sort(v)
         for p, q in zip([0.25, 0.5, 0.75], got[col][0]):
@@ -121,6 +121,30 @@ def test_exact_quantiles_multi_level_against_numpy(spark):
         assert got[col][1] == v.min() and got[col][2] == v.max() and got[col][3] == len(v)
 
 
+@pytest.mark.parametrize("grid,rounds", [(4, 1), (4, 3), (256, 2), (256, 0)])
+def test_exact_quantiles_nan_null_and_extreme_values(spark, grid, rounds):
+    from flowlens.operators.quantiles import exact_percentiles
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(0, 1, 1000), np.full(600, 0.25), [1e300, -1e300]])   # a third equal
+    rows = [(float(x),) for x in v] + [(float("nan"),), (None,)] * 50
+    got = exact_percentiles(spark.createDataFrame(rows, "a double").repartition(5), ["a"],
+                            [0.0, 0.1, 0.5, 0.999, 1.0], grid=grid, rounds=rounds)["a"]
+    srt = np.sort(v)
+    for p, q in zip([0.0, 0.1, 0.5, 0.999, 1.0], got[0]):
+        at = (len(v) - 1) * p
+        lo, hi = srt[math.floor(at)], srt[math.ceil(at)]
+        assert q == lo + (hi - lo) * (at - math.floor(at))
+    assert got[1:] == (-1e300, 1e300, len(v))
+
+
+def test_quantiles_of_infinite_and_empty_columns(spark):
+    from flowlens.operators.quantiles import exact_percentiles
+    df = spark.createDataFrame([(1.0, None), (float("inf"), None)], "a double, b double")
+    with pytest.raises(ValueError, match="'a'"):
+        exact_percentiles(df, ["a"], [0.5])
+    assert exact_percentiles(df, ["b"], [0.5]) == {"b": (None, None, None, 0)}
+
+
 def test_split_with_heavy_copies(spark):
     # a third of the rows are copies of one row: counts stay exact, rows stay whole
     base = spark.range(3000).select(F.col("id"), (F.col("id") % 5 == 0).cast("string").alias("label"))
@@ -160,7 +184,7 @@ def test_frequency_cuts_against_numpy(spark):
     a = np.concatenate([rng.lognormal(2, 2, 900), np.zeros(300)])
     b = rng.integers(0, 3, 1200).astype(float)
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
-    got = frequency_cuts(df, ["a", "b"], 8, buckets=4, final_rows=50)
+    got = frequency_cuts(df, ["a", "b"], 8, grid=4)
     for col, v in (("a", a), ("b", b)):
         srt, n = np.sort(v), len(v)
         assert got[col] == sorted({float(srt[min(n - 1, (j * n) // 8)]) for j in range(1, 8)})

@@ -82,7 +82,7 @@ def _scaled(c: str) -> str:
 
 
 ENCODED_CTE = VOCAB_CTE + f""",
-enc as (select {", ".join(ROW_KEY)}, label, is_test,
+enc as materialized (select {", ".join(ROW_KEY)}, label, is_test,
    {", ".join(f"{_scaled(c)} as {c}" for c in NUM)},
    (select string_agg(v.feature, ',' order by v.position) from vocab v
       where (v."column" = 'protocol_type' and v.value = sp.protocol_type)

@@ -40,7 +40,9 @@ from pyspark.sql import types as T
 from flowlens.session import scratch_path, ship_package
 
 
-PRECOMPUTE_MAX_D = 8          # leaves with ≤ 8 distinct path features get a pattern table
+PRECOMPUTE_MAX_D = 8          # leaves with ≤ 8 distinct path features get a pattern table,
+PATTERN_BYTES = 64 << 20      # as long as all tables together stay below this; the others' patterns
+                              # are computed for each batch, with the same values
 
 
 @dataclass
@@ -90,13 +92,7 @@ def _tree_leaves(nodes: dict, value_fn, cover_fn, n_out: int):
                 slot = feats.index(f)
                 z[slot] *= ratio
                 conds.append((slot, kind, thr, go_left))
-            leaf = Leaf(np.asarray(feats, dtype=int), z, conds, value)
-            d = len(feats)
-            if 0 < d <= PRECOMPUTE_MAX_D:
-                codes = np.arange(1 << d, dtype=np.int64)
-                pats = ((codes[:, None] >> np.arange(d)) & 1).astype(float)
-                leaf.table = leaf_phi(pats, z)
-            leaves.append(leaf)
+            leaves.append(Leaf(np.asarray(feats, dtype=int), z, conds, value))
             base[:] += value * (np.prod([p[4] for p in path]) if path else 1.0)
             return
         sp = nd["split"]
@@ -113,6 +109,19 @@ def _tree_leaves(nodes: dict, value_fn, cover_fn, n_out: int):
     return leaves, base
 
 
+def _add_patterns(leaves: list) -> None:
+    """Pattern tables, small leaves first, within ``PATTERN_BYTES`` in all."""
+    left = PATTERN_BYTES
+    for leaf in sorted(leaves, key=lambda x: len(x.features)):
+        d = len(leaf.features)
+        left -= (8 * d) << d
+        if d > PRECOMPUTE_MAX_D or left < 0:
+            return
+        if d > 0:
+            codes = np.arange(1 << d, dtype=np.int64)
+            leaf.table = leaf_phi(((codes[:, None] >> np.arange(d)) & 1).astype(float), leaf.z)
+
+
 def _trees_of(rows) -> dict[int, dict[int, object]]:
     trees: dict[int, dict[int, object]] = {}
     for r in rows:
@@ -123,9 +132,13 @@ def _trees_of(rows) -> dict[int, dict[int, object]]:
 def build_leaf_table(spark: SparkSession, forest, n_features: int) -> LeafTable:
     """Random forest classifier: leaf output = normalised class counts, cover =
     weighted count; the forest output is the mean over trees."""
-    trees = _trees_of(_node_table(spark, forest))
-    n_classes = int(forest.numClasses)
+    return leaf_table(_trees_of(_node_table(spark, forest)), n_features, int(forest.numClasses))
 
+
+def leaf_table(trees: dict[int, dict], n_features: int, n_classes: int) -> LeafTable:
+    """The leaf table of given trees: tree id -> node id -> node (a row or a
+    dict with leftChild, rightChild, split and impurityStats, the weighted
+    class counts)."""
     def value(nd):
         stats = np.asarray(nd["impurityStats"], dtype=float)
         tot = stats.sum()
@@ -137,6 +150,7 @@ def build_leaf_table(spark: SparkSession, forest, n_features: int) -> LeafTable:
         leaves += lv
         base += b
     n_trees = len(trees)
+    _add_patterns(leaves)
     return LeafTable(n_features, n_classes, n_trees, leaves, base / n_trees)
 
 
@@ -159,6 +173,7 @@ def build_margin_table(spark: SparkSession, models: list, n_features: int) -> Le
             lv, b = _tree_leaves(trees[tid], value, lambda st: float(st[0]), n_classes)
             leaves += lv
             base += b
+    _add_patterns(leaves)
     return LeafTable(n_features, n_classes, 1, leaves, base)
 
 
@@ -298,6 +313,40 @@ def top_impacts(impacts: DataFrame, row_keys: list[str], k: int = 3) -> DataFram
         F.transform("_t", lambda e: e["feature"]).alias("top_features"))
 
 
+def _ranked(pred_index_col: str):
+    """The predicted class's impacts as (order, position, impact) by decreasing
+    |impact|, ties by feature order; sorted inside the row."""
+    impacts = F.element_at("shap", F.col(pred_index_col).cast("int") + 1)
+    return F.array_sort(F.transform(impacts, lambda x, p: F.struct(
+        (-F.abs(x)).alias("order"), p.alias("position"), x.alias("impact"))))
+
+
+def with_top_impacts(shap: DataFrame, features: list[str], pred_index_col: str, k: int = 3) -> DataFrame:
+    """X3 + T2 inside the row: ``features``, the map of the k largest |impact| on
+    the predicted class in their order, and ``top_features``; the other columns
+    stay, but for base and shap. No shuffle."""
+    names = F.array(*[F.lit(f) for f in features])
+    top = F.transform(F.slice(_ranked(pred_index_col), 1, k), lambda e: F.struct(
+        F.element_at(names, e["position"] + 1).alias("feature"), e["impact"].alias("impact")))
+    return (shap.withColumn("_top", top)
+                .withColumn("features", F.map_from_entries("_top"))
+                .withColumn("top_features", F.transform("_top", lambda e: e["feature"]))
+                .drop("_top", "base", "shap"))
+
+
+def waterfall_rows(shap: DataFrame, row_keys: list[str], features: list[str], pred_index_col: str) -> DataFrame:
+    """X6 for any number of rows, inside the row: contributions to the predicted
+    class by decreasing |impact| with the running total from the base value."""
+    names = F.array(*[F.lit(f) for f in features])
+    steps = F.transform("_ranked", lambda e, i: F.struct(
+        (i + 1).alias("step"), e["position"].alias("position"), e["impact"].alias("impact"),
+        F.aggregate(F.slice("_ranked", 1, i + 1), F.col("base_value"), lambda a, x: a + x["impact"]).alias("running_total")))
+    return (shap.withColumn("_ranked", _ranked(pred_index_col))
+                .withColumn("base_value", F.element_at("base", F.col(pred_index_col).cast("int") + 1))
+                .select(*row_keys, "base_value", F.explode(steps).alias("s"))
+                .select(*row_keys, "base_value", "s.*", F.element_at(names, F.col("s.position") + 1).alias("feature")))
+
+
 def global_importance(shap: DataFrame, features: list[str], classes: list[str]) -> DataFrame:
     """Mean |φ| per (class, feature) over all rows — partial
     aggregation over the exploded (class, feature) cells."""

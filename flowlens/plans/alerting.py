@@ -17,7 +17,6 @@ from flowlens.operators import alerts as AL
 from flowlens.operators import explain as XP
 from flowlens.operators import flows as FL
 from flowlens.operators import model as MO
-from flowlens.session import write_scratch
 from flowlens.sources.packets import read_packets
 
 DEFAULT_NODE_IP = "192.0.2.10"
@@ -33,7 +32,7 @@ def rule_prediction() -> Column:
              .when((di <= 1) & (tx <= 1) & (qn < 15), "u2r").otherwise("normal"))
 
 
-def _batch_cols(rec: DataFrame, window: str, node_ip: str) -> list:
+def batch_cols(rec: DataFrame, window: str, node_ip: str) -> list:
     return [F.col("window_start").alias("batch"), F.col("flow_seq").alias("seq"),
             (F.col("window_start") + F.expr(f"INTERVAL {window}")).alias("alert_ts"),
             F.lit(node_ip).alias("node_ip"), "src_ip", "dst_ip"]
@@ -45,7 +44,7 @@ def flow_records(spark: SparkSession, sf_dir: str, window: str) -> DataFrame:
 
 def score_records_by_rule(rec: DataFrame, window: str = "1 day",
                           node_ip: str = DEFAULT_NODE_IP) -> DataFrame:
-    return rec.select(*_batch_cols(rec, window, node_ip),
+    return rec.select(*batch_cols(rec, window, node_ip),
                       rule_prediction().alias("prediction"),
                       F.col("same_srv_rate").alias("confidence"))
 
@@ -63,20 +62,24 @@ def scored_by_model(rec: DataFrame, transformer, clf: MO.Classifier, window: str
                     node_ip: str = DEFAULT_NODE_IP) -> DataFrame:
     """M9 on flow records: keeps batch/seq/IPs, the selected encoded features,
     prediction index and name, class probabilities and confidence."""
-    base = rec.select(*_batch_cols(rec, window, node_ip), *K.ATTRIBUTE_COLUMNS)
+    base = rec.select(*batch_cols(rec, window, node_ip), *K.ATTRIBUTE_COLUMNS)
     return MO.score_records(base, transformer, clf,
                             keep=["batch", "seq", "alert_ts", "node_ip", "src_ip", "dst_ip"])
 
 
+#: Scored columns that an alert row is made of, and the predicted class's index.
+ALERT_INPUTS = ["batch", "seq", "alert_ts", "node_ip", "src_ip", "dst_ip", "prediction", "confidence", MO.PREDICTION]
+
+
+def explained_alerts(gated: DataFrame, features: list[str], table: XP.LeafTable) -> DataFrame:
+    """X1 (gated rows only) → X3 → T2 → alert rows with the top-3 feature →
+    impact map (D9), for batch, stream and request files. The alert's columns
+    pass through the explainer: no join, no shuffle after the gate."""
+    sv = XP.shap_values(gated, features, table, keep=ALERT_INPUTS)
+    return AL.alert_records(XP.with_top_impacts(sv, features, MO.PREDICTION, K.TOP_IMPACTS), features_col="features")
+
+
 def model_alerts(spark: SparkSession, scored: DataFrame, clf: MO.Classifier) -> DataFrame:
-    """P19 → X1 (gated rows only) → X3 → T2 → alert rows with the top-3
-    feature → impact map (D9)."""
-    gated = AL.gate(scored)
-    gated = write_scratch(gated, "gated")          # one pass feeds the explainer and the join
+    """P19 and the explained alerts of rows scored by the trained forest."""
     table = XP.build_leaf_table(spark, clf.forest, len(clf.features))
-    keys = ["batch", "seq", MO.PREDICTION]
-    sv = XP.shap_values(gated, clf.features, table, keep=keys)
-    imp = XP.predicted_class_impacts(sv, clf.features, MO.PREDICTION)
-    top = XP.top_impacts(imp, ["batch", "seq"], K.TOP_IMPACTS)
-    joined = gated.join(top, ["batch", "seq"], "left")
-    return AL.alert_records(joined, features_col="features")
+    return explained_alerts(AL.gate(scored), clf.features, table)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from flowlens import constants as K
+from flowlens.plans import fixed_forest as FF
+from flowlens.plans import oracle_explain_sql as OX
 from flowlens.plans import oracle_sql as O
 from flowlens.plans.alerting import DEFAULT_NODE_IP
 from flowlens.plans.oracle_prep_sql import RULE_SQL
@@ -76,3 +78,32 @@ def batch_summary_sql() -> str:
 
 def verdicts_sql() -> str:
     return _cte() + "select batch, seq, src_ip, dst_ip, prediction from scored"
+
+
+# -- scored and explained by the fixed forest -----------------------------------
+
+def _forest_cte(text: str) -> str:
+    """``alerts`` with ``features_text``: the three largest impacts, each as
+    ``text`` (SQL over phi), largest first."""
+    return "with " + O._flows_body("day") + f""",
+rec as (select {O._record_select()} from flow_feat),
+fx as (select window_start as batch, flow_seq as seq, window_start + interval 1 day as alert_ts,
+              '{DEFAULT_NODE_IP}' as node_ip, src_ip, dst_ip, {", ".join(FF.FEATURES)} from rec),
+{OX.explain_ctes("fx")},
+firsts as (select batch, min(seq) as fs from vp group by batch),
+gated as (select vp.* from vp join firsts using (batch) where {_THREAT} or seq = fs),
+tops as (select rid, string_agg(feature || ':' || {text}, ' ' order by step) as features_text
+         from imp where step <= {K.TOP_IMPACTS} group by rid),
+alerts as (select substr(sha256(concat_ws('|', node_ip, {_TS}, cast(seq as varchar))), 1, 8) as id,
+                  node_ip, src_ip, dst_ip, {_TS} as timestamp, alert_ts as ts, seq, prediction,
+                  round(confidence, {FF.DIGITS}) as confidence, features_text from gated join tops using (rid))
+"""
+
+
+def forest_alerts_sql() -> str:
+    return _forest_cte("cast(cast(round(phi, 6) as decimal(9, 6)) as varchar)") + "select * from alerts"
+
+
+def forest_dashboard_sql(n: int = K.DASHBOARD_ROWS) -> str:
+    body = _forest_cte("printf('%.2f', phi)") + ", " + _dash(n)
+    return body.replace("as ips\n", "as ips, features_text\n") + " select * from dash"

@@ -23,7 +23,9 @@ from flowlens.operators import select as SE
 from flowlens.operators import alerts as AL
 from flowlens.operators import explain as XP
 from flowlens.plans import alerting as AP
+from flowlens.plans import fixed_forest as FF
 from flowlens.plans import oracle_alert_sql as OA
+from flowlens.plans import oracle_explain_sql as OX
 from flowlens.plans import oracle_prep_sql as OP
 from flowlens.plans import oracle_sql as O
 from flowlens.plans import prepare as PP
@@ -263,6 +265,36 @@ def q_critical_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return XP.waterfall(imp, RC.ROW_KEY)
 
 
+def _test_query(view: Callable[[DataFrame], DataFrame]) -> Builder:
+    """A view over all test rows of the stand-in records."""
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return view(_split(spark, sf_dir).filter(F.col(PP.SPLIT_COL)))
+    build.__doc__ = view.__doc__
+    return build
+
+
+def q_probability_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6–M8, P17 of the trained forest: test rows per class, and how many of
+    them have probabilities that sum to 1 and the largest as confidence."""
+    prep, clf = _trained(spark, sf_dir)
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    holds = (F.abs(total - 1.0) < 1e-9) & (F.col("confidence") == F.array_max("probs"))
+    return clf.predict(prep.test).groupBy(K.LABEL_COLUMN).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(holds).alias("n_holds"))
+
+
+def q_shapley_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1/X2 of the trained forest: test rows per class, and how many of them
+    have base plus impacts equal to the probability, for every class."""
+    prep, clf = _trained(spark, sf_dir)
+    table = XP.build_leaf_table(spark, clf.forest, len(clf.features))
+    sv = XP.shap_values(clf.predict(prep.test), clf.features, table, keep=[K.LABEL_COLUMN, "probs"])
+    gap = F.transform(F.arrays_zip("base", "shap", "probs"), lambda e: F.abs(
+        F.aggregate(e["shap"], e["base"], lambda a, x: a + x) - e["probs"]))
+    return sv.groupBy(K.LABEL_COLUMN).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.array_max(gap) < 1e-9).alias("n_holds"))
+
+
 # -- E3: alerts -----------------------------------------------------------------
 
 CLEARED_AT = "2024-01-15 00:00:00"   # a "clear" pressed mid-range (T7)
@@ -331,6 +363,19 @@ def q_model_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AP.model_alerts(spark, scored, clf)
 
 
+def q_forest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow records scored by the fixed forest, alert
+    rows with their three largest impacts."""
+    return FF.alerts(spark, sf_dir, BATCH_WINDOW)
+
+
+def q_forest_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4, P20–P24 with the impact text, over the fixed forest's alerts."""
+    rec = AP.flow_records(spark, sf_dir, BATCH_WINDOW)
+    rows = AL.dashboard_rows(FF.explained_alerts(FF.score_records(rec, BATCH_WINDOW)))
+    return rows.withColumn("confidence", FF.rounded("confidence"))
+
+
 # -- streaming ------------------------------------------------------------------
 
 STREAM_WATERMARK = "1 hour"
@@ -341,13 +386,24 @@ def q_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     the stateful flow aggregation (daily windows, 1 hour watermark) and the
     foreachBatch step (counters, rule scorer, gate); a heartbeat after the last
     packet closes every window. Returns the alert rows written by the stream."""
+    from flowlens.streaming import live as LV
+    return _streamed_alerts(spark, sf_dir, lambda rec: AP.score_records_by_rule(rec, BATCH_WINDOW), LV.gated_alerts)
+
+
+def q_stream_forest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1–ST4 with a model and impacts: as ``stream_alerts``, scored by the
+    fixed forest; every alert carries its three largest impacts."""
+    found = _streamed_alerts(spark, sf_dir, lambda rec: FF.score_records(rec, BATCH_WINDOW), FF.explained_alerts)
+    return FF.flat_alerts(found)
+
+
+def _streamed_alerts(spark: SparkSession, sf_dir: str, score, alerts) -> DataFrame:
     from flowlens.streaming import live as LV
     land = scratch_path(spark, "packets-landing")
     LV.land_packets(read_packets(spark, sf_dir), land)
     LV.land_heartbeat(spark, land, BATCH_WINDOW, STREAM_WATERMARK)
     out = scratch_path(spark, "live-out")
-    q = LV.run_live(spark, land, out, lambda rec: AP.score_records_by_rule(rec, BATCH_WINDOW),
-                    window=BATCH_WINDOW, watermark=STREAM_WATERMARK)
+    q = LV.run_live(spark, land, out, score, window=BATCH_WINDOW, watermark=STREAM_WATERMARK, alerts=alerts)
     q.awaitTermination()
     return spark.read.parquet(f"{out}/alerts").drop("epoch")
 
@@ -390,6 +446,20 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "verdicts": (q_verdicts, OA.verdicts_sql()),
     "model_alerts": (q_model_alerts, None),
     "stream_alerts": (q_stream_alerts, OA.alerts_sql()),
+    "fixed_forest_predictions": (_test_query(FF.predictions), OX.predictions_sql()),
+    "fixed_forest_shap_values": (_test_query(FF.long_values), OX.long_values_sql()),
+    "fixed_forest_base_values": (_test_query(FF.base_values), OX.base_values_sql()),
+    "fixed_forest_class_impacts": (_test_query(FF.predicted_impacts), OX.predicted_impacts_sql()),
+    "fixed_forest_top_impacts": (_test_query(FF.top_impacts), OX.top_impacts_sql()),
+    "fixed_forest_importance": (_test_query(FF.importance), OX.importance_sql()),
+    "fixed_forest_direction": (_test_query(FF.direction), OX.direction_sql()),
+    "fixed_forest_waterfall": (_test_query(FF.waterfall), OX.waterfall_sql()),
+    "fixed_forest_critical_case": (_test_query(FF.critical_case), OX.critical_case_sql()),
+    "fixed_forest_alerts": (q_forest_alerts, OA.forest_alerts_sql()),
+    "fixed_forest_dashboard": (q_forest_dashboard, OA.forest_dashboard_sql()),
+    "stream_fixed_forest_alerts": (q_stream_forest_alerts, OA.forest_alerts_sql()),
+    "model_probability_check": (q_probability_check, OX.rows_per_class_sql()),
+    "model_shapley_check": (q_shapley_check, OX.rows_per_class_sql()),
 }
 
 

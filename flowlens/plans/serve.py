@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.operators import alerts as AL
-from flowlens.operators import explain as XP
 from flowlens.operators import model as MO
+from flowlens.plans import alerting as AP
 from flowlens.session import write_scratch
 from flowlens.sources import requests as RQ
 
@@ -38,12 +38,7 @@ def score_request_files(spark: SparkSession, requests_path: str, model_dir: str,
     base = write_scratch(base, "requests")        # fixes row ids before they are reused
     scored = write_scratch(MO.score_records(base, tr, clf, keep=["batch", "seq", "alert_ts", "node_ip", "src_ip", "dst_ip"]),
                            "served-scored")
-    gated = write_scratch(AL.gate(scored), "served-gated")
-    table = XP.build_leaf_table(spark, clf.forest, len(clf.features))
-    sv = XP.shap_values(gated, clf.features, table, keep=["batch", "seq", MO.PREDICTION])
-    top = XP.top_impacts(XP.predicted_class_impacts(sv, clf.features, MO.PREDICTION),
-                         ["batch", "seq"], K.TOP_IMPACTS)
-    alerts = write_scratch(AL.alert_records(gated.join(top, ["batch", "seq"], "left"), features_col="features"), "served-alerts")
+    alerts = write_scratch(AP.model_alerts(spark, scored, clf), "served-alerts")
     if out_dir:
         RQ.append_alerts(alerts, f"{out_dir}/alerts", batch_id)
         RQ.publish_verdicts(AL.verdicts(scored), f"{out_dir}/verdicts", batch_id)

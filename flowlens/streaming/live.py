@@ -67,33 +67,45 @@ def records_from_flows(flows: DataFrame) -> DataFrame:
     return FL.assemble_records(FL.host_features(flows))
 
 
-def process_closed_flows(out_dir: str, window: str,
-                         score: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+Step = Callable[[DataFrame], DataFrame]
+
+
+def gated_alerts(scored: DataFrame) -> DataFrame:
+    """P19 and plain alert rows, without impacts."""
+    return AL.alert_records(AL.gate(scored))
+
+
+def _write_epoch(out_dir: str, epoch_id: int, flows: DataFrame, score: Step, alerts: Step) -> None:
+    """ST3/ST4 for the flows of an epoch: records, verdicts (S9), batch
+    summaries (P27) and alerts (S8), each in the epoch's own folder. Records
+    and scored rows are written first, as several outputs read them."""
+    rec = write_scratch(records_from_flows(flows), f"stream-records-{epoch_id}")
+    scored = write_scratch(score(rec), f"stream-scored-{epoch_id}")
+    for name, rows in (("flows", flows), ("records", rec), ("verdicts", AL.verdicts(scored)),
+                       ("summary", AL.batch_summary(scored)), ("alerts", alerts(scored))):
+        rows.write.mode("overwrite").parquet(f"{out_dir}/{name}/epoch={epoch_id}")
+
+
+def process_closed_flows(out_dir: str, window: str, score: Step,
+                         alerts: Step = gated_alerts) -> Callable[[DataFrame, int], None]:
     """ST4: the ``foreachBatch`` body. ``score`` maps 41-attribute records to
     rows with batch, seq, alert_ts, node_ip, src_ip, dst_ip, prediction,
-    confidence. Writes records, verdicts (S9), batch summaries (P27) and
-    alerts (S8) for the epoch."""
+    confidence (and whatever ``alerts`` needs); ``alerts`` maps scored rows to
+    alert rows, such as ``plans.alerting.model_alerts`` with impacts."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         # the heartbeat goes here, not in the stream's plan: a filter there would
         # move below the watermark, which must see it
         flows = write_scratch(batch.where(F.col("protocol_type") != HEARTBEAT), f"stream-flows-{epoch_id}")
-        rec = write_scratch(records_from_flows(flows), f"stream-records-{epoch_id}")
-        scored = write_scratch(score(rec), f"stream-scored-{epoch_id}")   # the three outputs read it
-        part = f"epoch={epoch_id}"
-        flows.write.mode("overwrite").parquet(f"{out_dir}/flows/{part}")
-        rec.write.mode("overwrite").parquet(f"{out_dir}/records/{part}")
-        AL.verdicts(scored).write.mode("overwrite").parquet(f"{out_dir}/verdicts/{part}")
-        AL.batch_summary(scored).write.mode("overwrite").parquet(f"{out_dir}/summary/{part}")
-        AL.alert_records(AL.gate(scored)).write.mode("overwrite").parquet(f"{out_dir}/alerts/{part}")
+        _write_epoch(out_dir, epoch_id, flows, score, alerts)
 
     return run
 
 
-def run_live(spark: SparkSession, packets_path: str, out_dir: str, score: Callable[[DataFrame], DataFrame],
+def run_live(spark: SparkSession, packets_path: str, out_dir: str, score: Step,
              window: str = "4 seconds", watermark: str = "10 seconds",
              checkpoint: str | None = None, available_now: bool = True,
-             max_files_per_trigger: int | None = None):
+             max_files_per_trigger: int | None = None, alerts: Step = gated_alerts):
     """Start the live query: file source → stateful flows → foreachBatch.
     With ``available_now`` it processes what is there and stops; windows that
     the watermark has not passed stay open in the state (``land_heartbeat``
@@ -101,12 +113,12 @@ def run_live(spark: SparkSession, packets_path: str, out_dir: str, score: Callab
     flows = flow_stream(packet_stream(spark, packets_path, max_files_per_trigger), window, watermark)
     w = (flows.writeStream.outputMode("append")
               .option("checkpointLocation", checkpoint or scratch_path(spark, "live-ckpt"))
-              .foreachBatch(process_closed_flows(out_dir, window, score)))
+              .foreachBatch(process_closed_flows(out_dir, window, score, alerts)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=window)
     return w.start()
 
 
-def process_capture_batch(out_dir: str, score: Callable[[DataFrame], DataFrame]
+def process_capture_batch(out_dir: str, score: Step, alerts: Step = gated_alerts
                           ) -> Callable[[DataFrame, int], None]:
     """Capture-batch mode (the source's own batching): every micro-batch of
     packets is one batch; flows never span batches. The batch is stamped with
@@ -120,28 +132,21 @@ def process_capture_batch(out_dir: str, score: Callable[[DataFrame], DataFrame]
             return
         flows = write_scratch(FL.aggregate_flows(packets, batch_start=F.lit(first)),
                               f"capture-flows-{epoch_id}")
-        rec = write_scratch(records_from_flows(flows), f"capture-records-{epoch_id}")
-        scored = write_scratch(score(rec), f"capture-scored-{epoch_id}")
-        part = f"epoch={epoch_id}"
-        flows.write.mode("overwrite").parquet(f"{out_dir}/flows/{part}")
-        rec.write.mode("overwrite").parquet(f"{out_dir}/records/{part}")
-        AL.verdicts(scored).write.mode("overwrite").parquet(f"{out_dir}/verdicts/{part}")
-        AL.batch_summary(scored).write.mode("overwrite").parquet(f"{out_dir}/summary/{part}")
-        AL.alert_records(AL.gate(scored)).write.mode("overwrite").parquet(f"{out_dir}/alerts/{part}")
+        _write_epoch(out_dir, epoch_id, flows, score, alerts)
 
     return run
 
 
 def run_capture_batches(spark: SparkSession, packets_path: str, out_dir: str,
-                        score: Callable[[DataFrame], DataFrame], interval: str = "4 seconds",
+                        score: Step, interval: str = "4 seconds",
                         checkpoint: str | None = None, available_now: bool = True,
-                        max_files_per_trigger: int | None = None):
+                        max_files_per_trigger: int | None = None, alerts: Step = gated_alerts):
     """ST1 as the source batches: a processing-time trigger of ``interval``
     (or everything available), each micro-batch aggregated on its own;
     ``max_files_per_trigger=1`` makes every landed file a batch."""
     w = (packet_stream(spark, packets_path, max_files_per_trigger).writeStream
          .option("checkpointLocation", checkpoint or scratch_path(spark, "capture-ckpt"))
-         .foreachBatch(process_capture_batch(out_dir, score)))
+         .foreachBatch(process_capture_batch(out_dir, score, alerts)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 

@@ -161,21 +161,19 @@ def host_features(flows: DataFrame, salt_threshold: int = 1 << 20, salts: int =
     one counter row replicated over ``salts`` salt values and its flows spread
     over them by capture sequence, so no single task joins all of a hot
     host's flows. There are at most total_flows / ``salt_threshold`` hot keys,
-    so that key list is broadcast; with no hot key every salt is 0. The list's
-    size is checked: beyond ``max_hot`` keys only the ``max_hot`` heaviest are
-    salted (the rest join unsalted — every counter row keeps its salt-0
-    copy, so the result is the same). With ``materialize`` the counter table
-    (one row per key) is written once, as it is read twice."""
+    so that key list is broadcast after a count of it; with no hot key every
+    salt is 0. A list of more than ``max_hot`` keys is joined without a
+    broadcast (and its skew left to AQE's skew join); every hot key is salted
+    either way. With ``materialize`` the counter table (one row per key) is
+    written once, as it is read twice."""
     keys = ["window_start", "ip_dst", "service"]
     counts = service_counts(flows)
     if materialize:
         counts = write_scratch(counts, "host-counts")
     is_hot = F.col("srv_count") > F.lit(salt_threshold)
     hot = counts.filter(is_hot)
-    if hot.count() > max_hot:
-        hot = hot.orderBy(F.col("srv_count").desc()).limit(max_hot)
-    hot = hot.select(*keys).withColumn("_hot", F.lit(True))
-    f = (flows.join(F.broadcast(hot), keys, "left")
+    listed = hot.select(*keys).withColumn("_hot", F.lit(True))
+    f = (flows.join(F.broadcast(listed) if hot.count() <= max_hot else listed, keys, "left")
               .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.col("flow_seq"), F.lit(salts)))
                                     .otherwise(F.lit(0)))
               .drop("_hot"))

@@ -32,10 +32,10 @@ def rule_prediction() -> Column:
              .when((di <= 1) & (tx <= 1) & (qn < 15), "u2r").otherwise("normal"))
 
 
-def batch_cols(rec: DataFrame, window: str, node_ip: str) -> list:
+def batch_cols(rec: DataFrame, window: str, node_ip: str | Column) -> list:
     return [F.col("window_start").alias("batch"), F.col("flow_seq").alias("seq"),
             (F.col("window_start") + F.expr(f"INTERVAL {window}")).alias("alert_ts"),
-            F.lit(node_ip).alias("node_ip"), "src_ip", "dst_ip"]
+            (F.lit(node_ip) if isinstance(node_ip, str) else node_ip).alias("node_ip"), "src_ip", "dst_ip"]
 
 
 def flow_records(spark: SparkSession, sf_dir: str, window: str) -> DataFrame:
@@ -43,7 +43,8 @@ def flow_records(spark: SparkSession, sf_dir: str, window: str) -> DataFrame:
 
 
 def score_records_by_rule(rec: DataFrame, window: str = "1 day",
-                          node_ip: str = DEFAULT_NODE_IP) -> DataFrame:
+                          node_ip: str | Column = DEFAULT_NODE_IP) -> DataFrame:
+    """``node_ip``: the sensor's address, or a column with it."""
     return rec.select(*batch_cols(rec, window, node_ip),
                       rule_prediction().alias("prediction"),
                       F.col("same_srv_rate").alias("confidence"))

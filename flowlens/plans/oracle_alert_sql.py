@@ -13,11 +13,11 @@ _THREAT = "lower(prediction) not in ('normal', '0')"
 _TS = "strftime(alert_ts, '%Y-%m-%d %H:%M:%S')"
 
 
-def _cte(window: str = "day") -> str:
+def _cte(window: str = "day", span: str = "1 day", node: str = f"'{DEFAULT_NODE_IP}'") -> str:
     return "with " + O._flows_body(window) + f""",
 rec as (select {O._record_select()} from flow_feat),
-scored as (select window_start as batch, flow_seq as seq, window_start + interval 1 {window} as alert_ts,
-                  '{DEFAULT_NODE_IP}' as node_ip, src_ip, dst_ip, {RULE_SQL} as prediction,
+scored as (select window_start as batch, flow_seq as seq, window_start + interval '{span}' as alert_ts,
+                  {node} as node_ip, src_ip, dst_ip, {RULE_SQL} as prediction,
                   same_srv_rate as confidence from rec),
 firsts as (select batch, min(seq) as fs from scored group by batch),
 gated as (select s.* from scored s join firsts f using (batch) where {_THREAT} or s.seq = f.fs),
@@ -59,12 +59,28 @@ def dashboard_filtered_sql(threat_class: str, ip_query: str, n: int = K.DASHBOAR
 
 def kpis_sql(cleared_at: str | None = None) -> str:
     where = f"where ts > timestamp '{cleared_at}'" if cleared_at else ""
-    return _cte() + (f"select count(*) as total_alerts, count(*) filter (where {_THREAT}) as threats, "
+    return _kpis(_cte(), where)
+
+
+def _kpis(cte: str, where: str = "") -> str:
+    return cte + (f"select count(*) as total_alerts, count(*) filter (where {_THREAT}) as threats, "
                      f"count(distinct node_ip) as nodes from alerts {where}")
 
 
-def node_status_sql() -> str:
-    return _cte() + f""", last as (select node_ip, max(ts) as last_seen from alerts group by node_ip),
+def _sensors() -> str:
+    return _cte("4 seconds", "4 seconds", "'192.0.2.' || string_split(src_ip, '.')[-1]")
+
+
+def sensor_kpis_sql() -> str:
+    return _kpis(_sensors())
+
+
+def sensor_status_sql() -> str:
+    return node_status_sql(_sensors())
+
+
+def node_status_sql(cte: str | None = None) -> str:
+    return (cte or _cte()) + f""", last as (select node_ip, max(ts) as last_seen from alerts group by node_ip),
 aged as (select *, cast(floor((epoch_us(max(last_seen) over ()) - epoch_us(last_seen)) / 1e6) as bigint)
                 as age_seconds from last)
 select node_ip, last_seen, age_seconds,

@@ -33,6 +33,21 @@ from pk_e)
 """
 
 
+DENSE_PACKETS_CTE = """
+packets as (select cast(((l_orderkey*8+l_linenumber)*1000000+l_partkey)*10000+l_suppkey as bigint) event_id,
+  timestamp '2024-03-01 00:00:00' + to_seconds((l_orderkey%20)*86400 + (l_partkey+l_suppkey)%86400) ts,
+  case l_suppkey%10 when 0 then 'udp' when 1 then 'icmp' else 'tcp' end proto,
+  cast(trunc(l_quantity) as bigint) bytes,
+  '10.0.1.'||(l_suppkey%7) ip_src, '10.0.1.'||(l_orderkey%3) ip_dst,
+  cast(case when l_suppkey%10=1 then 0 else 1024+l_partkey%60000 end as int) port_src,
+  cast(case when l_suppkey%10=1 then 0 else case l_linenumber%3 when 0 then 22 when 1 then 80 else 443 end end as int) port_dst,
+  case when l_suppkey%10 in (0, 1) then '' else
+    case l_linenumber when 1 then 'S' when 2 then 'R' when 3 then 'SA' else 'FA' end end tcp_flags,
+  case l_partkey%40 when 0 then '401 Unauthorized' when 1 then 'guest login ok' else 'x' end payload
+from lineitem)
+"""
+
+
 def _svc_case(port: str, proto: str) -> str:
     whens = " ".join(f"when {p} then '{s}'" for p, s in K.PORT_SERVICE.items())
     return (f"case when {proto}='icmp' then '{K.ICMP_SERVICE}' else "
@@ -52,10 +67,10 @@ def _window_expr(window: str) -> str:
     return f"date_trunc('{window}', ts)"
 
 
-def _flows_body(window: str = "day") -> str:
+def _flows_body(window: str = "day", packets: str = PACKETS_CTE) -> str:
     """CTEs ``packets``, ``flows`` and ``flow_feat`` (window counters by
     window functions, the plain formulation)."""
-    return PACKETS_CTE + f""",
+    return packets + f""",
 pk_k as (select *, {_window_expr(window)} as window_start,
    least(ip_src||':'||port_src, ip_dst||':'||port_dst) ep_lo,
    greatest(ip_src||':'||port_src, ip_dst||':'||port_dst) ep_hi,
@@ -108,8 +123,8 @@ FLOWS_COLUMNS = ["window_start", "flow_seq", "start_time", "end_time", "n_packet
                  "dst_bytes", "flag", "num_failed_logins", "is_guest_login"]
 
 
-def flows_sql(window: str = "day") -> str:
-    return "with " + _flows_body(window) + f"select {', '.join(FLOWS_COLUMNS)} from flows"
+def flows_sql(window: str = "day", packets: str = PACKETS_CTE) -> str:
+    return "with " + _flows_body(window, packets) + f"select {', '.join(FLOWS_COLUMNS)} from flows"
 
 
 def _record_select() -> str:
@@ -141,5 +156,5 @@ def _record_select() -> str:
     return "window_start, flow_seq, ip_src as src_ip, ip_dst as dst_ip, " + ", ".join(cols)
 
 
-def flow_records_sql(window: str = "day") -> str:
-    return "with " + _flows_body(window) + f"select {_record_select()} from flow_feat"
+def flow_records_sql(window: str = "day", packets: str = PACKETS_CTE) -> str:
+    return "with " + _flows_body(window, packets) + f"select {_record_select()} from flow_feat"

@@ -31,7 +31,7 @@ from flowlens.plans import oracle_sql as O
 from flowlens.plans import prepare as PP
 from flowlens.session import scratch_path, write_scratch
 from flowlens.sources import records as RC
-from flowlens.sources.packets import read_packets
+from flowlens.sources.packets import read_dense_packets, read_packets
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,17 @@ def q_flow_records_4s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.flow_records(read_packets(spark, sf_dir), CAPTURE_WINDOW)
 
 
+def q_flows_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 on packets of many clients to few servers (a day as window)."""
+    return FL.aggregate_flows(read_dense_packets(spark, sf_dir), BATCH_WINDOW)
+
+
+def q_flow_records_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2, P12, P13 where a host sees many flows in a window (counters reach
+    their caps) and a client may be its own server (land)."""
+    return FL.flow_records(read_dense_packets(spark, sf_dir), BATCH_WINDOW)
+
+
 # -- E1: preparation ---------------------------------------------------------
 
 SELECT_K_QUERY = 20   # of the 48 encoded stand-in columns; the pipeline default is 100
@@ -344,6 +355,27 @@ def q_node_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AL.node_status(_rule_alerts(spark, sf_dir))
 
 
+def sensor_of(ip: str = "src_ip"):
+    """The sensor of a flow in a network with one at every client address."""
+    return F.concat(F.lit("192.0.2."), F.element_at(F.split(ip, r"\."), -1))
+
+
+def _sensor_alerts(spark, sf_dir):
+    rec = FL.flow_records(read_packets(spark, sf_dir), CAPTURE_WINDOW)
+    return AL.alert_records(AL.gate(AP.score_records_by_rule(rec, CAPTURE_WINDOW, sensor_of())))
+
+
+def q_sensor_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 with several sensors: 4-second batches, one sensor for each last
+    part of the client's address."""
+    return AL.node_status(_sensor_alerts(spark, sf_dir))
+
+
+def q_sensor_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 with several sensors."""
+    return AL.kpis(_sensor_alerts(spark, sf_dir))
+
+
 def q_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows and threats per batch (rule-scored flows)."""
     return AL.batch_summary(AP.scored_by_rule(spark, sf_dir, BATCH_WINDOW))
@@ -446,6 +478,10 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "verdicts": (q_verdicts, OA.verdicts_sql()),
     "model_alerts": (q_model_alerts, None),
     "stream_alerts": (q_stream_alerts, OA.alerts_sql()),
+    "flows_dense": (q_flows_dense, O.flows_sql(packets=O.DENSE_PACKETS_CTE)),
+    "flow_records_dense": (q_flow_records_dense, O.flow_records_sql(packets=O.DENSE_PACKETS_CTE)),
+    "sensor_status": (q_sensor_status, OA.sensor_status_sql()),
+    "sensor_kpis": (q_sensor_kpis, OA.sensor_kpis_sql()),
     "fixed_forest_predictions": (_test_query(FF.predictions), OX.predictions_sql()),
     "fixed_forest_shap_values": (_test_query(FF.long_values), OX.long_values_sql()),
     "fixed_forest_base_values": (_test_query(FF.base_values), OX.base_values_sql()),

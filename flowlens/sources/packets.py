@@ -75,6 +75,26 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def packets_from_lineitems(items: DataFrame) -> DataFrame:
+    """Map ``lineitem`` rows onto the packet schema (FIXTURES.md ``packets_w``):
+    many clients and ports on few servers and days, so that a host sees many
+    flows in a window; a client may have its server's address."""
+    p, s, o, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber")
+    at = F.timestamp_add("SECOND", (o % 20) * 86400 + (p + s) % 86400, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"))
+    proto = F.when(s % 10 == 0, "udp").when(s % 10 == 1, "icmp").otherwise("tcp")
+    icmp = s % 10 == 1
+    flags = F.when(n == 1, "S").when(n == 2, "R").when(n == 3, "SA").otherwise("FA")
+    return items.select(
+        (((o * 8 + n) * 1000000 + p) * 10000 + s).cast("long").alias("event_id"), at.alias("ts"), proto.alias("proto"),
+        F.col("l_quantity").cast("long").alias("bytes"),
+        F.concat(F.lit("10.0.1."), (s % 7).cast("string")).alias("ip_src"),
+        F.concat(F.lit("10.0.1."), (o % 3).cast("string")).alias("ip_dst"),
+        F.when(icmp, 0).otherwise(1024 + p % 60000).cast("int").alias("port_src"),
+        F.when(icmp, 0).when(n % 3 == 0, 22).when(n % 3 == 1, 80).otherwise(443).cast("int").alias("port_dst"),
+        F.when(proto == "tcp", flags).otherwise("").alias("tcp_flags"),
+        F.when(p % 40 == 0, "401 Unauthorized").when(p % 40 == 1, "guest login ok").otherwise("x").alias("payload"))
+
+
 RAW_PACKET_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampNTZType()),
@@ -113,6 +133,11 @@ def read_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_from_events(events)
 
 
+def read_dense_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packet table derived from ``lineitem`` under ``sf_dir``."""
+    return packets_from_lineitems(spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
+
+
 def read_packet_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A packet table already stored in the packet schema (S6, batch form)."""
     return spark.read.format(fmt).schema(PACKET_SCHEMA).load(path)

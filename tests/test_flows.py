@@ -114,7 +114,7 @@ def test_hot_host_skew_join_path_matches(spark):
         flows = FL.aggregate_flows(df, "1 day")
         got_df = FL.assemble_records(FL.host_features(flows, salt_threshold=100, salts=8))
         got = got_df.collect()
-        # more hot keys than the broadcast limit: only the heaviest are salted
+        # more hot keys than the broadcast limit: joined without a broadcast
         capped = FL.assemble_records(FL.host_features(flows, salt_threshold=10, salts=4, max_hot=1)).collect()
         plan = got_df._jdf.queryExecution().executedPlan().toString()
     finally:

@@ -114,6 +114,38 @@ def test_top_impacts_tie_by_feature_order_and_waterfall(spark):
     assert wf[-1].running_total == pytest.approx(0.5 + 0.3)
 
 
+def test_in_row_impacts_equal_the_long_form(spark):
+    from flowlens.plans import fixed_forest as FF
+    rows = [(i, float(i % 50), (i % 11) / 100, (i % 9) / 100) for i in range(60)] + [(60, 0.0, 0.0, 0.0)] * 2
+    df = FF.predict(spark.createDataFrame(rows, "rid long, count double, serror_rate double, rerror_rate double"))
+    sv = XP.shap_values(df, FF.FEATURES, FF.leaf_table(), keep=["rid", MO.PREDICTION])
+    once = sv.dropDuplicates(["rid"])
+    long = XP.predicted_class_impacts(once, FF.FEATURES, MO.PREDICTION)
+    want = {r.rid: (list(r.top_features), r.features) for r in XP.top_impacts(long, ["rid"], 2).collect()}
+    got = XP.with_top_impacts(sv, FF.FEATURES, MO.PREDICTION, 2).collect()
+    assert len(got) == 62 and len(want) == 61
+    assert all((list(r.top_features), r.features) == want[r.rid] for r in got)
+    steps = {(r.rid, r.step): (r.feature, r.impact, r.running_total) for r in XP.waterfall(long, ["rid"]).collect()}
+    for r in XP.waterfall_rows(once, ["rid"], FF.FEATURES, MO.PREDICTION).collect():
+        feature, impact, total = steps[(r.rid, r.step)]
+        assert (r.feature, r.impact) == (feature, impact) and r.running_total == pytest.approx(total, abs=1e-12)
+    empty = df.limit(0)
+    assert XP.with_top_impacts(XP.shap_values(empty, FF.FEATURES, FF.leaf_table(), keep=["rid", MO.PREDICTION]),
+                               FF.FEATURES, MO.PREDICTION).count() == 0
+
+
+def test_pattern_tables_within_their_bound_give_the_same_values(monkeypatch):
+    from flowlens.plans import fixed_forest as FF
+    x = np.random.default_rng(3).random((50, 3)) * [50, 0.11, 0.09]
+    whole = FF.leaf_table()
+    monkeypatch.setattr(XP, "PATTERN_BYTES", 100)
+    bounded = FF.leaf_table()
+    assert all(leaf.table is not None for leaf in whole.leaves)
+    assert sum(leaf.table.nbytes for leaf in bounded.leaves if leaf.table is not None) <= 100
+    assert any(leaf.table is None for leaf in bounded.leaves)
+    np.testing.assert_allclose(XP.shap_matrix(x, bounded), XP.shap_matrix(x, whole), atol=1e-15)
+
+
 def test_metrics_zero_division_and_brute_force(spark):
     pairs = [("dos", "dos")] * 5 + [("dos", "normal")] * 2 + [("normal", "normal")] * 4 + \
             [("u2r", "normal")] * 1 + [("probe", "dos")] * 1

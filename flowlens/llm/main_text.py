@@ -6,8 +6,9 @@ the element that holds them. Lines inside menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments have
 ratio 0. The ratios are smoothed by a Gaussian over the neighbouring lines and
 those at or above their standard deviation are content. The content region is
-the smallest container that holds most characters of the content lines; its
-lines, long and short, are the text.
+the outermost article or main element that holds most characters of the content
+lines, or else the smallest container that holds all of them; its lines, long
+and short, and the content lines outside it are the text.
 
 Per page: one scan, no shuffle, pages whole.
 
@@ -173,14 +174,15 @@ def main_text(html: str | None, p: TextParams = TextParams()) -> str:
         if node in mass:
             up = parser.parent[node]
             mass[up] = mass.get(up, 0) + mass[node]
-    # the smallest container: the one opened last among those that hold enough
-    least = p.region_share * mass[0]
-    region = max([0, *(n for n, m in mass.items() if m >= least and parser.tags[n] in CONTAINER)])
-    within = [False] * len(parser.tags)
+    tags, total = parser.tags, mass[0]
+    # nothing below an article that holds the mass; or else what covers every content line: of those, the one opened last
+    region = min((n for n, m in mass.items() if m >= p.region_share * total and tags[n] in ("article", "main")), default=0)
+    region = region or max(n for n, m in mass.items() if m == total and (tags[n] in CONTAINER or not n))
+    within = [False] * len(tags)
     within[region] = True
-    for node in range(1, len(parser.tags)):
+    for node in range(1, len(tags)):
         within[node] = node == region or within[parser.parent[node]]
-    return "\n".join(t for t, _, node, off in lines if not off and within[node])
+    return "\n".join(t for (t, _, node, off), ok in zip(lines, picked, strict=True) if not off and (ok or within[node]))
 
 
 def extract_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"),

@@ -117,6 +117,22 @@ def test_main_text(spark):
     assert M.extract_text(df).count() == 8 and M.extract_text(df.limit(0)).count() == 0
 
 
+def test_main_text_keeps_what_surrounds_the_longest_part():
+    rng = random.Random(8)
+    long = [words(rng, 80) for _ in range(12)]
+    body, side, menu = "".join(f"<p>{x}</p>" for x in long), words(rng, 30), "<nav><a>Home</a></nav><ul><li><a>one</a><li><a>two</a></ul>"
+    for tag in ("div", "section", "table><tr><td"):
+        inner = f"<{tag}>{body}</{tag.split('>')[0]}>"
+        want = ["Headline", "Intro.", *long, "Out."]
+        assert M.main_text(f"{menu}<article><h1>Headline</h1><p>Intro.</p>{inner}<p>Out.</p></article>").split("\n") == want
+        assert M.main_text(f"{menu}<main><h1>Headline</h1><p>Intro.</p><article>{inner}</article><p>Out.</p></main>").split("\n") == want
+        # one dominating section, and no article at all
+        for top in ("article", "div"):
+            assert M.main_text(f"<{top}>{inner}<section><h2>Second</h2><p>{side}</p></section></{top}>").split("\n") == [*long, "Second", side]
+    two = f"<body>{menu}<article>{body}</article><article><p>{side}</p></article></body>"
+    assert M.main_text(two).split("\n")[-13:] == [*long, side]
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(5)
     items = [(100, words(rng, 30)), (101, words(rng, 12)), (102, "tiny item Five words"), (102, "tiny item Five words"), (103, None), (None, "one two"), (104, ""),

@@ -4,7 +4,9 @@ The standard library's HTML parser is fed slice by slice; its events become
 lines, one for each block element, with their ratio of characters to tags and
 the element that holds them. Lines inside menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments have
-ratio 0. The ratios are smoothed by a Gaussian over the neighbouring lines and
+ratio 0. A name that may also be the text's own (inside an article, or next to a
+word for a wrapper) only makes its element doubtful: it counts as such if none of
+its lines, smoothed among themselves, reaches the threshold. The ratios are smoothed by a Gaussian over the neighbouring lines and
 those at or above their standard deviation are content. The content region is
 the outermost article or main element that holds most characters of the content
 lines, or else the smallest container that holds all of them; its lines, long
@@ -41,8 +43,11 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 NAMES = frozenset("ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments consent cookie cookies "
                   "disqus footer login menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo "
                   "promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar".split())
-#: A name with one of these means a wrapper of the text, not one of the above.
+#: A name with one of these may mean a wrapper of the text, not one of the above.
 WRAPPERS = frozenset("article body container content entry has layout main page post text with wrap wrapper".split())
+#: Names of headings come from their text; inside an article only these can be named as something else.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+GROUPS = frozenset("aside div ol section ul".split())
 SLICE = 1 << 16
 
 
@@ -61,6 +66,7 @@ class _Lines(HTMLParser):
         self.parent: list[int] = [0]
         self.off: list[bool] = [False]
         self.inside: list[bool] = [False]  # an article or main element
+        self.doubt = [0]  # the nearest doubtful element, itself or above
         self.open = [0]
         self.lines: list[tuple[str, int, int, bool]] = []
         self.buf: list[str] = []
@@ -74,22 +80,26 @@ class _Lines(HTMLParser):
                 self.lines.append((text, self.seen, self.open[-1], self.off[self.open[-1]]))
         self.seen = 0
 
-    def _boiler(self, tag: str, attrs: list, inside: bool) -> bool:
+    def _boiler(self, tag: str, attrs: list, inside: bool) -> tuple[bool, bool]:
+        """Whether an element is dropped; whether it is doubtful."""
         if tag in DROPPED or tag == "header" and not inside:
-            return True
+            return True, False
         if tag in ("html", "body", "main", "article"):
-            return False
+            return False, False
+        doubt = False
         for k, v in attrs:
             if not v:
                 continue
             if k == "role" and v.strip().lower() in ROLES:
-                return True
-            if k in ("class", "id"):
+                return True, False
+            if k in ("class", "id") and tag not in HEADINGS and (tag in GROUPS or not inside):
                 for name in v.split():
                     words = set(re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", name).lower()))
-                    if words & NAMES and not words & WRAPPERS or "header" in words and not inside and not words & WRAPPERS:
-                        return True
-        return False
+                    wraps = words & WRAPPERS
+                    if not inside and not wraps and (words & NAMES or "header" in words):
+                        return True, False
+                    doubt = doubt or bool(words & NAMES) and tag in BLOCK
+        return False, doubt
 
     def _close(self, depth: int) -> None:
         del self.open[max(1, depth):]
@@ -117,7 +127,9 @@ class _Lines(HTMLParser):
         self.tags.append(tag)
         self.parent.append(up)
         self.inside.append(self.inside[up] or tag in ("article", "main"))
-        self.off.append(self.off[up] or self._boiler(tag, attrs, self.inside[up]))
+        off, doubt = self._boiler(tag, attrs, self.inside[up])
+        self.off.append(self.off[up] or off)
+        self.doubt.append(node if doubt else self.doubt[up])
         self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -150,6 +162,28 @@ def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, k)[same] / np.convolve(np.ones(len(x)), k)[same]
 
 
+def _low(parser: _Lines, ratio: np.ndarray, sigma: float) -> list[bool]:
+    """For each line, whether it lies in a doubtful element without any line
+    that reaches the threshold, smoothed among that element's own lines."""
+    own: dict[int, list[int]] = {}
+    for i, (_, _, node, off) in enumerate(parser.lines):
+        if not off and parser.doubt[node]:
+            own.setdefault(parser.doubt[node], []).append(i)
+    if not own:
+        return [False] * len(ratio)
+    least = smoothed(ratio, sigma).std()
+    doubtful = sorted({*parser.doubt} - {0})
+    high = {0} | {n for n, at in own.items() if smoothed(ratio[at], sigma).max() >= least}
+    high |= {n for n in range(1, len(parser.tags)) if parser.tags[n] in ("article", "main")}
+    for n in range(len(parser.tags) - 1, 0, -1):
+        if n in high:  # what holds an article or such lines is not low
+            high.add(parser.doubt[parser.parent[n]])
+    low = {0: False}
+    for n in doubtful:
+        low[n] = low[parser.doubt[parser.parent[n]]] or n not in high
+    return [low[parser.doubt[node]] for _, _, node, _ in parser.lines]
+
+
 def main_text(html: str | None, p: TextParams = TextParams()) -> str:
     if not html:
         return ""
@@ -162,6 +196,10 @@ def main_text(html: str | None, p: TextParams = TextParams()) -> str:
     ratio = np.array([0.0 if off else len(t) / max(1, tags) for t, tags, _, off in lines])
     if not ratio.any():
         return ""
+    low = np.array(_low(parser, ratio, p.sigma))
+    if low.any() and ratio[~low].any():
+        lines = [(t, tags, node, off or bad) for (t, tags, node, off), bad in zip(lines, low.tolist(), strict=True)]
+        ratio[low] = 0.0
     soft = smoothed(ratio, p.sigma)
     picked = (soft >= soft.std()) & (ratio > 0)
     if not picked.any():

@@ -133,6 +133,30 @@ def test_main_text_keeps_what_surrounds_the_longest_part():
     assert M.main_text(two).split("\n")[-13:] == [*long, side]
 
 
+def test_main_text_names_and_ratios():
+    rng = random.Random(9)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    links = "".join(f"<li><a href='/{k}'>{w}</a></li>" for k, w in enumerate(["Home", "News", "About us", "Contact", "Jobs"] * 2))
+    # slugs and classes of the text's own
+    text = (f"<h1>Head</h1><p>{a}</p><h2 id='related-work'>Related work</h2><p class='share-price'>{b}</p><section id='social-policy'><h2>Policy</h2><p>{c}</p>"
+            f"</section><h2 id='cookies'>Cookies</h2><div id='notice-of-results'><p>{d}</p></div><p id='comments'>Short.</p>")
+    want = ["Head", a, "Related work", b, "Policy", c, "Cookies", d, "Short."]
+    # named as boilerplate, with the ratio of it; also where the name has a wrapper's word
+    named = [f"<div class='{n}'><ul>{links}</ul></div>" for n in ("main-nav", "page-footer", "post-comments", "sidebar-content", "social-share", "related")]
+    for top in ("article", "main"):
+        assert M.main_text(f"<body><{top}>{text}</{top}>").split("\n") == want
+        for n in named:
+            assert M.main_text(f"<body>{n}<{top}>{text}</{top}>{n}").split("\n") == want
+            assert M.main_text(f"<body><{top}>{text}{n}</{top}>").split("\n") == want
+    # a wrapper of the text keeps it, without what is low inside it
+    for n in named:
+        for wrap in ("content-with-sidebar", "has-sidebar layout"):
+            assert M.main_text(f"<body><div class='{wrap}'>{n}<div><p>{a}</p><p>{b}</p></div>{n}</div>").split("\n") == [a, b]
+    assert M.main_text("<div class='main-nav'>only this</div>") == "only this"
+    deep = "<div class='main-nav'>" * 3000 + "low" + "</div>" * 3000
+    assert M.main_text(f"{deep}<article><p>{a}</p></article>") == a
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(5)
     items = [(100, words(rng, 30)), (101, words(rng, 12)), (102, "tiny item Five words"), (102, "tiny item Five words"), (103, None), (None, "one two"), (104, ""),

@@ -188,9 +188,10 @@ def forest_importance(clf: Classifier, k: int = 9) -> DataFrame:
 
 @dataclass
 class BoostParams:
-    rounds: int = 30
-    max_depth: int = 6
-    step_size: float = 0.1
+    # the source's n_estimators, max_depth and learning_rate
+    rounds: int = 300
+    max_depth: int = 10
+    step_size: float = 0.03
     min_instances_per_node: int = 20
     subsampling_rate: float = 0.8
     feature_subset: str = "0.8"
@@ -254,7 +255,9 @@ def train_boosted(train_encoded: DataFrame, features: list[str], label_col: str
                   params: BoostParams | None = None) -> BoostedClassifier:
     """M6 (boosted): class counts → labels and balanced weights (one
     aggregation), the assembled rows written once, then one boosted model per
-    class with the class as the positive label."""
+    class with the class as the positive label, the classes side by side."""
+    from multiprocessing.pool import ThreadPool
+    from pyspark import inheritable_thread_target
     from pyspark.ml.classification import GBTClassifier
     from flowlens.session import write_scratch
     p = params or BoostParams()
@@ -267,13 +270,17 @@ def train_boosted(train_encoded: DataFrame, features: list[str], label_col: str
                          .withColumn("weight", F.element_at(weights, F.col(label_col))))
     rows = VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="keep").transform(rows)
     rows = write_scratch(rows.select(FEATURES, label_col, "weight"), "boost-train")   # read once per class
-    models = []
-    for lab in labels:
+
+    def fit(lab):
         gbt = GBTClassifier(featuresCol=FEATURES, labelCol="_y", weightCol="weight",
                             maxIter=p.rounds, maxDepth=p.max_depth, stepSize=p.step_size,
                             minInstancesPerNode=p.min_instances_per_node,
                             subsamplingRate=p.subsampling_rate, featureSubsetStrategy=p.feature_subset,
                             maxBins=p.max_bins, seed=p.seed, maxMemoryInMB=p.max_memory_mb,
                             cacheNodeIds=p.cache_node_ids, checkpointInterval=p.checkpoint_interval)
-        models.append(gbt.fit(rows.withColumn("_y", (F.col(label_col) == lab).cast("double"))))
+        return gbt.fit(rows.withColumn("_y", (F.col(label_col) == lab).cast("double")))
+
+    # the rounds of a class wait for each other, the classes do not
+    with ThreadPool(max(1, k)) as pool:
+        models = pool.map(inheritable_thread_target(rows.sparkSession)(fit), labels)
     return BoostedClassifier(list(features), labels, models, n_unknown)

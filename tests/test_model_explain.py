@@ -218,6 +218,17 @@ def test_scoring_tolerates_missing_values(spark, trained):
 
 
 
+def test_boosted_defaults_are_the_source_settings(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: (self, rows.agg(F.sum("_y")).first()[0]))
+    df = spark.createDataFrame([(float(i), lab) for i, lab in enumerate(["normal", "dos", "dos", "probe", "unknown"])], "a double, label string")
+    bst = MO.train_boosted(df, ["a"], label_col="label")
+    assert [n for _, n in bst.models] == [2.0, 1.0, 1.0] and bst.labels == ["dos", "normal", "probe"]
+    for m, _ in bst.models:
+        assert (m.getMaxIter(), m.getMaxDepth(), m.getStepSize()) == (300, 10, 0.03)
+        assert (m.getMinInstancesPerNode(), m.getSubsamplingRate(), m.getFeatureSubsetStrategy()) == (20, 0.8, "0.8")
+
+
 def test_boosted_one_vs_rest_and_margin_shapley(spark, trained):
     prep, _ = trained
     bst = MO.train_boosted(prep.train, prep.selected, params=MO.BoostParams(rounds=4, max_depth=3))

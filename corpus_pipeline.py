@@ -4,7 +4,8 @@ from Parquet in the shared folder.
 
 Edge cases are those of the operators; documents without an id pass the
 near-duplicate stage (they are in no group), and a document whose row repeats
-stays once there. A stage finds its input's columns by place, so further
+stays once there; rows of one id with different texts are judged each by its
+text. A stage finds its input's columns by place, so further
 columns of any name pass through."""
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm.decontaminate import decontaminate
-from flowlens.llm.jaccard_join import jaccard_join
+from flowlens.llm.jaccard_join import jaccard_join, text_mark
 from flowlens.llm.mixing import mix_sources
 from flowlens.llm.quality import quality_rules
 from flowlens.llm.queries import tokenizer_path
@@ -29,17 +30,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest id."""
-    classes = write_scratch(jaccard_join(docs), "classes")
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    again = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    # one plan at every size: the texts cross one shuffle on doc_id
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: the smallest id (of its
+    rows in the group the one with the smallest hash of the text)."""
+    mark = "mark" + "_" * max(map(len, docs.columns))  # no column is called so
+    classes = write_scratch(jaccard_join(docs, marks=True).withColumnRenamed("mark", mark), "classes")
+    gone = classes.where("doc_id <> class_id").select("doc_id", mark).distinct()
+    # rows of a class that share its smallest id; without a class, rows of equal text
+    group = ["doc_id", "class_no", F.when(F.col("class_no").isNull(), F.col(mark)).alias("own")]
+    again = classes.where("doc_id = class_id").groupBy(*group).agg(F.count("*").alias("n"), F.min(mark).alias("first")).where("n > 1")
+    again = write_scratch(again, "again")
+    # one plan at every size: the texts cross one shuffle, on id and hash
+    key = ["doc_id", mark]
+    left = docs.withColumn(mark, text_mark("text")).join(gone.hint("merge"), key, "left_anti")
     if again.isEmpty():
-        return left
+        return left.select(*docs.columns)
     left = write_scratch(left, "left")
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    more = (classes.where("doc_id = class_id").join(again.where("own is null").select("doc_id", "class_no", "first"), ["doc_id", "class_no"])
+            .where(F.col(mark) != F.col("first")).select(*key).distinct())
+    once = again.select("doc_id", F.col("first").alias(mark)).distinct()
+    left = left.join(more, key, "left_anti")
+    twice = left.join(once, key, "left_semi").dropDuplicates(key)
+    return left.join(once, key, "left_anti").unionByName(twice).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,10 +132,11 @@ def _longs(lists: list[np.ndarray]) -> pa.Array:
 
 
 def sketch_rows(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """doc_id, size, digest, minhash sketch and path keys of every text."""
+    """doc_id, mark, size, digest, minhash sketch and path keys of every text;
+    ``docs`` has doc_id, text and mark."""
     roots, mults = _roots(p.seed, p.runs), _roots(p.seed + 1, SKETCH) | U64(1)
     deeper = range(2, p.levels + 1)
-    schema = ("doc_id long, n int, k1 long, k2 long, sig binary, key1 array<long>, "
+    schema = ("doc_id long, mark long, n int, k1 long, k2 long, sig binary, key1 array<long>, "
               + ", ".join(f"parent{d} array<long>, key{d} array<long>" for d in deeper)).rstrip(", ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def sketch_rows(docs: DataFrame, p: JoinParams) -> DataFrame:
                 sets = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], p.words)
                 ways = [paths(s, roots, p.levels, p.similarity) if len(s) else [(s, s)] * p.levels for s in sets]
                 names = [digest(s) for s in sets]
-                cols = [b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()),
+                cols = [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()),
                         pa.array([sketch(s, mults) if len(s) else None for s in sets], pa.binary()),
                         _longs([w[0][1] for w in ways])]
@@ -153,7 +154,12 @@ def sketch_rows(docs: DataFrame, p: JoinParams) -> DataFrame:
                     cols += [_longs([w[d - 1][0] for w in ways]), _longs([w[d - 1][1] for w in ways])]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split(" ")[0] for c in schema.split(", ")])
 
-    return C.map_batches(docs, run, schema)
+    return C.map_batches(docs.select("doc_id", "text", "mark"), run, schema)
+
+
+def text_mark(text: str) -> F.Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def _buckets(sets: DataFrame, p: JoinParams) -> DataFrame:
@@ -332,12 +338,15 @@ def _verified(docs: DataFrame, sets: DataFrame, comp: DataFrame, p: JoinParams)
     return C.map_batches(rows, compare, "a long, b long, links long")
 
 
-def jaccard_join(docs: DataFrame, params: JoinParams | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, params: JoinParams | None = None, doc_id: str = "doc_id", text: str = "text", marks: bool = False) -> DataFrame:
     """For every row: doc_id, class_id (the smallest doc_id that links lead
-    to) and n_links (other rows with similarity at or above the threshold)."""
+    to) and n_links (other rows with similarity at or above the threshold);
+    with ``marks`` also mark (``text_mark``) and class_no, which unlike
+    class_id differs between classes whose smallest ids are equal (null: the
+    row has no class)."""
     p = params or JoinParams()
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    rows = write_scratch(sketch_rows(docs, p), "sketches")
+    rows = write_scratch(sketch_rows(docs.withColumn("mark", text_mark("text")), p), "sketches")
     deeper = [f"{c}{d}" for d in range(2, p.levels + 1) for c in ("parent", "key")]
     sets = write_scratch(
         rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2")
@@ -350,11 +359,13 @@ def jaccard_join(docs: DataFrame, params: JoinParams | None = None, doc_id: str
     comp = connected_components(found.where("b is not null").select("a", "b"))
     named = sets.select("nid", "rep").join(comp.withColumnRenamed("node", "nid"), "nid")
     classes = named.groupBy("component").agg(F.min("rep").alias("class_id"))
+    more = ["mark", "class_no"] if marks else []
     of_set = (sets.select("k1", "k2", "nid", "rep", "copies")
-              .join(named.join(classes, "component").select("nid", "class_id"), "nid", "left").join(links, "nid", "left")
-              .select("k1", "k2", F.coalesce("class_id", "rep").alias("class_id"),
+              .join(named.join(classes, "component").select("nid", "class_id", "component"), "nid", "left").join(links, "nid", "left")
+              .select("k1", "k2", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("component", "nid").alias("class_no"),
                       (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     lone = F.expr("n = 0 or doc_id is null")
-    return (rows.select("doc_id", "n", "k1", "k2").join(of_set, ["k1", "k2"], "left")
+    return (rows.select("doc_id", "mark", "n", "k1", "k2").join(of_set, ["k1", "k2"], "left")
             .select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                    F.when(lone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")))
+                    F.when(lone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+                    *(F.when(~lone, F.col(c)).alias(c) if c == "class_no" else c for c in more)))

@@ -365,3 +365,18 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.token_stage(spark, docs, SF).count() == docs.count()
     none = docs.limit(0)
     assert [f(spark, none, SF).count() for _, f in corpus_pipeline.STAGES] == [0] * 5
+
+
+def test_near_duplicates_of_reused_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 120) for _ in range(4))
+    near = f"{c} more"
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, near), (7, d), (7, d), (8, near), (9, b), (2, "tiny"), (2, "tiny"), (2, ""), (2, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, mark int")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    pair = [(7, t) for t in (c, near) if (7, t) in kept]  # one of two near copies under one id
+    assert len(pair) == 1 and kept.pop(pair[0]) == 1
+    assert kept.pop((2, ""), 0) + kept.pop((2, None), 0) == 1
+    assert kept == {(1, a): 1, (5, b): 1, (7, d): 1, (2, "tiny"): 1, (None, a): 2}

@@ -137,6 +137,28 @@ from bits
 """
 
 
+OP11 = r"""
+with t as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as d,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+w as (select lang, source, term, count(*)::bigint as c, count(distinct d) as docs from (select lang, source, d, unnest(ws) as term from t) group by all),
+kept as (select lang, term, sum(c)::bigint as c from w group by all having sum(docs) >= 10),
+ls as (select lang, count(*)::bigint as v, sum(c)::bigint as n from kept group by lang),
+own as (select w.lang, w.source, sum(w.c)::bigint as n from w join kept using (lang, term) group by all),
+g as (select lang, source, coalesce(v, 0) as v, coalesce(own.n, 0) as n from (select distinct lang, source from t) left join ls using (lang) left join own using (lang, source)),
+dense as (select g.lang, g.source, k.term, coalesce(w.c, 0) as c,
+            (1 + 1000000000::hugeint * (coalesce(w.c, 0) + 2) // (g.n + 2 * g.v))::bigint as p, (1 + 1000000000::hugeint * (k.c + 2) // (ls.n + 2 * ls.v))::bigint as q
+          from g join kept k on k.lang = g.lang join ls on ls.lang = g.lang left join w on w.lang = g.lang and w.source = g.source and w.term = k.term),
+sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value
+         from dense a join dense b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+          left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from dense where c > 0 and p > q),
+ranked as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+  union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item)::int from terms)
+select * from ranked where part = 'pair' or rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": op1(), "op2_url_filters": op2(), "op4_decontamination": OP4, "op5_jaccard_join": OP5,
-            "op6_source_mixing": op6(), "op8_warc_archive": OP8}
+            "op6_source_mixing": op6(), "op8_warc_archive": OP8, "op11_source_divergence": OP11}

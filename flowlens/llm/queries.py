@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from flowlens.session import read_table
 
-from . import decontaminate, host_reputation, jaccard_join, main_text, mixing, quality, token_counts, token_files, toxicity, warc
+from . import (
+    decontaminate, divergence, host_reputation, jaccard_join, main_text, mixing, packing, quality, token_counts, token_files, toxicity, warc, whitening,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
+PACKING_TOKENIZER = "word_bpe_49k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -77,6 +80,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER))
+    digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "k")
+    return packing.pack(digest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_main_text, op4_decontamination, op5_jaccard_join,
-                                    op6_source_mixing, op7_token_files, op8_warc_archive, op9_toxicity, op10_token_counts)}
+                                    op6_source_mixing, op7_token_files, op8_warc_archive, op9_toxicity, op10_token_counts,
+                                    op11_source_divergence, op12_embedding_whitening, op13_best_fit_packing)}

@@ -41,10 +41,10 @@ def _norm(v):
     return repr(v)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(R.oracle()))
 def test_oracle_matches(spark, duck, name):
-    df = E.queries()[name](spark, SF_SMALL)
-    res = duck.execute(E.oracle_sql()[name])
+    df = R.queries()[name](spark, SF_SMALL)
+    res = duck.execute(R.oracle()[name])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     order_s = [df.columns.index(c) for c in sorted(df.columns)]

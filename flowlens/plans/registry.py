@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions import scalar as S
+from flowlens.operators import boosting as BO
 from flowlens.operators import encode as EN
 from flowlens.operators import flows as FL
 from flowlens.operators import metrics as ME
@@ -25,6 +26,7 @@ from flowlens.operators import explain as XP
 from flowlens.plans import alerting as AP
 from flowlens.plans import fixed_forest as FF
 from flowlens.plans import oracle_alert_sql as OA
+from flowlens.plans import oracle_boost_sql as OB
 from flowlens.plans import oracle_explain_sql as OX
 from flowlens.plans import oracle_prep_sql as OP
 from flowlens.plans import oracle_sql as O
@@ -200,11 +202,21 @@ def q_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_boosted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M6 (boosted form): one-vs-rest gradient-boosted trees on the train
-    split; A9 summary of the test predictions."""
+    """M6: softmax boosting with the source's settings on the train split; A9
+    summary of the test predictions."""
     prep = _prepared(spark, sf_dir)
-    bst = MO.train_boosted(prep.train, prep.selected)
-    return ME.summary(ME.confusion_long(bst.predict(prep.test)))
+    model = BO.train_softmax(prep.train, prep.selected)
+    return ME.summary(ME.confusion_long(model.predict(prep.test)))
+
+
+def q_boosted_first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: the nodes of the first round's trees, grown over all labelled
+    records from the gradients of the class shares and given cut points."""
+    labelled = PR.label_records(RC.read_records(spark, sf_dir))
+    params = BO.BoostingParams(rounds=1, rate=OB.RATE, max_leaves=1 << OB.DEPTH, max_depth=OB.DEPTH, min_rows=OB.MIN_ROWS,
+                               columns=1.0, balanced=False, local_rows=0)
+    model = BO.train_softmax(labelled, list(OB.FEATURES), params=params, cuts=list(OB.FEATURES.values()))
+    return BO.node_table(spark, model)
 
 
 def q_forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,6 +472,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "model_predictions": (q_model_predictions, None),
     "model_summary": (q_model_summary, None),
     "boosted_summary": (q_boosted_summary, None),
+    "boosted_first_round": (q_boosted_first_round, OB.first_round_sql()),
     "forest_importance": (q_forest_importance, None),
     "training_run": (q_training_run, None),
     "binary_detector": (q_binary_detector, None),

@@ -115,6 +115,16 @@ def write_scratch(df, name: str):
     return spark.read.parquet(path)
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more. Only paths below the
+    shared checkpoint folder are deleted."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    if not path.startswith(f"{base}/"):
+        raise ValueError(f"{path} is not a scratch table")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _SHIPPED: set = set()
 
 

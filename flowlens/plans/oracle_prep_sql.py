@@ -154,6 +154,39 @@ from names n left join mi on mi.pos = n.position
 """
 
 
+def knn_info_sql(k: int = 3, digits: int = 9) -> str:
+    """The nearest-neighbour estimate of numeric columns, from the sorted rows
+    themselves; one-hot columns from their counts. Stand-in columns that are
+    constant have 0."""
+    live = [(i, c) for i, c in enumerate(NUM) if STAND_IN.get(c)]
+    unpiv = " union all ".join(f"select {i} as pos, label, round({c} * 1e12)::bigint as x from enc where not is_test" for i, c in live)
+    near = ", ".join([*(f"x - lag(x, {j}) over w" for j in range(1, k + 1)), *(f"lead(x, {j}) over w - x" for j in range(1, k + 1))])
+    return "with " + ENCODED_CTE + f""",
+knv as ({unpiv}),
+knd as (select pos, label, x, count(*) over (partition by pos, label) as ny, least({k}, count(*) over (partition by pos, label) - 1) as k,
+          list_sort(list_filter([{near}], lambda d: d is not null)) as d from knv window w as (partition by pos, label order by x)),
+knr as (select pos, x, ny, k, case when ny > 1 then greatest(d[k] - 1, 0) else 0 end as r from knd),
+knm as (select pos, ny, k, count(*) over (partition by pos order by x range between r preceding and r following) as m from knr),
+hn as (select i, coalesce(sum(1.0::double / i) over (order by i rows between unbounded preceding and 1 preceding), 0) - 0.5772156649015329 as psi
+       from (select unnest(range(1, (select count(*) from enc) + 2)) as i)),
+kni as (select pos, count(*) as n, avg(a.psi) as pk, avg(b.psi) as pn, avg(c.psi) as pm
+        from knm join hn a on a.i = knm.k join hn b on b.i = ny join hn c on c.i = m where ny > 1 group by pos),
+kmi as (select pos, greatest(0.0, psi + pk - pn - pm) as mi from kni join hn on i = n),
+oh as (select v.position as pos, e.label, coalesce(contains(',' || e.onehot_active || ',', ',' || v.feature || ','), false) as bin, count(*) as n_xy
+       from enc e, vocab v where not e.is_test group by all),
+omi as (select pos, sum((n_xy::double / n) * ln((n_xy::double * n) / (nx::double * ny))) as mi
+        from (select *, sum(n_xy) over (partition by pos, bin) as nx, sum(n_xy) over (partition by pos, label) as ny, sum(n_xy) over (partition by pos) as n from oh) group by pos),
+names as (select position, feature from prm union all select position, feature from vocab)
+select cast(position as int) as position, feature, round(coalesce(kmi.mi, omi.mi, 0.0), {digits}) as mi
+from names left join kmi on kmi.pos = position left join omi on omi.pos = position
+"""
+
+
+def knn_selected_sql(k: int) -> str:
+    return (f"select position, feature, mi, rank from (select *, cast(row_number() over (order by mi desc, position) as int) as rank "
+            f"from ({knn_info_sql()})) where rank <= {k}")
+
+
 def selected_sql(k: int, bins: int = 32, digits: int = 10) -> str:
     return (f"select position, feature, mi, rank from (select *, cast(row_number() over "
             f"(order by mi desc, position) as int) as rank from ({mutual_info_sql(bins, digits)})) "

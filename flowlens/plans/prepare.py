@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.operators import encode as EN
+from flowlens.operators import neighbours as NB
 from flowlens.operators import prepare as PR
 from flowlens.operators import select as SE
 from flowlens.operators.quantiles import frequency_cuts
@@ -66,7 +67,9 @@ def labelled_split(records: DataFrame, key: Column | None = None,
 
 def prepare(records: DataFrame, key_cols: list[str], key: Column | None = None,
             k: int = K.SELECT_K, exact: bool = True, bins: int = 32,
-            materialize: bool = True) -> Prepared:
+            materialize: bool = True, estimate: str = "binned") -> Prepared:
+    """``estimate``: of mutual information, ``binned`` or, as the source has it,
+    by nearest ``neighbours``."""
     split = labelled_split(records, key, materialize)
     train = split.filter(~F.col(SPLIT_COL))
     tr = EN.fit_transformer(train, K.NUMERIC_COLUMNS, K.NOMINAL_COLUMNS, exact=exact)
@@ -74,15 +77,26 @@ def prepare(records: DataFrame, key_cols: list[str], key: Column | None = None,
     if materialize:
         encoded = write_scratch(encoded, "encoded")
     train_enc = encoded.filter(~F.col(SPLIT_COL))
-    constant = tr.constant_features()
-    numeric = [c for c in tr.scaler.columns if c not in constant]
-    cuts = frequency_cuts(train_enc, numeric, bins)
-    scores = SE.mutual_information(train_enc, tr.feature_names, K.LABEL_COLUMN, bins=bins,
-                                   constant=constant, onehot=tr.onehot_sources(), cuts=cuts)
+    scores = neighbour_scores(train_enc, tr) if estimate == "neighbours" else binned_scores(train_enc, tr, bins)
     selected = SE.selected_feature_list(SE.select_k_best(scores, k))
     return Prepared(split, tr, encoded, scores, selected)
 
 
+def binned_scores(train: DataFrame, tr: EN.ColumnTransformer, bins: int = 32) -> DataFrame:
+    """A3 of the encoded training rows, numeric columns in equal-frequency bins."""
+    constant = tr.constant_features()
+    cuts = frequency_cuts(train, [c for c in tr.scaler.columns if c not in constant], bins)
+    return SE.mutual_information(train, tr.feature_names, K.LABEL_COLUMN, bins=bins, constant=constant,
+                                 onehot=tr.onehot_sources(), cuts=cuts)
+
+
+def neighbour_scores(train: DataFrame, tr: EN.ColumnTransformer, k: int = 3) -> DataFrame:
+    """A3 of the encoded training rows, numeric columns by nearest neighbours."""
+    numeric = list(tr.scaler.columns)
+    exact = SE.mutual_information(train, tr.feature_names, K.LABEL_COLUMN, constant=set(numeric), onehot=tr.onehot_sources(), digits=9)
+    return NB.knn_information(train, numeric, K.LABEL_COLUMN, k).unionByName(exact.filter(F.col("position") >= len(numeric)))
+
+
 def prepare_records(spark: SparkSession, sf_dir: str, **kw) -> Prepared:
     """E1 on the stand-in connection records of ``sf_dir``."""
     recs = RC.read_records(spark, sf_dir)

@@ -19,6 +19,7 @@ from flowlens.operators import encode as EN
 from flowlens.operators import flows as FL
 from flowlens.operators import metrics as ME
 from flowlens.operators import model as MO
+from flowlens.operators import neighbours as NB
 from flowlens.operators import prepare as PR
 from flowlens.operators import select as SE
 from flowlens.operators import alerts as AL
@@ -135,6 +136,20 @@ def q_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SE.select_k_best(scores, SELECT_K_QUERY)
 
 
+def q_knn_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: the nearest-neighbour estimate for numeric columns, exact counts for
+    one-hot columns."""
+    split = _split(spark, sf_dir, materialize=True)
+    tr = EN.fit_transformer(split.filter(~F.col(PP.SPLIT_COL)), K.NUMERIC_COLUMNS, K.NOMINAL_COLUMNS)
+    encoded = tr.transform(split, keep=[K.LABEL_COLUMN, PP.SPLIT_COL] + K.NOMINAL_COLUMNS)
+    return PP.neighbour_scores(write_scratch(encoded.filter(~F.col(PP.SPLIT_COL)), "encoded-train"), tr)
+
+
+def q_knn_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4/T1 with the nearest-neighbour estimate, as the source selects."""
+    return SE.select_k_best(write_scratch(q_knn_information(spark, sf_dir), "knn-scores"), SELECT_K_QUERY)
+
+
 def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced class weights of the training rows."""
     train = _split(spark, sf_dir).filter(~F.col(PP.SPLIT_COL))
@@ -163,29 +178,15 @@ def q_summary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ME.summary(ME.confusion_long(_rule_scored_test(spark, sf_dir)))
 
 
-_TRAINED: dict = {}
+def _prepared(spark, sf_dir):
+    """E1 on the stand-in records."""
+    return PP.prepare_records(spark, sf_dir)
 
 
 def _trained(spark, sf_dir):
-    """Prepared stand-in records and the forest trained on them; reused by the
-    later model queries of the same Spark application (the prepared tables
-    live in the shared folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        prep = _prepared(spark, sf_dir)
-        _TRAINED[key] = (prep, MO.train_classifier(prep.train, prep.selected))
-    return _TRAINED[key]
-
-
-_PREPARED: dict = {}
-
-
-def _prepared(spark, sf_dir):
-    """E1 on the stand-in records, reused within one Spark application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PREPARED:
-        _PREPARED[key] = PP.prepare_records(spark, sf_dir)
-    return _PREPARED[key]
+    """Prepared stand-in records and the forest trained on them."""
+    prep = _prepared(spark, sf_dir)
+    return prep, MO.train_classifier(prep.train, prep.selected)
 
 
 def q_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,6 +466,8 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "encoded_records": (q_encoded, OP.encoded_sql()),
     "mutual_information": (q_mutual_info, OP.mutual_info_sql()),
     "selected_features": (q_selected, OP.selected_sql(SELECT_K_QUERY)),
+    "knn_information": (q_knn_information, OP.knn_info_sql()),
+    "knn_selected_features": (q_knn_selected, OP.knn_selected_sql(SELECT_K_QUERY)),
     "class_weights": (q_class_weights, OP.class_weights_sql()),
     "confusion_matrix": (q_confusion, OP.confusion_sql()),
     "class_report": (q_class_report, OP.class_report_sql()),

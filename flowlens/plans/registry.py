@@ -442,15 +442,56 @@ def q_stream_forest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FF.flat_alerts(found)
 
 
-def _streamed_alerts(spark: SparkSession, sf_dir: str, score, alerts) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, score, alerts, window: str = BATCH_WINDOW, per_trigger: int | None = None, buffer=None) -> str:
+    """The folder that the live path fills from the landed packets, all at once
+    or a few files at a time."""
     from flowlens.streaming import live as LV
     land = scratch_path(spark, "packets-landing")
-    LV.land_packets(read_packets(spark, sf_dir), land)
-    LV.land_heartbeat(spark, land, BATCH_WINDOW, STREAM_WATERMARK)
+    if per_trigger is None:
+        LV.land_packets(read_packets(spark, sf_dir), land)
+    else:
+        LV.land_in_order(read_packets(spark, sf_dir).coalesce(1), land)
+    LV.land_heartbeat(spark, land, window, STREAM_WATERMARK)
     out = scratch_path(spark, "live-out")
-    q = LV.run_live(spark, land, out, score, window=BATCH_WINDOW, watermark=STREAM_WATERMARK, alerts=alerts)
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/alerts").drop("epoch")
+    LV.run_live(spark, land, out, score, window=window, watermark=STREAM_WATERMARK, alerts=alerts, max_files_per_trigger=per_trigger, buffer=buffer).awaitTermination()
+    return out
+
+
+def _streamed_alerts(spark: SparkSession, sf_dir: str, score, alerts) -> DataFrame:
+    return spark.read.parquet(f"{_stream(spark, sf_dir, score, alerts)}/alerts").drop("epoch")
+
+
+def q_stream_alert_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3/T6/S8 on the stream: the buffer of the newest alerts, compacted in
+    every epoch, as a new viewer gets it."""
+    from flowlens.streaming import live as LV
+    from flowlens.streaming import nodes as NO
+    buffer = NO.AlertBuffer(spark, scratch_path(spark, "alert-buffer"))
+    _stream(spark, sf_dir, lambda rec: AP.score_records_by_rule(rec, BATCH_WINDOW), LV.gated_alerts, per_trigger=2, buffer=buffer)
+    return buffer.replay()
+
+
+def _watched_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.streaming import live as LV
+    from flowlens.streaming import nodes as NO
+    out = _stream(spark, sf_dir, lambda rec: AP.score_records_by_rule(rec, CAPTURE_WINDOW, sensor_of()), LV.gated_alerts, CAPTURE_WINDOW, per_trigger=3)
+    nodes = scratch_path(spark, "node-updates")
+    NO.run_node_watch(spark, f"{out}/alerts", nodes).awaitTermination()
+    return NO.current_nodes(spark, nodes)
+
+
+def q_stream_sensor_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5/A12 on the stream: last seen of each sensor in keyed state, AWAY by
+    an event-time timer."""
+    from flowlens.streaming import nodes as NO
+    return NO.node_status_table(write_scratch(_watched_nodes(spark, sf_dir), "nodes"))
+
+
+def q_stream_sensor_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5/A11 on the stream: totals and the exact number of sensors, from
+    their states."""
+    from flowlens.streaming import nodes as NO
+    return NO.node_kpis(_watched_nodes(spark, sf_dir))
 
 
 REGISTRY: dict[str, tuple[Builder, str | None]] = {
@@ -510,6 +551,9 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "fixed_forest_alerts": (q_forest_alerts, OA.forest_alerts_sql()),
     "fixed_forest_dashboard": (q_forest_dashboard, OA.forest_dashboard_sql()),
     "stream_fixed_forest_alerts": (q_stream_forest_alerts, OA.forest_alerts_sql()),
+    "stream_alert_replay": (q_stream_alert_replay, OA.buffer_sql()),
+    "stream_sensor_status": (q_stream_sensor_status, OA.sensor_status_sql()),
+    "stream_sensor_kpis": (q_stream_sensor_kpis, OA.sensor_kpis_sql()),
     "model_probability_check": (q_probability_check, OX.rows_per_class_sql()),
     "model_shapley_check": (q_shapley_check, OX.rows_per_class_sql()),
 }

@@ -35,6 +35,7 @@ from flowlens.operators import alerts as AL
 from flowlens.operators import flows as FL
 from flowlens.session import scratch_path, write_scratch
 from flowlens.sources.packets import PACKET_SCHEMA
+from flowlens.streaming.nodes import AlertBuffer
 
 
 #: Protocol tag of the row that ends a bounded input; never a packet's tag.
@@ -75,19 +76,23 @@ def gated_alerts(scored: DataFrame) -> DataFrame:
     return AL.alert_records(AL.gate(scored))
 
 
-def _write_epoch(out_dir: str, epoch_id: int, flows: DataFrame, score: Step, alerts: Step) -> None:
+def _write_epoch(out_dir: str, epoch_id: int, flows: DataFrame, score: Step, alerts: Step,
+                 buffer: AlertBuffer | None = None) -> None:
     """ST3/ST4 for the flows of an epoch: records, verdicts (S9), batch
     summaries (P27) and alerts (S8), each in the epoch's own folder. Records
-    and scored rows are written first, as several outputs read them."""
+    and scored rows are written first, as several outputs read them. The
+    newest alerts go to ``buffer`` (T3)."""
     rec = write_scratch(records_from_flows(flows), f"stream-records-{epoch_id}")
     scored = write_scratch(score(rec), f"stream-scored-{epoch_id}")
     for name, rows in (("flows", flows), ("records", rec), ("verdicts", AL.verdicts(scored)),
                        ("summary", AL.batch_summary(scored)), ("alerts", alerts(scored))):
         rows.write.mode("overwrite").parquet(f"{out_dir}/{name}/epoch={epoch_id}")
+    if buffer is not None:
+        buffer.add(flows.sparkSession.read.parquet(f"{out_dir}/alerts/epoch={epoch_id}"), epoch_id)
 
 
-def process_closed_flows(out_dir: str, window: str, score: Step,
-                         alerts: Step = gated_alerts) -> Callable[[DataFrame, int], None]:
+def process_closed_flows(out_dir: str, window: str, score: Step, alerts: Step = gated_alerts,
+                         buffer: AlertBuffer | None = None) -> Callable[[DataFrame, int], None]:
     """ST4: the ``foreachBatch`` body. ``score`` maps 41-attribute records to
     rows with batch, seq, alert_ts, node_ip, src_ip, dst_ip, prediction,
     confidence (and whatever ``alerts`` needs); ``alerts`` maps scored rows to
@@ -97,7 +102,7 @@ def process_closed_flows(out_dir: str, window: str, score: Step,
         # the heartbeat goes here, not in the stream's plan: a filter there would
         # move below the watermark, which must see it
         flows = write_scratch(batch.where(F.col("protocol_type") != HEARTBEAT), f"stream-flows-{epoch_id}")
-        _write_epoch(out_dir, epoch_id, flows, score, alerts)
+        _write_epoch(out_dir, epoch_id, flows, score, alerts, buffer)
 
     return run
 
@@ -105,7 +110,7 @@ def process_closed_flows(out_dir: str, window: str, score: Step,
 def run_live(spark: SparkSession, packets_path: str, out_dir: str, score: Step,
              window: str = "4 seconds", watermark: str = "10 seconds",
              checkpoint: str | None = None, available_now: bool = True,
-             max_files_per_trigger: int | None = None, alerts: Step = gated_alerts):
+             max_files_per_trigger: int | None = None, alerts: Step = gated_alerts, buffer: AlertBuffer | None = None):
     """Start the live query: file source → stateful flows → foreachBatch.
     With ``available_now`` it processes what is there and stops; windows that
     the watermark has not passed stay open in the state (``land_heartbeat``
@@ -113,7 +118,7 @@ def run_live(spark: SparkSession, packets_path: str, out_dir: str, score: Step,
     flows = flow_stream(packet_stream(spark, packets_path, max_files_per_trigger), window, watermark)
     w = (flows.writeStream.outputMode("append")
               .option("checkpointLocation", checkpoint or scratch_path(spark, "live-ckpt"))
-              .foreachBatch(process_closed_flows(out_dir, window, score, alerts)))
+              .foreachBatch(process_closed_flows(out_dir, window, score, alerts, buffer)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=window)
     return w.start()
 
@@ -169,6 +174,24 @@ def land_packets(packets: DataFrame, path: str, files: int = 8) -> None:
             .write.mode("append").parquet(path))
 
 
+def land_in_order(packets: DataFrame, path: str, parts: int = 8) -> None:
+    """Land consecutive time ranges one after another, as a capture does: a
+    stream that takes few files at a time sees them in order. Packets without a
+    time are in the first."""
+    at = F.unix_micros(S.ntz_to_event_time("ts"))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = packets.agg(F.percentile_approx(at, shares, 1000)).first()[0] if shares else []
+    edges = [None, *sorted(set(cuts or [])), None]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        inside = F.lit(True)
+        if high is not None:
+            inside = at < high
+        if low is not None:
+            inside = inside & (at >= low)
+        part = packets.where(F.coalesce(inside, F.lit(low is None)))
+        part.sortWithinPartitions("ts", "event_id").write.mode("append").parquet(path)
+
+
 def land_heartbeat(spark: SparkSession, path: str, window: str, watermark: str) -> None:
     """End a bounded input: land one row later than all packets under ``path``
     by a window and the watermark twice, so that every window with packets

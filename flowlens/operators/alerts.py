@@ -3,17 +3,16 @@
 Input: scored rows with ``batch`` (window start), ``seq`` (capture order in
 the batch), node/src/dst IPs, ``prediction`` and ``confidence``.
 
-* P19 "threat, or the first row of its batch": the first row is the ``min_by``
-  of its batch, an aggregation with map-side combine that moves one row per
-  batch and task; of the other rows only threats are shuffled, and no batch
-  is one task.
+* P19 "threat, or the first row of its batch": the smallest ``seq`` of each
+  batch, an aggregation with map-side combine that moves one number per batch
+  and task, is joined back on (batch, seq).
 * T3/T4 keep the newest N alerts: ``orderBy(...).limit(N)`` is a per-partition
   top-N then a merge of N·partitions rows — the limit is the feature.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import constants as K
@@ -22,14 +21,12 @@ from flowlens.functions import scalar as S
 
 def gate(scored: DataFrame, batch_col: str = "batch", seq_col: str = "seq") -> DataFrame:
     """P18 + P19: add ``is_threat`` and ``is_first``; keep threats and the first
-    row of each batch. Only threats are joined (on (batch, seq), unique per
-    row) with the first rows, to mark those that are both."""
+    row of each batch. Only (batch, smallest seq) is aggregated, and joined back
+    on both, which no two rows share: no batch is one task."""
+    first = scored.groupBy(batch_col).agg(F.min(seq_col).alias(seq_col)).withColumn("is_first", F.lit(True))
     marked = scored.withColumn("is_threat", F.coalesce(S.is_threat("prediction"), F.lit(False)))
-    first = (marked.groupBy(batch_col).agg(F.min_by(F.struct(*marked.columns), seq_col).alias("row"))
-                   .select("row.*").withColumn("is_first", F.lit(True)))
-    threats = marked.filter("is_threat").join(first.select(batch_col, seq_col, "is_first"), [batch_col, seq_col], "left")
-    return (threats.withColumn("is_first", F.coalesce("is_first", F.lit(False))).select(*marked.columns, "is_first")
-            .unionByName(first.filter(~F.col("is_threat"))))
+    joined = marked.join(first, [batch_col, seq_col], "left").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
+    return joined.where("is_threat or is_first").select(*marked.columns, "is_first")
 
 
 def alert_records(gated: DataFrame, ts_col: str = "alert_ts", seq_col: str = "seq",
@@ -101,12 +98,10 @@ def kpis(alerts: DataFrame, cleared_at: str | None = None) -> DataFrame:
 def node_status(alerts: DataFrame, now: str | None = None) -> DataFrame:
     """Last alert time per node; ONLINE when the floor of its age in
     seconds is below 10, else AWAY. ``now`` defaults to the newest alert
-    (taken over the per-node table, one row per sensor)."""
+    (a scalar aggregate)."""
     last = alerts.groupBy("node_ip").agg(F.max("ts").alias("last_seen"))
-    if now is None:
-        last = last.withColumn("_now", F.max("last_seen").over(Window.partitionBy()))
-    else:
-        last = last.withColumn("_now", F.to_timestamp_ntz(F.lit(now)))
+    at = F.to_timestamp_ntz(F.lit(now)) if now is not None else alerts.select(F.max("ts")).scalar()
+    last = last.withColumn("_now", at)
     age = F.floor(S.micros_between("last_seen", "_now") / F.lit(1e6))
     return last.select("node_ip", "last_seen", age.cast("long").alias("age_seconds"),
                        F.when(age < K.ONLINE_SECONDS, "ONLINE").otherwise("AWAY").alias("status"))

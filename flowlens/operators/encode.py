@@ -119,13 +119,16 @@ class Vocabulary:
                                            "feature string, position int")
 
 
-def fit_vocabulary(train: DataFrame, nominal_cols: list[str]) -> Vocabulary:
+def fit_vocabulary(train: DataFrame, nominal_cols: list[str], max_values: int = 100_000) -> Vocabulary:
     """A5: distinct (column, value) pairs in one shuffle; the result is the
-    width of the encoded matrix, so it is small by construction."""
+    width of the encoded matrix. More than ``max_values`` are an error: such a
+    column can't be one-hot encoded."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value"))
                       for c in nominal_cols])
     got = (train.select(F.inline(pairs)).filter(F.col("value").isNotNull())
-                .distinct().collect())
+                .distinct().limit(max_values + 1).collect())
+    if len(got) > max_values:
+        raise ValueError(f"more than {max_values} values in the nominal columns {nominal_cols}: not a vocabulary")
     vals: dict[str, list[str]] = {c: [] for c in nominal_cols}
     for r in got:
         vals[r["column"]].append(r["value"])

@@ -31,7 +31,9 @@ from flowlens.plans import oracle_boost_sql as OB
 from flowlens.plans import oracle_explain_sql as OX
 from flowlens.plans import oracle_prep_sql as OP
 from flowlens.plans import oracle_sql as O
+from flowlens.plans import oracle_stored_sql as OS
 from flowlens.plans import prepare as PP
+from flowlens.plans import stored as ST
 from flowlens.session import scratch_path, write_scratch
 from flowlens.sources import records as RC
 from flowlens.sources.packets import read_dense_packets, read_packets
@@ -554,6 +556,16 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "stream_alert_replay": (q_stream_alert_replay, OA.buffer_sql()),
     "stream_sensor_status": (q_stream_sensor_status, OA.sensor_status_sql()),
     "stream_sensor_kpis": (q_stream_sensor_kpis, OA.sensor_kpis_sql()),
+    "csv_records": (ST.csv_records, OS.csv_records_sql()),
+    "processed_table": (ST.processed_table, OS.processed_table_sql()),
+    "saved_model_check": (ST.saved_model_check, OX.rows_per_class_sql()),
+    "linear_attribution": (ST.linear_attribution, OS.linear_attribution_sql()),
+    "linear_detector_check": (ST.linear_detector_check, OX.rows_per_class_sql()),
+    "svm_detector_check": (ST.svm_detector_check, OX.rows_per_class_sql()),
+    "stored_alerts": (ST.stored_alerts, OS.stored_alerts_sql()),
+    "stored_report": (ST.stored_report, OP.class_report_sql()),
+    "request_records": (ST.request_records, OS.request_records_sql()),
+    "normalized_packets": (ST.normalized_packets, OS.NORMALIZED_PACKETS),
     "model_probability_check": (q_probability_check, OX.rows_per_class_sql()),
     "model_shapley_check": (q_shapley_check, OX.rows_per_class_sql()),
 }

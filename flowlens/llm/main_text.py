@@ -4,19 +4,21 @@ The standard library's HTML parser is fed slice by slice; its events become
 lines, one for each block element, with their ratio of characters to tags and
 the element that holds them. Lines inside menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments have
-ratio 0. A name that may also be the text's own (inside an article, or next to a
+ratio 0: by their tag or role, by a name that says nothing else (``SURE``, as a
+whole), and an article among readers' comments is one. A name that may also be the text's own (inside an article, or next to a
 word for a wrapper) only makes its element doubtful: it counts as such if none of
 its lines, smoothed among themselves, reaches the threshold. The ratios are smoothed by a Gaussian over the neighbouring lines and
-those at or above their standard deviation are content. The content region is
-the outermost article or main element that holds most characters of the content
-lines, or else the smallest container that holds all of them; its lines, long
-and short, and the content lines outside it are the text.
+those at or above their standard deviation are content. The content region are
+the outermost article and main elements with content lines, if they hold most of
+their characters, or else the smallest container that holds all of them; its
+lines, long and short, and the content lines outside it are the text.
 
 Per page: one scan, no shuffle, pages whole.
 
 Edge cases: null and empty pages, and pages without text, give an empty text;
-unclosed elements end with their page; broken markup is read as the parser
-reads it.
+unclosed elements end with their page, and so does a tag without its closing
+mark; other broken markup is read as the parser reads it. The time is linear in
+the page: open elements are found by their tag.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -48,7 +51,21 @@ WRAPPERS = frozenset("article body container content entry has layout main page
 #: Names of headings come from their text; inside an article only these can be named as something else.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 GROUPS = frozenset("aside div ol section ul".split())
+#: Whole names of what is not the text, wherever it stands (- and _ are alike).
+SURE = frozenset("ad ads ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper adbox adslot advert adverts advertisement advertisements advertising banner-ad sponsored "
+                 "sponsored-content promo promoted promotion comment comments comment-list comment-section comment-thread comments-area comments-list "
+                 "comments-section disqus disqus-thread post-comments reader-comments user-comments replies respond consent cookie-banner cookie-bar "
+                 "cookie-consent cookie-notice cookies-notice consent-banner notice notices site-notice newsletter newsletter-box newsletter-form "
+                 "newsletter-signup signup signup-form subscribe subscribe-box share-bar share-buttons share-links social social-links social-share sidebar "
+                 "side-bar breadcrumb breadcrumbs pagination pager popup modal toolbar topbar menu nav navbar navigation login login-form".split())
+#: Of those the ones that may as well be the anchor of a section of the text.
+ANCHORS = frozenset("ad ads advertising promotion comment notice notices social consent menu navigation login replies respond sponsored".split())
+SURE_TAGS = GROUPS | frozenset("blockquote details dialog dl figure p span table".split())
+#: Containers in which an article is a reader's.
+TALK = frozenset("comment comments discussion discussions replies responses thread".split())
+STOPS = CONTAINER | DROPPED | frozenset("blockquote ol ul".split())
 SLICE = 1 << 16
+TAG = re.compile("<[a-zA-Z/!?]")
 
 
 @dataclass(frozen=True)
@@ -67,7 +84,11 @@ class _Lines(HTMLParser):
         self.off: list[bool] = [False]
         self.inside: list[bool] = [False]  # an article or main element
         self.doubt = [0]  # the nearest doubtful element, itself or above
+        self.talk = [False]  # inside a container of readers' comments
         self.open = [0]
+        self.at: dict[str, list[int]] = {}  # depths of the open elements, by tag
+        self.blocks: list[int] = []
+        self.stops: list[int] = []
         self.lines: list[tuple[str, int, int, bool]] = []
         self.buf: list[str] = []
         self.seen = 0
@@ -84,16 +105,22 @@ class _Lines(HTMLParser):
         """Whether an element is dropped; whether it is doubtful."""
         if tag in DROPPED or tag == "header" and not inside:
             return True, False
-        if tag in ("html", "body", "main", "article"):
+        if tag in ("html", "body", "main"):
             return False, False
+        named = [(k, v) for k, v in attrs if v and k in ("class", "id")]
+        if tag == "article":
+            talk = self.talk[self.open[-1]] or any(whole_name(n) in TALK for k, v in named if k == "class" for n in v.split())
+            return talk, False
         doubt = False
         for k, v in attrs:
-            if not v:
-                continue
-            if k == "role" and v.strip().lower() in ROLES:
+            if k == "role" and v and v.strip().lower() in ROLES:
                 return True, False
-            if k in ("class", "id") and tag not in HEADINGS and (tag in GROUPS or not inside):
-                for name in v.split():
+        for k, v in named:
+            for name in v.split():
+                whole = whole_name(name)
+                if whole in SURE and (tag in SURE_TAGS if k == "class" else tag in GROUPS and whole not in ANCHORS):
+                    return True, False
+                if tag not in HEADINGS and (tag in GROUPS or not inside):
                     words = set(re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", name).lower()))
                     wraps = words & WRAPPERS
                     if not inside and not wraps and (words & NAMES or "header" in words):
@@ -101,8 +128,24 @@ class _Lines(HTMLParser):
                     doubt = doubt or bool(words & NAMES) and tag in BLOCK
         return False, doubt
 
+    def _open(self, tag: str, node: int) -> None:
+        depth = len(self.open)
+        self.open.append(node)
+        self.at.setdefault(tag, []).append(depth)
+        if tag in BLOCK:
+            self.blocks.append(depth)
+        if tag in STOPS:
+            self.stops.append(depth)
+
     def _close(self, depth: int) -> None:
-        del self.open[max(1, depth):]
+        """Close all elements from ``depth`` up; each is closed once."""
+        while len(self.open) > max(1, depth):
+            tag = self.tags[self.open.pop()]
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if tag in STOPS:
+                self.stops.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -114,45 +157,57 @@ class _Lines(HTMLParser):
             return
         if tag == "body":
             self._close(1)
-        elif tag == "p" or tag == "li":  # such an element ends the one that is open
-            for d in range(len(self.open) - 1, 0, -1):
-                t = self.tags[self.open[d]]
-                if t == tag:
-                    self._close(d)
-                    break
-                if t in CONTAINER or t in DROPPED or t in ("ul", "ol", "blockquote"):
-                    break
+        elif (tag == "p" or tag == "li") and self.at.get(tag) and self.at[tag][-1] > (self.stops[-1] if self.stops else 0):
+            self._close(self.at[tag][-1])  # such an element ends the one that is open
         up = self.open[-1]
         node = len(self.tags)
+        off, doubt = self._boiler(tag, attrs, self.inside[up])
         self.tags.append(tag)
         self.parent.append(up)
         self.inside.append(self.inside[up] or tag in ("article", "main"))
-        off, doubt = self._boiler(tag, attrs, self.inside[up])
+        self.talk.append(self.talk[up] or tag in GROUPS and any(whole_name(n) in TALK for k, v in attrs if v and k in ("class", "id") for n in v.split()))
         self.off.append(self.off[up] or off)
         self.doubt.append(node if doubt else self.doubt[up])
-        self.open.append(node)
+        self._open(tag, node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.tags[self.open[-1]] == tag and tag in ("svg", "path", "g", "use"):
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
         self.seen += 1
-        for d in range(len(self.open) - 1, 0, -1):
-            t = self.tags[self.open[d]]
-            if t == tag:
-                self._close(d)
-                return
-            if tag not in BLOCK and t in BLOCK:
-                return  # an inline end tag closes no block
+        depth = self.at[tag][-1] if self.at.get(tag) else 0
+        if depth and (tag in BLOCK or not self.blocks or self.blocks[-1] < depth):  # an inline end tag closes no block
+            self._close(depth)
 
     def handle_data(self, data):
         if not self.off[self.open[-1]] or self.tags[self.open[-1]] not in ("script", "style"):
             self.buf.append(data)
 
+    def read(self, html: str) -> None:
+        """Feed slices; what the parser can't finish yet is not read again
+        before as much has come. A tag that never closes ends with the page."""
+        at = 0
+        while at < len(html):
+            end = at + max(SLICE, len(self.rawdata))
+            self.feed(html[at:end])
+            at = end
+        if ">" not in self.rawdata:
+            tail, self.rawdata = self.rawdata, ""
+            cut = TAG.search(tail)
+            tail = unescape(tail[: cut.start()] if cut else tail)
+            if tail:
+                self.handle_data(tail)
+        self.close()
+        self.flush()
+
+
+def whole_name(name: str) -> str:
+    return name.lower().replace("_", "-")
+
 
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian mean over neighbouring lines; the ends have fewer neighbours."""
@@ -188,10 +243,7 @@ def main_text(html: str | None, p: TextParams = TextParams()) -> str:
     if not html:
         return ""
     parser = _Lines()
-    for s in range(0, len(html), SLICE):
-        parser.feed(html[s : s + SLICE])
-    parser.close()
-    parser.flush()
+    parser.read(html)
     lines = parser.lines
     ratio = np.array([0.0 if off else len(t) / max(1, tags) for t, tags, _, off in lines])
     if not ratio.any():
@@ -213,13 +265,15 @@ def main_text(html: str | None, p: TextParams = TextParams()) -> str:
             up = parser.parent[node]
             mass[up] = mass.get(up, 0) + mass[node]
     tags, total = parser.tags, mass[0]
-    # nothing below an article that holds the mass; or else what covers every content line: of those, the one opened last
-    region = min((n for n, m in mass.items() if m >= p.region_share * total and tags[n] in ("article", "main")), default=0)
-    region = region or max(n for n, m in mass.items() if m == total and (tags[n] in CONTAINER or not n))
+    # nothing below the outermost articles, if they hold the mass; or else what covers every content line: of those, the one opened last
+    tops = [n for n in mass if tags[n] in ("article", "main") and not parser.inside[parser.parent[n]]]
+    if sum(mass[n] for n in tops) < p.region_share * total or not tops:
+        tops = [max(n for n, m in mass.items() if m == total and (tags[n] in CONTAINER or not n))]
     within = [False] * len(tags)
-    within[region] = True
+    for n in tops:
+        within[n] = True
     for node in range(1, len(tags)):
-        within[node] = node == region or within[parser.parent[node]]
+        within[node] = within[node] or within[parser.parent[node]]
     return "\n".join(t for (t, _, node, off), ok in zip(lines, picked, strict=True) if not off and (ok or within[node]))
 
 

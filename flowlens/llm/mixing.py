@@ -5,16 +5,18 @@ shares raised to an exponent and normalised: 1 keeps the shares, 0 makes all
 sources equal. The exponent is the largest whose entropy reaches
 ``entropy_share`` of the most that the sources allow; if some source would
 then be read more than ``max_repeat`` times, it is the smallest larger one
-that keeps the limit. Both are found by bisection on a grid of 2^16 steps,
+that keeps the limit. A budget of over ``max_repeat`` times all tokens is an
+error, as no exponent keeps the limit. Both are found by bisection on a grid of 2^16 steps,
 five halvings in one aggregation.
 
 Realisation: every source has a budget of tokens, its weight times
 ``budget_tokens`` (all tokens by default). Its documents are permuted anew in
 every epoch by a hash of seed, epoch and id. Whole epochs take every document;
 the last one takes the beginning of its permutation, as many documents as fit.
-That beginning is found by blocks of the hash range: token sums by block, a
-prefix sum over blocks, and a running sum inside the one block where the
-budget ends. So a hot source is many blocks, and no task holds a source.
+That beginning is found by blocks of the hash range: token sums by block,
+prefix sums over stretches of blocks and over the blocks of one stretch, and a
+running sum inside the one block where the budget ends. So a hot source is many
+blocks, and a task holds about the square root of their number.
 ``place`` orders the mix: sorted by it, any stretch has the target weights.
 
 Edge cases: a null source is a source; null and empty texts have no tokens and
@@ -83,6 +85,8 @@ def find_exponent(sources: DataFrame, total: int, budget: int, p: MixParams) ->
     """Step of the exponent on the grid; ``sources``: tokens of each."""
     import math
 
+    if budget > p.max_repeat * total:  # exponent 1 reads all sources alike; every other reads one more often
+        raise ValueError(f"{budget} tokens from {total} are more than {p.max_repeat} readings of some source")
     shares = sources.where("tokens > 0").select((F.col("tokens") / F.lit(float(total))).alias("p"))
     count = shares.count()
     if count < 2:
@@ -94,6 +98,14 @@ def find_exponent(sources: DataFrame, total: int, budget: int, p: MixParams) ->
     return at if fits(now) else _bisect(shares, fits, at, GRID, True)
 
 
+def _ending(sums: DataFrame, group: list[str], by: str) -> DataFrame:
+    """The row of each group, in the order of ``by``, in which ``rest`` ends,
+    and the tokens ``before`` it, starting at ``from``."""
+    upto = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return (sums.withColumn("before", F.col("from") + F.coalesce(F.sum("t").over(upto), F.lit(0)))
+            .where("before <= rest and before + t > rest").groupBy("source").agg(F.min_by(by, by).alias(by), F.min_by("before", by).alias("before")))
+
+
 def plan_mix(thin: DataFrame, p: MixParams) -> DataFrame:
     """For each source of ``thin`` (source, doc_id, n_tokens): tokens, budget,
     whole epochs and the place (cut, cut_id) where the last epoch ends."""
@@ -110,11 +122,13 @@ def plan_mix(thin: DataFrame, p: MixParams) -> DataFrame:
     h = (thin.join(planned.select(F.col("source").alias("s"), "epochs", "rest", "blocks"), thin["source"].eqNullSafe(F.col("s"))).drop("s")
          .where("rest > 0").withColumn("h", hash32(F.col("epochs"), F.col("doc_id"), p.seed))
          .withColumn("block", F.floor(F.col("h") * F.col("blocks") / F.lit(float(1 << 32))).cast("long")))
-    h = write_scratch(h.select("source", "doc_id", "n_tokens", "rest", "block", "h"), "mix-places")
-    sums = h.groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("t"))
-    upto = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (sums.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0)))
-            .where("before <= rest and before + t > rest").groupBy("source").agg(F.min_by("block", "block").alias("block"), F.min_by("before", "block").alias("before")))
+    h = write_scratch(h.select("source", "doc_id", "n_tokens", "rest", "blocks", "block", "h"), "mix-places")
+    # prefix sums in two levels: the stretch of blocks where the budget ends, then the block in it
+    sums = h.groupBy("source", "rest", "blocks", "block").agg(F.sum("n_tokens").alias("t")).withColumn("stretch", F.floor(F.col("block") / F.ceil(F.sqrt("blocks"))))
+    sums = write_scratch(sums, "mix-sums")
+    wide = _ending(sums.groupBy("source", "rest", "stretch").agg(F.sum("t").alias("t")).withColumn("from", F.lit(0).cast("long")), ["source"], "stretch")
+    wide = wide.select(F.col("source").alias("s"), F.col("stretch").alias("x"), F.col("before").alias("from"))
+    edge = _ending(sums.join(wide, sums["source"].eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("x"))), ["source", "stretch"], "block")
     inside = Window.partitionBy("source", "block").orderBy("h", "doc_id")  # rows with equal keys share a sum
     cut = (h.join(edge.select(F.col("source").alias("s"), F.col("block").alias("b"), "before"), h["source"].eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
            .withColumn("t", F.col("before") + F.sum("n_tokens").over(inside))

@@ -157,6 +157,58 @@ def test_main_text_names_and_ratios():
     assert M.main_text(f"{deep}<article><p>{a}</p></article>") == a
 
 
+def test_main_text_drops_sure_blocks_inside_the_article():
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 50) + "." for _ in range(4))
+    say = "I read this with great interest, and I have a good many words to say about it too."
+    want = ["Head", a, b, c]
+    page = "<body><nav>Home</nav>{}<article><h1>Head</h1><p>" + a + "</p>{}<section id='discussion'><h2 id='ad'></h2><p>" + b + "</p></section><p>" + c + "</p>{}</article>{}<footer>x</footer></body>"
+    blocks = [f"<section class='comments'><p>{say}</p><div class='comment'><p>{say}</p></div></section>", f"<div class='ad'><p>{say}</p></div>", f"<p class='advert'>{say}</p>",
+              f"<div class='cookie-notice'><p>{say}</p></div>", f"<div class='Newsletter box'><p>{say}</p></div>", f"<div id='comments'><p>{say}</p></div>", f"<figure class='ad_banner'>{say}</figure>", f"<ul class='breadcrumbs'><li>{say}</li></ul>"]
+    talk = f"<div id='discussion'><article class='comment'><p>{say}</p></article><article><p>{say}</p></article></div>"
+    for x in blocks:
+        for html in (page.format("", x, "", ""), page.format("", "", x, ""), page.format("", "", "", x), page.format(x, "", "", talk)):
+            assert M.main_text(html).split("\n") == want, html
+            assert M.main_text(html.replace("article", "main", 2).replace("</article>", "</main>", 1)).split("\n")[-1] != say
+    two = f"<body><article><h1>Head</h1><p>{a}</p><p>{b} {c} {d}</p></article><article><h2>Next</h2><p>Short one.</p><p>{d[:60]}</p></article></body>"
+    assert M.main_text(two).split("\n") == ["Head", a, f"{b} {c} {d}", "Next", "Short one.", d[:60].strip()]
+
+
+def naive_text(html):
+    """An independent extractor of the generator's own pages: block texts of the
+    article, by regular expressions."""
+    import html as H
+
+    body = re.sub(r"(?is)<(script|style|nav|aside|footer|form|header)\b.*?</\1>|<!--.*?-->", " ", html)
+    body = re.sub(r"(?is)<(div|p|section|ul)\b[^>]*class=[\"']?(?:ad|ads|advert|comments|cookie[\w-]*|notice|sidebar|menu)\b[^>]*>.*?</\1>", " ", body)
+    found = re.findall(r"(?is)<article\b[^>]*>(.*?)</article>", body)
+    lines = []
+    for x in found:
+        for block in re.split(r"(?i)</?(?:p|h[1-6]|div|section|ul|ol|li|table|tr|td|blockquote|pre)\b[^>]*>", x):
+            text = " ".join(H.unescape(re.sub(r"(?s)<[^>]*>", "", re.sub(r"(?i)<br[^>]*>", " ", block))).split())
+            if text:
+                lines.append(text)
+    return "\n".join(lines)
+
+
+def test_main_text_of_all_pages_equals_a_naive_extractor(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in M.extract_text(pages).collect()}
+    with_article = [i for i, h in html.items() if "<article" in (h or "")]
+    assert len(with_article) > 0.9 * len(html)
+    assert [i for i in with_article if got[i] != naive_text(html[i])] == []
+
+
+def test_main_text_is_linear():
+    import time
+
+    for page in ("<a " * 100_000, "<b>" * 100_000, "<b>" * 20_000 + "</i>" * 20_000, "<p>" * 100_000, "<!-- " + "x " * 4_000_000, "</a" * 100_000, "<li><i>" * 50_000):
+        began = time.process_time()
+        assert M.main_text(page + "<p>tail</p>") in ("tail", "") or page.startswith("<!--")
+        assert time.process_time() - began < 10
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(5)
     items = [(100, words(rng, 30)), (101, words(rng, 12)), (102, "tiny item Five words"), (102, "tiny item Five words"), (103, None), (None, "one two"), (104, ""),
@@ -343,8 +395,25 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in TX.toxicity(docs, lab.limit(0)).collect()} == {0.0}
 
 
+def test_mixing_limits(spark):
+    """A budget that no exponent keeps within ``max_repeat`` is an error; many
+    small blocks end where one running sum over a source ends."""
+    rows = [(i, f"{'w ' * (1 + i % 7)}", f"s{min(i % 5, 1)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    total = sum(len(t.split()) for _, t, _ in rows)
+    with pytest.raises(ValueError, match="readings"):
+        X.mix_sources(df, X.MixParams(budget_tokens=4 * total + 1))
+    few = X.mix_sources(df, X.MixParams(budget_tokens=total // 3, block_rows=5)).select("doc_id", "mix.epoch").collect()
+    one = X.mix_sources(df, X.MixParams(budget_tokens=total // 3, block_rows=10**6)).select("doc_id", "mix.epoch").collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, one)) and 0 < len(few) < 400
+    full = X.mix_sources(df, X.MixParams(budget_tokens=4 * total, entropy_share=0.1)).select("source", "mix.n_tokens").collect()
+    assert sum(r.n_tokens for r in full) <= 4 * total
+
+
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150).withColumn("kept", F.lit(1))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    for c in ("kept", "hit_id", "hit_key", "key", "mix", "mark", "id_", "key_"):
+        docs = docs.withColumn(c, F.lit(1))
     docs = docs.unionByName(docs.limit(1)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     path = scratch_path(spark, "pipeline-in")
     docs.write.parquet(path)

@@ -55,11 +55,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    new = "_" * (1 + max(map(len, docs.columns)))  # no column ends so
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     thin = docs.select("doc_id", "text", key.alias("key"))
     hit = (decontaminate(thin, read_table(spark, sf_dir, "benchmark"), keep=("key",)).where("n_hit > 0")
-           .select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).distinct())
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("hit_key")), "left_anti")
+           .select(F.col("doc_id").alias(f"id{new}"), F.col("key").alias(f"key{new}")).distinct())
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[f"id{new}"]) & (key == hit[f"key{new}"]), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -393,6 +393,44 @@ def test_toxicity_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in held)
     assert np.mean([r.predicted == (r.doc_id % 8 == 0) for r in held]) > 0.98
     assert {r.score for r in TX.toxicity(docs, lab.limit(0)).collect()} == {0.0}
+    # toxic labels alone: positives and unlabelled texts
+    alone = [r for r in TX.toxicity(docs, lab.where("toxic = 1")).collect() if r.held_out and r.doc_id is not None and r.doc_id < 1200]
+    assert np.mean([r.predicted == (r.doc_id % 8 == 0) for r in alone]) > 0.95 and sum(r.predicted for r in alone) > 20
+
+
+def test_toxicity_risk_and_gradient():
+    """The gradient against differences of the risk, on both sides of zero."""
+    rng = np.random.default_rng(3)
+    sides = set()
+    for shift in (-3.0, -1.0, 0.0, 2.0):
+        zp, zu, prior = rng.normal(2, 1, 9) , rng.normal(shift, 1, 14), 0.6
+        plain = lambda a, b: sum(np.log1p(np.exp(-x)) for x in a) / len(a) * prior, lambda a, b: sum(np.log1p(np.exp(x)) for x in b) / len(b) - prior * sum(np.log1p(np.exp(x)) for x in a) / len(a)
+        assert TX.risk(zp, zu, prior) == pytest.approx([f(zp, zu) for f in plain])
+        below = TX.risk(zp, zu, prior)[1] < 0
+        sides.add(below)
+        loss = (lambda a, b: -plain[1](a, b)) if below else (lambda a, b: plain[0](a, b) + plain[1](a, b))
+        gp, gu = TX.risk_gradient(zp, zu, prior, 0.0)
+        for z, g in ((zp, gp), (zu, gu)):
+            for i in range(len(z)):
+                z[i] += 1e-5
+                up = loss(zp, zu)
+                z[i] -= 2e-5
+                down = loss(zp, zu)
+                z[i] += 1e-5
+                assert g[i] == pytest.approx((up - down) / 2e-5, abs=1e-7)
+    assert sides == {True, False}
+
+
+def test_toxicity_document_frequencies(spark, docs):
+    bits = 12
+    got, n = TX.document_frequencies(docs.repartition(4), np.ones(1 << bits, bool), bits)
+    want = np.zeros(1 << bits, int)
+    for r in docs.collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        want[np.unique(TX.features(raw, np.array([0, len(raw)]), bits)[1])] += 1
+    assert n == docs.count() and (got == want).all()
+    few = np.arange(1 << bits) % 3 == 0
+    assert (TX.document_frequencies(docs, few, bits)[0] == np.where(few, want, 0)).all()
 
 
 def test_mixing_limits(spark):

@@ -49,3 +49,7 @@ select event_id, ts, case when t then 'tcp' when u then 'udp' when i then 'icmp'
        '10.0.0.' || (user_id % 250)::varchar as ip_src, '10.0.1.1' as ip_dst, case when t or u then event_id % 60000 else 0 end::int as port_src,
        case when t or u then 80 else 0 end::int as port_dst, case when t and event_id % 8 <> 0 then 'S' else '' end as tcp_flags, event_type as payload from raw
 """
+
+
+def request_stream_sql() -> str:
+    return "with " + O._flows_body("day") + "select window_start, count(*) as n, count(*) as n_holds from flow_feat group by window_start"

@@ -133,3 +133,28 @@ def normalized_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
                    (n % 60000).cast("int").alias("port_src"), F.lit(80).alias("port_dst"), F.when(n % 8 != 0, "S").alias("tcp_flags"), F.col("event_type").cast("binary").alias("payload"))
     got = PK.normalize_packets(raw.select(*[F.col(f.name).cast(f.dataType) for f in PK.RAW_PACKET_SCHEMA.fields]))
     return got.withColumn("payload", F.col("payload").cast("string"))
+
+
+def request_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7, M9, S8 as they arrive: every flow sent as a request and scored by a
+    saved model in the stream; flows per day, and for how many the stream's
+    alert is that of the same model in batch."""
+    from flowlens.operators import flows as FL
+    from flowlens.plans import serve as SV
+    prep = PP.prepare_records(spark, sf_dir)
+    clf = MO.train_classifier(prep.train, prep.selected, params=MO.TrainParams(num_trees=10))
+    model, out, land = (scratch_path(spark, x) for x in ("model", "served", "requests"))
+    clf.save(model)
+    MO.save_transformer(spark, prep.transformer, prep.selected, model)
+    rec = write_scratch(FL.flow_records(PK.read_packets(spark, sf_dir), "1 day"), "records").withColumn("node", F.concat(F.lit("flow-"), F.col("flow_seq")))
+    sent = RQ.requests_from_records(rec, "", node=F.col("node"))
+    sent.repartition(4).write.json(land)
+    SV.run_request_stream(spark, land, model, out, max_files_per_trigger=2).awaitTermination()
+    mine = MO.score_records(rec, prep.transformer, clf, keep=["window_start", "node"]).select(
+        "window_start", "node", F.col("prediction").alias("p"), F.col("confidence").alias("c"))
+    got = RQ.read_alerts(spark, f"{out}/alerts").select(F.col("node_ip").alias("node"), "prediction", "confidence")
+    both = mine.join(got, "node", "left")
+    same = (F.col("p") == F.col("prediction")) & (F.abs(F.col("c") - F.col("confidence")) < 1e-12)
+    # a row that is no threat has an alert only as the first of its batch
+    holds = F.when(F.lower("p").isin(*K.NORMAL_PREDICTIONS), F.col("prediction").isNull() | same).otherwise(F.coalesce(same, F.lit(False)))
+    return both.groupBy("window_start").agg(F.count(F.lit(1)).alias("n"), F.count_if(holds).alias("n_holds"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +44,12 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST_SCHEMA).json(path)
 
 
-def read_request_stream(spark: SparkSession, path: str) -> DataFrame:
+def read_request_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """S7, streaming: request files as they land."""
-    return spark.readStream.schema(REQUEST_SCHEMA).json(path)
+    r = spark.readStream.schema(REQUEST_SCHEMA)
+    if max_files_per_trigger is not None:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.json(path)
 
 
 def _request_time():
@@ -88,12 +91,13 @@ def request_records(req: DataFrame, keep: list[str] | None = None) -> DataFrame:
         *attrs)
 
 
-def requests_from_records(rec: DataFrame, node_ip: str, ts_col: str = "window_start") -> DataFrame:
+def requests_from_records(rec: DataFrame, node_ip: str, ts_col: str = "window_start", node: Column | None = None) -> DataFrame:
     """The agent side: flow records → request documents (one JSON object per
-    flow, features keyed by attribute name)."""
+    flow, features keyed by attribute name), from one sensor, or that which the
+    column ``node`` names."""
     feats = F.create_map(*[x for c in K.ATTRIBUTE_COLUMNS
                            for x in (F.lit(c), F.col(c).cast("string"))])
-    return rec.select(F.lit(node_ip).alias("node_ip"), "src_ip", "dst_ip",
+    return rec.select((F.lit(node_ip) if node is None else node).alias("node_ip"), "src_ip", "dst_ip",
                       F.date_format(F.col(ts_col), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
                       feats.alias("features"))
 

@@ -53,3 +53,7 @@ select event_id, ts, case when t then 'tcp' when u then 'udp' when i then 'icmp'
 
 def request_stream_sql() -> str:
     return "with " + O._flows_body("day") + "select window_start, count(*) as n, count(*) as n_holds from flow_feat group by window_start"
+
+
+def capture_packets_sql() -> str:
+    return "with " + O.PACKETS_CTE + "select ts, proto, bytes, ip_src, ip_dst, port_src, port_dst, tcp_flags, payload from packets"

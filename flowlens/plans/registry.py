@@ -566,6 +566,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "stored_report": (ST.stored_report, OP.class_report_sql()),
     "request_records": (ST.request_records, OS.request_records_sql()),
     "request_stream_check": (ST.request_stream_check, OS.request_stream_sql()),
+    "capture_packets": (ST.capture_packets, OS.capture_packets_sql()),
     "normalized_packets": (ST.normalized_packets, OS.NORMALIZED_PACKETS),
     "model_probability_check": (q_probability_check, OX.rows_per_class_sql()),
     "model_shapley_check": (q_shapley_check, OX.rows_per_class_sql()),

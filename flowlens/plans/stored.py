@@ -123,6 +123,20 @@ def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report
 
 
+def capture_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets, and a frame without IP beside every seventh,
+    written as capture files and read back by a stream."""
+    from flowlens.sources import captures as CA
+    packets = PK.read_packets(spark, sf_dir)
+    noise = packets.where(F.col("event_id") % 7 == 0).withColumn("proto", F.lit(None).cast("string"))
+    path, out = scratch_path(spark, "captures"), scratch_path(spark, "captured")
+    CA.write_captures(packets.unionByName(noise), path).write.mode("overwrite").parquet(f"{out}-names")
+    q = (CA.capture_stream(spark, path, max_files_per_trigger=3).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "captures-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(PK.PACKET_SCHEMA).parquet(out).drop("event_id")
+
+
 def normalized_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded capture rows, one for each event and some without IP, into
     the packet schema."""

@@ -29,7 +29,6 @@ Filter rows *before* this step: the Python stage blocks predicate pushdown.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,12 +36,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.session import scratch_path, ship_package
+from flowlens.session import scratch_path, ship_package, write_scratch
 
 
 PRECOMPUTE_MAX_D = 8          # leaves with ≤ 8 distinct path features get a pattern table,
 PATTERN_BYTES = 64 << 20      # as long as all tables together stay below this; the others' patterns
                               # are computed for each batch, with the same values
+LEAF_GROUP_BYTES = 256 << 20  # a model above this is explained in several passes
 
 
 @dataclass
@@ -177,32 +177,30 @@ def build_margin_table(spark: SparkSession, models: list, n_features: int) -> Le
     return LeafTable(n_features, n_classes, 1, leaves, base)
 
 
-def _weights(d: int) -> np.ndarray:
-    return np.array([math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d)
-                     for s in range(d)])
-
-
 def leaf_phi(o: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Shapley scalars of the product game for each row pattern.
 
-    o: (m, d) 0/1 path indicators, z: (d,) cover ratios. Returns (m, d) with
-    (o_i − z_i) · Σ_s w(s, d) · e_s(i); multiply by the leaf value."""
+    o: (m, d) 0/1 path indicators, z: (d,) cover ratios. Returns (m, d);
+    multiply by the leaf value. The weight of a coalition of s out of d - 1
+    others is the integral of t^s (1 - t)^(d - 1 - s) over [0, 1], so the
+    scalar of i is (o_i - z_i) times the integral of the product over the
+    others of (z_j (1 - t) + o_j t): a polynomial of degree d - 1, integrated
+    exactly by Gauss-Legendre nodes, half as many as features. Products
+    without i come from prefixes and suffixes: O(d^2), no division."""
     m, d = o.shape
-    w = _weights(d)
-    out = np.empty((m, d))
-    for i in range(d):
-        coef = np.zeros((m, d))
-        coef[:, 0] = 1.0
-        deg = 0
-        for j in range(d):
-            if j == i:
-                continue
-            nxt = coef * z[j]
-            nxt[:, 1:deg + 2] += coef[:, 0:deg + 1] * o[:, j:j + 1]
-            coef = nxt
-            deg += 1
-        out[:, i] = (o[:, i] - z[i]) * (coef * w).sum(axis=1)
-    return out
+    if not d:
+        return np.zeros((m, 0))
+    node, weight = np.polynomial.legendre.leggauss((d + 1) // 2)
+    t, weight = (node + 1) / 2, weight / 2
+    factor = z[:, None, None] * (1 - t)[:, None] + o.T[:, None, :] * t[:, None]     # (d, nodes, m)
+    rest = np.ones_like(factor)
+    for i in range(1, d):
+        rest[i] = rest[i - 1] * factor[i - 1]
+    after = np.ones_like(factor[0])
+    for i in range(d - 2, -1, -1):
+        after = after * factor[i + 1]
+        rest[i] *= after
+    return (o - z) * np.einsum("dqm,q->md", rest, weight)
 
 
 def shap_matrix(x: np.ndarray, table: LeafTable) -> np.ndarray:
@@ -238,24 +236,49 @@ def shap_matrix(x: np.ndarray, table: LeafTable) -> np.ndarray:
     return acc.transpose(2, 1, 0) / table.n_trees
 
 
+def leaf_groups(table: LeafTable, group_bytes: int) -> list[LeafTable]:
+    """The leaves in groups of about ``group_bytes`` each."""
+    groups, size = [[]], 0
+    for leaf in table.leaves:
+        mine = 400 + 160 * len(leaf.conds) + 16 * len(leaf.features) + 8 * len(leaf.value) + (0 if leaf.table is None else leaf.table.nbytes)
+        if groups[-1] and size + mine > group_bytes:
+            groups.append([])
+            size = 0
+        groups[-1].append(leaf)
+        size += mine
+    return [LeafTable(table.n_features, table.n_classes, table.n_trees, g, table.base) for g in groups]
+
+
 def shap_values(df: DataFrame, features: list[str], table: LeafTable,
-                keep: list[str], with_values: bool = False) -> DataFrame:
+                keep: list[str], with_values: bool = False, group_bytes: int = LEAF_GROUP_BYTES) -> DataFrame:
     """For each row of ``df``: ``keep`` columns, ``base`` array<double>
     (per class) and ``shap`` array<array<double>> ([class][feature]).
 
     Runs as ``mapInArrow``: feature columns arrive as Arrow buffers, the
     nested result arrays are built from the flat numpy buffer by offsets (no
-    per-value Python objects)."""
-    spark = df.sparkSession
-    ship_package(spark)
-    bc = spark.sparkContext.broadcast(table)
-    src = df.select(*[F.col(f"`{c}`") for c in keep],
-                    *[F.col(f"`{c}`").cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
-    out_schema = T.StructType([src.schema[c] for c in keep] + [
-        T.StructField("base", T.ArrayType(T.DoubleType())),
-        T.StructField("shap", T.ArrayType(T.ArrayType(T.DoubleType())))]
-        + ([T.StructField("values", T.ArrayType(T.DoubleType()))] if with_values else []))
+    per-value Python objects). Impacts add over leaves, so a model of more than
+    ``group_bytes`` is sent in groups, one pass each, which adds its part to the
+    rows that the pass before wrote: a task holds one group, however many trees
+    there are, and rows are never shuffled."""
+    ship_package(df.sparkSession)
     n_feat = len(features)
+    values = [f"_f{i}" for i in range(n_feat)]
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
+    groups = leaf_groups(table, group_bytes)
+    for i, group in enumerate(groups):
+        rows = _add_group(rows, group, [*keep, *values], n_feat, first=not i)
+        if i + 1 < len(groups):
+            rows = write_scratch(rows, "shap-part")
+    out = [*[F.col(f"`{c}`") for c in keep], F.col("base"), F.col("shap")]
+    return rows.select(*out, *([F.array(*values).alias("values")] if with_values else []))
+
+
+def _add_group(src: DataFrame, group: LeafTable, carried: list[str], n_feat: int, first: bool) -> DataFrame:
+    """``src`` with the impacts of a group of leaves added."""
+    bc = src.sparkSession.sparkContext.broadcast(group)      # at most group_bytes, or one leaf
+    schema = T.StructType([src.schema[c] for c in carried] + [
+        T.StructField("base", T.ArrayType(T.DoubleType())),
+        T.StructField("shap", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
     def run(batches):
         import pyarrow as pa
@@ -268,6 +291,8 @@ def shap_values(df: DataFrame, features: list[str], table: LeafTable,
             x = np.column_stack([rb.column(f"_f{i}").to_numpy(zero_copy_only=False)
                                  for i in range(n_feat)]).astype(float)
             phi = shap_matrix(x, tab)                                   # (n, C, F)
+            if not first:
+                phi = phi + rb.column("shap").flatten().flatten().to_numpy(zero_copy_only=False).reshape(phi.shape)
             inner = pa.ListArray.from_arrays(
                 pa.array(np.arange(0, n * n_cls * n_feat + 1, n_feat, dtype=np.int32)),
                 pa.array(phi.reshape(-1)))
@@ -276,15 +301,9 @@ def shap_values(df: DataFrame, features: list[str], table: LeafTable,
             base = pa.ListArray.from_arrays(
                 pa.array(np.arange(0, n * n_cls + 1, n_cls, dtype=np.int32)),
                 pa.array(np.tile(np.asarray(tab.base, dtype=float), n)))
-            cols = [rb.column(c) for c in keep] + [base, outer]
-            names = list(keep) + ["base", "shap"]
-            if with_values:
-                cols.append(pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, n * n_feat + 1, n_feat, dtype=np.int32)), pa.array(x.reshape(-1))))
-                names.append("values")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return src.mapInArrow(run, out_schema)
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in carried), base, outer], names=[*carried, "base", "shap"])
+
+    return src.mapInArrow(run, schema)
 
 
 # -- views over the Shapley table ---------------------------------------------

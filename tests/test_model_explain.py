@@ -247,3 +247,37 @@ def test_boosted_one_vs_rest_and_margin_shapley(spark, trained):
     bst.save(path)
     again = MO.BoostedClassifier.load(spark, path).predict(prep.test).select("prediction").collect()
     assert [r.prediction for r in again] == [r.prediction for r in scored.select("prediction").collect()]
+
+
+def test_leaf_phi_by_definition():
+    """The quadrature against Shapley's sum over coalitions."""
+    from itertools import combinations
+    from math import factorial
+    rng = np.random.default_rng(5)
+    for d in (1, 2, 3, 5, 8):
+        o, z = rng.integers(0, 2, (6, d)).astype(float), rng.random(d)
+        z[0] = 0.0
+        want = np.zeros((6, d))
+        for r in range(6):
+            v = lambda s: np.prod([o[r, j] if j in s else z[j] for j in range(d)])  # noqa: B023, E731
+            for i in range(d):
+                others = [j for j in range(d) if j != i]
+                want[r, i] = sum(factorial(k) * factorial(d - k - 1) / factorial(d) * (v({*s, i}) - v(set(s))) for k in range(d) for s in combinations(others, k))
+        np.testing.assert_allclose(XP.leaf_phi(o, z), want, atol=1e-14)
+    deep = XP.leaf_phi(np.ones((2, 60)), np.full(60, 0.9))  # 2^60 patterns would be needed otherwise
+    np.testing.assert_allclose(deep.sum(axis=1), 1 - 0.9**60, atol=1e-12)
+
+
+def test_leaf_groups_add_up(spark, trained):
+    prep, clf = trained
+    table = XP.build_leaf_table(spark, clf.forest, len(clf.features))
+    rows = prep.test.limit(60)
+    whole = XP.shap_values(rows, clf.features, table, keep=["label"], with_values=True)
+    size = len(table.leaves) * 900 // 4
+    assert 2 < len(XP.leaf_groups(table, size)) < 40
+    parts = XP.shap_values(rows, clf.features, table, keep=["label"], with_values=True, group_bytes=size)
+    assert parts.columns == whole.columns
+    key = lambda r: (r.label, tuple(r["values"]))
+    for a, b in zip(sorted(whole.collect(), key=key), sorted(parts.collect(), key=key), strict=True):
+        assert key(a) == key(b) and a.base == b.base
+        np.testing.assert_allclose(np.array(a.shap), np.array(b.shap), atol=1e-12)

@@ -463,6 +463,17 @@ def _streamed_alerts(spark: SparkSession, sf_dir: str, score, alerts) -> DataFra
     return spark.read.parquet(f"{_stream(spark, sf_dir, score, alerts)}/alerts").drop("epoch")
 
 
+def q_stream_flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1–ST3: flows and host counters as chained stateful operators of one
+    stream, records of every window."""
+    from flowlens.streaming import live as LV
+    land, out = scratch_path(spark, "packets-landing"), scratch_path(spark, "chained-out")
+    LV.land_packets(read_packets(spark, sf_dir), land)
+    LV.land_heartbeat(spark, land, BATCH_WINDOW, STREAM_WATERMARK)
+    LV.run_chained(spark, land, out, BATCH_WINDOW, STREAM_WATERMARK).awaitTermination()
+    return spark.read.parquet(f"{out}/records").drop("epoch")
+
+
 def q_stream_alert_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3/T6/S8 on the stream: the buffer of the newest alerts, compacted in
     every epoch, as a new viewer gets it."""
@@ -553,6 +564,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "fixed_forest_alerts": (q_forest_alerts, OA.forest_alerts_sql()),
     "fixed_forest_dashboard": (q_forest_dashboard, OA.forest_dashboard_sql()),
     "stream_fixed_forest_alerts": (q_stream_forest_alerts, OA.forest_alerts_sql()),
+    "stream_flow_records": (q_stream_flow_records, O.flow_records_sql()),
     "stream_alert_replay": (q_stream_alert_replay, OA.buffer_sql()),
     "stream_sensor_status": (q_stream_sensor_status, OA.sensor_status_sql()),
     "stream_sensor_kpis": (q_stream_sensor_kpis, OA.sensor_kpis_sql()),

@@ -63,6 +63,44 @@ def flow_stream(packets: DataFrame, window: str = "4 seconds", watermark: str =
     return FL.finish_flows(agg)
 
 
+def feature_stream(packets: DataFrame, window: str = "4 seconds", watermark: str = "10 seconds", salts: int = 8) -> DataFrame:
+    """ST1–ST3 as one plan of chained stateful operators: flows, counts by
+    (window, host, service) and by (window, host) as aggregations of the flows
+    that a window's end emits, and flows joined with both on the window. Rows of
+    a window come out together, as nothing is emitted before its end.
+
+    The join's state has a row for each flow, never a list of a host's flows;
+    flows are spread over ``salts`` by their sequence and the counts, one row
+    for each host and service, repeated for each."""
+    k = (FL.packet_indicators(packets.withColumn("ts", S.ntz_to_event_time("ts")))
+           .withWatermark("ts", watermark))
+    agg = k.groupBy(F.window("ts", window).alias("w"), *FL.KEY_NO_WINDOW).agg(*FL.flow_aggregates())
+    agg = agg.withColumn("window_start", F.col("w"))  # finish_flows keeps the column of this name
+    flows = FL.finish_flows(agg).withColumnRenamed("window_start", "w")
+    srv = flows.groupBy("w", "ip_dst", "service").agg(
+        F.count(F.lit(1)).alias("srv_count"), F.count_if(F.col("flag") == "S0").alias("srv_s0"), F.count_if(F.col("flag") == "REJ").alias("srv_rej"))
+    host = srv.groupBy("w", "ip_dst").agg(F.sum("srv_count").alias("count"), F.sum("srv_s0").alias("s0_count"), F.sum("srv_rej").alias("rej_count"))
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    salted = flows.withColumn("salt", F.pmod("flow_seq", F.lit(salts).cast("long")))
+    out = salted.join(spread(srv.select("w", "ip_dst", "service", "srv_count")), ["w", "ip_dst", "service", "salt"])
+    out = out.join(spread(host), ["w", "ip_dst", "salt"]).drop("salt")
+    return (out.withColumn("window_start", S.event_time_to_ntz(F.col("w.start"))).withColumn("start_time", S.event_time_to_ntz("start_time"))
+            .withColumn("end_time", S.event_time_to_ntz("end_time")).drop("w"))
+
+
+def run_chained(spark: SparkSession, packets_path: str, out_dir: str, window: str = "4 seconds", watermark: str = "10 seconds",
+                checkpoint: str | None = None, available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Start the live path with its counters in the stream's own plan: the
+    41-attribute records of each epoch, in its own folder."""
+    def save(batch: DataFrame, epoch: int) -> None:
+        rows = FL.assemble_records(batch.where(F.col("protocol_type") != HEARTBEAT))
+        rows.write.mode("overwrite").parquet(f"{out_dir}/records/epoch={epoch}")
+
+    w = (feature_stream(packet_stream(spark, packets_path, max_files_per_trigger), window, watermark).writeStream.outputMode("append")
+         .option("checkpointLocation", checkpoint or scratch_path(spark, "chained-ckpt")).foreachBatch(save))
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=window)).start()
+
+
 def records_from_flows(flows: DataFrame) -> DataFrame:
     """ST3 on a set of complete windows: A2 counters and P11–P15 assembly."""
     return FL.assemble_records(FL.host_features(flows))

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from flowlens.functions import scalar as S
 from flowlens.operators import metrics as ME
 from flowlens.operators import model as MO
 from flowlens.plans import prepare as PP
@@ -32,16 +34,17 @@ def run_training(spark: SparkSession, records: DataFrame, out_dir: str, key=None
     train_sec = time.perf_counter() - t0
 
     t0 = time.perf_counter()
-    scored = write_scratch(clf.predict(test), "scored")
+    seen = Observation("scored")  # counted by the pass that scores and writes
+    scored = write_scratch(clf.predict(test).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(S.is_threat("prediction")).alias("threats")), "scored")
     infer_sec = time.perf_counter() - t0
-    n_test = scored.count()
+    n_test = seen.get["n"]
 
     clf.save(f"{out_dir}/model")
     MO.save_transformer(spark, prep.transformer, prep.selected, f"{out_dir}/model")
     conf = ME.confusion_long(scored)
     extra = {"train_sec": round(train_sec, 4),
              "infer_ms_per_row": round(1000.0 * infer_sec / max(1, n_test), 6),
-             "unknown_dropped": clf.n_unknown_dropped}
+             "unknown_dropped": clf.n_unknown_dropped, "scored_rows": n_test, "scored_threats": seen.get["threats"]}
     ME.write_report(spark, ME.class_report(conf), ME.summary(conf), f"{out_dir}/report", extra)
     summary = ME.summary(conf).first().asDict()
     summary.update(extra)

@@ -177,6 +177,30 @@ def build_margin_table(spark: SparkSession, models: list, n_features: int) -> Le
     return LeafTable(n_features, n_classes, 1, leaves, base)
 
 
+def build_softmax_table(model) -> LeafTable:
+    """A softmax booster (``boosting.SoftmaxModel``): class c's output is its
+    margin, the start plus the values of its trees; cover = training rows. Rows
+    without a value go right, as the model has them."""
+    n_classes = len(model.labels)
+    leaves, base = [], np.array(model.start, dtype=float)
+    for trees in model.rounds:
+        for c, tree in enumerate(trees):
+            nodes = {}
+            for i, (f, b, left, right) in enumerate(zip(*(a.tolist() for a in tree.arrays), strict=True)):
+                split = {"featureIndex": f, "numCategories": -1, "leftCategoriesOrThreshold": [model.cuts[f][b]]} if f >= 0 else None
+                nodes[i] = {"leftChild": left, "rightChild": right, "split": split, "impurityStats": [tree.cover[i]], "value": tree.value[i]}
+
+            def value(nd, _c=c):
+                v = np.zeros(n_classes)
+                v[_c] = nd["value"]
+                return v
+            lv, b = _tree_leaves(nodes, value, lambda st: float(st[0]), n_classes)
+            leaves += lv
+            base += b
+    _add_patterns(leaves)
+    return LeafTable(len(model.features), n_classes, 1, leaves, base)
+
+
 def leaf_phi(o: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Shapley scalars of the product game for each row pattern.
 

@@ -222,6 +222,20 @@ def q_boosted_first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BO.node_table(spark, model)
 
 
+def q_boosted_shapley_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1/X2 of the softmax booster, whose margins the source explains: test
+    rows per class, and how many have base plus impacts equal to the margin of
+    every class (ten rounds)."""
+    prep = _prepared(spark, sf_dir)
+    model = BO.train_softmax(prep.train, prep.selected, params=BO.BoostingParams(rounds=10))
+    scored = write_scratch(model.predict(prep.test), "boosted-scored")
+    sv = XP.shap_values(scored, model.features, XP.build_softmax_table(model), keep=[K.LABEL_COLUMN, "margins"])
+    gap = F.transform(F.arrays_zip("base", "shap", "margins"), lambda e: F.abs(
+        F.aggregate(e["shap"], e["base"], lambda a, x: a + x) - e["margins"]))
+    return sv.groupBy(K.LABEL_COLUMN).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.array_max(gap) < 1e-9).alias("n_holds"))
+
+
 def q_forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-9 features by the trained forest's importance."""
     prep, clf = _trained(spark, sf_dir)
@@ -531,6 +545,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "model_summary": (q_model_summary, None),
     "boosted_summary": (q_boosted_summary, None),
     "boosted_first_round": (q_boosted_first_round, OB.first_round_sql()),
+    "boosted_shapley_check": (q_boosted_shapley_check, OX.rows_per_class_sql()),
     "forest_importance": (q_forest_importance, None),
     "training_run": (q_training_run, None),
     "binary_detector": (q_binary_detector, None),

@@ -10,13 +10,10 @@ For items shorter than ``span`` every n-gram of their length is a fingerprint.
 Plan: one scan of the documents makes their fingerprints. A bitmap of fixed
 size (``FILTER_BITS``) over the benchmark's fingerprints goes to the tasks;
 documents without a set bit need nothing more, the others keep their text and
-their possible hits. Those are joined with the benchmark on the fingerprint, a
-row for each different one of a text and of an item, however often it recurs; the
-places in the text go along. Each fingerprint is then extended to the windows
-around it, comparing the words themselves, so a pair costs its places and the
-item's words, not their product. A text is shuffled once, whatever the number of
-items that it holds. Document ids never meet in one task; no fingerprint of a
-document reaches the driver.
+their possible hits. Those are joined with the benchmark on the fingerprint,
+and each (document, item, diagonal) is extended over all words of the item,
+comparing the words themselves. Document ids never meet in one task; no
+fingerprint of a document reaches the driver.
 
 Edge cases: null or empty texts have no words and no hits; items without id
 or words are no items; rows of the benchmark that repeat count once (an item
@@ -116,22 +113,19 @@ def _filter_bits(bench_fps: DataFrame) -> np.ndarray:
     return out
 
 
-def hit_spans(doc: list[str], item: list[str], places: list[int], span: int, gram: int) -> list[tuple[int, int]]:
-    """Runs of document words inside windows of the item, [start, end): a window
-    around a fingerprint at each of ``places`` is a hit if the item has its words."""
+def hit_spans(doc: list[str], item: list[str], diagonal: int, span: int) -> list[tuple[int, int]]:
+    """Runs of document words inside windows of the item along a diagonal
+    (document place less item place): [start, end)."""
     need = min(span, len(item))
-    back = span - gram if len(item) >= span else 0  # an item of one window is its own fingerprint
-    windows = {tuple(item[i : i + need]) for i in range(len(item) - need + 1)}
-    out: list[tuple[int, int]] = []
-    tried = -1
-    for d in sorted(places):
-        for p in range(max(tried + 1, d - back, 0), min(d, len(doc) - need) + 1):
-            tried = p
-            if tuple(doc[p : p + need]) in windows:
-                if out and p <= out[-1][1]:
-                    out[-1] = (out[-1][0], p + need)
-                else:
-                    out.append((p, p + need))
+    out, run = [], 0
+    for i in range(len(item) + 1):
+        d = i + diagonal
+        if i < len(item) and 0 <= d < len(doc) and doc[d] == item[i]:
+            run += 1
+        else:
+            if run >= need:
+                out.append((d - run, d))
+            run = 0
     return out
 
 
@@ -189,29 +183,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: i
     schema = ", ".join([f"{n} {t}" for n, t in picked.dtypes[:-1]] + ["n_words long", "text string", "fps array<long>", "pos array<int>"])
     scanned = write_scratch(C.with_row_id(C.map_batches(picked, doc_rows, schema)), "decontam-docs")
 
-    # a fingerprint that a text or an item repeats is one row of the join, with its places in the text
-    held = bench_fps.select("fp", "entry").distinct()
     seeds = (scanned.where("size(fps) > 0").select("row_id", F.explode(F.arrays_zip("fps", "pos")).alias("s"))
-             .groupBy("row_id", F.col("s.fps").alias("fp")).agg(F.collect_list("s.pos").alias("at")))
-    pairs = seeds.join(held, "fp").groupBy("row_id", "entry").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
-    # each text comes once, before the items that it may hold
-    empty = lambda t: F.lit(None).cast(t)
-    first = scanned.where("size(fps) > 0").select("row_id", "text", empty("string").alias("item"), empty("array<string>").alias("words"), empty("array<int>").alias("at"))
-    then = pairs.join(items, "entry").select("row_id", empty("string").alias("text"), "item", "words", "at")
-    tasks = first.unionByName(then).repartition("row_id").sortWithinPartitions("row_id", F.col("item").asc_nulls_first())
+             .select("row_id", F.col("s.fps").alias("fp"), F.col("s.pos").alias("dpos")))
+    pairs = (seeds.join(bench_fps, "fp").select("row_id", "entry", (F.col("dpos") - F.col("ipos")).alias("diagonal"))
+             .groupBy("row_id", "entry").agg(F.collect_set("diagonal").alias("diagonals")))  # at most a text's places
+    tasks = (pairs.join(items, "entry").join(scanned.select("row_id", "text"), "row_id")
+             .select("row_id", "item", "words", "diagonals", "text"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc: list[str] | None = None
-        text = ""
+        last: tuple = (None, [])
         for b in batches:
             out: dict[str, list] = {"row_id": [], "item": [], "a": [], "b": []}
-            for i in range(b.num_rows):
-                row, new, item, words, at = (c[i].as_py() for c in b.columns)
-                if item is None:
-                    doc, text = None, new
-                    continue
-                doc = words_of(text) if doc is None else doc
-                for s, e in hit_spans(doc, words, at, span, gram):
+            for row, item, words, diagonals, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if last[0] != row:
+                    last = (row, words_of(text))
+                for s, e in sorted({x for d in diagonals for x in hit_spans(last[1], words, d, span)}):
                     for k, v in zip(out, (row, item, s, e), strict=True):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["row_id"], pa.int64()), pa.array(out["item"], pa.string()),

@@ -164,13 +164,22 @@ def binary_label(label_col: str = K.LABEL_COLUMN):
 def train_binary(train_encoded: DataFrame, features: list[str], label_col: str = K.LABEL_COLUMN,
                  kind: str = "logistic", max_iter: int = 50):
     """Binary normal/anomaly detector (logistic regression or linear SVM)
-    over the encoded features, class-weighted like the multi-class model."""
-    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    over the encoded features, class-weighted like the multi-class model.
+
+    A fitted model holds its training summary, and with it the session, which
+    can't be sent to tasks once the session has observed a query or run a
+    stream; so the model returned is one saved and loaded, without a summary."""
+    from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression,
+                                           LogisticRegressionModel)
+    from flowlens.session import drop_scratch, scratch_path
     rows = with_class_weight(train_encoded.withColumn("_y", binary_label(label_col)), "_y", "weight")
     assembler = VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="keep")
     est = (LogisticRegression(maxIter=max_iter) if kind == "logistic" else LinearSVC(maxIter=max_iter))
     est = est.setFeaturesCol(FEATURES).setLabelCol("_y").setWeightCol("weight")
-    model = est.fit(assembler.transform(rows))
+    path = scratch_path(rows.sparkSession, "detector")
+    est.fit(assembler.transform(rows)).write().save(path)
+    model = (LogisticRegressionModel if kind == "logistic" else LinearSVCModel).load(path)
+    drop_scratch(rows.sparkSession, path)
     return PipelineModel(stages=[assembler, model])
 
 

@@ -187,6 +187,18 @@ def test_binary_detector(spark, trained):
     assert {r.prediction for r in out} <= {0.0, 1.0}
 
 
+@pytest.mark.parametrize("kind", ["logistic", "svm"])
+def test_binary_detector_after_an_observed_query(spark, kind):
+    from pyspark.sql import Observation
+    rows = spark.createDataFrame([("normal" if i % 3 == 0 else "dos", float(i % 3), float(i % 5)) for i in range(120)],
+                                 "label string, a double, b double")
+    seen = Observation("seen")
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 120
+    m = MO.train_binary(rows, ["a", "b"], kind=kind, max_iter=3)
+    assert m.transform(rows).select("prediction").distinct().count() <= 2
+
+
 def test_training_run_and_request_scoring(spark):
     from flowlens.plans import alerting as AP
     from flowlens.plans import registry as R

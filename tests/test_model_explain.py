@@ -199,6 +199,19 @@ def test_binary_detector_after_an_observed_query(spark, kind):
     assert m.transform(rows).select("prediction").distinct().count() <= 2
 
 
+def test_training_rows_are_split_by_their_number(spark, monkeypatch):
+    rows = spark.range(0, 400, 1, 1).select(
+        F.when(F.col("id") % 3 == 0, "normal").otherwise("dos").alias("label"),
+        (F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    fitted, fit = [], MO.RandomForestClassifier.fit
+    monkeypatch.setattr(MO.RandomForestClassifier, "fit", lambda self, df: fitted.append(df) or fit(self, df))
+    clf = MO.train_classifier(rows, ["a", "b"], params=MO.TrainParams(num_trees=2, rows_per_task=20))
+    assert fitted[0].rdd.getNumPartitions() == 20 and fitted[0].count() == 400
+    assert clf.predict(rows).filter("prediction = label").count() == 400
+    MO.train_classifier(rows, ["a", "b"], params=MO.TrainParams(num_trees=2))
+    assert fitted[1].rdd.getNumPartitions() == 1
+
+
 def test_training_run_and_request_scoring(spark):
     from flowlens.plans import alerting as AP
     from flowlens.plans import registry as R

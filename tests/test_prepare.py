@@ -189,3 +189,38 @@ def test_frequency_cuts_against_numpy(spark):
         srt, n = np.sort(v), len(v)
         assert got[col] == sorted({float(srt[min(n - 1, (j * n) // 8)]) for j in range(1, 8)})
     assert got["b"] == [0.0, 1.0, 2.0]
+
+
+def test_interval_counts_match_numpy(spark):
+    import numpy as np
+    from flowlens.operators import quantiles as Q
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=3000), 2)
+    y = rng.integers(0, 9, 3000).astype(float)
+    rows = [(float(a), None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "x double, y double").repartition(3)
+    spans = [(0, 0.5, 1.25), (0, -np.inf, -0.75), (1, 2.0, np.inf), (0, -0.75, 0.5)]
+    groups = [[Q._Target(c, 0, 1, lo=lo, hi=hi)] for c, lo, hi in spans]
+    bounds = {0: [0.6, 1.0], 1: [-0.8], 2: [3.0, 4.0, 8.0], 3: [-0.0, 0.25]}
+    kept = [np.array([v for v in col if v is not None and v == v]) for col in zip(*rows)]
+    want, cells = {}, {}
+    for g, (c, lo, hi) in enumerate(spans):
+        for v in kept[c][(kept[c] > lo) & (kept[c] < hi)].tolist():
+            seg = sum(b < v for b in bounds[g]) + sum(b <= v for b in bounds[g])
+            want[g, seg] = want.get((g, seg), 0) + 1
+            cells[g] = cells.get(g, 0) + 1
+    got = {}
+    for r in Q._segments(df, ["x", "y"], groups, bounds).collect():
+        got[r.g, r.seg] = got.get((r.g, r.seg), 0) + r.n
+    assert got == want
+    assert {r.g: r["count"] for r in Q._cells(df, ["x", "y"], groups).groupBy("g").count().collect()} == cells
+
+
+def test_scores_need_no_encoded_table(spark, monkeypatch):
+    from flowlens.plans import prepare as PP
+    written, write = [], PP.write_scratch
+    monkeypatch.setattr(PP, "write_scratch", lambda df, name: written.append(name) or write(df, name))
+    prep = PP.prepare_records(spark, SF_SMALL)
+    assert len(prep.selected) > 0 and "encoded" not in written
+    assert prep.train.count() + prep.test.count() == prep.split.count()
+    assert written.count("encoded") == 1

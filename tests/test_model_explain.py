@@ -187,7 +187,7 @@ def test_binary_detector(spark, trained):
     assert {r.prediction for r in out} <= {0.0, 1.0}
 
 
-@pytest.mark.parametrize("kind", ["logistic", "svm"])
+@pytest.mark.parametrize("kind", ["logistic", "svm", "forest"])
 def test_binary_detector_after_an_observed_query(spark, kind):
     from pyspark.sql import Observation
     rows = spark.createDataFrame([("normal" if i % 3 == 0 else "dos", float(i % 3), float(i % 5)) for i in range(120)],
@@ -195,8 +195,11 @@ def test_binary_detector_after_an_observed_query(spark, kind):
     seen = Observation("seen")
     rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
     assert seen.get["n"] == 120
-    m = MO.train_binary(rows, ["a", "b"], kind=kind, max_iter=3)
-    assert m.transform(rows).select("prediction").distinct().count() <= 2
+    if kind == "forest":
+        scored = MO.train_classifier(rows, ["a", "b"], params=MO.TrainParams(num_trees=2)).predict(rows)
+    else:
+        scored = MO.train_binary(rows, ["a", "b"], kind=kind, max_iter=3).transform(rows)
+    assert scored.select("prediction").distinct().count() <= 2
 
 
 def test_training_rows_are_split_by_their_number(spark, monkeypatch):

@@ -461,16 +461,24 @@ def q_stream_forest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str, score, alerts, window: str = BATCH_WINDOW, per_trigger: int | None = None, buffer=None) -> str:
     """The folder that the live path fills from the landed packets, all at once
-    or a few files at a time."""
+    or a few time ranges at a time. A range is landed by many tasks, so the
+    stream runs between landings, from its checkpoint, on whole ranges."""
     from flowlens.streaming import live as LV
-    land = scratch_path(spark, "packets-landing")
+    land, out, ckpt = (scratch_path(spark, x) for x in ("packets-landing", "live-out", "live-ckpt"))
+
+    def run() -> None:
+        LV.run_live(spark, land, out, score, window=window, watermark=STREAM_WATERMARK, alerts=alerts, buffer=buffer, checkpoint=ckpt).awaitTermination()
+
     if per_trigger is None:
         LV.land_packets(read_packets(spark, sf_dir), land)
     else:
-        LV.land_in_order(read_packets(spark, sf_dir).coalesce(1), land)
+        ranges = LV.time_ranges(write_scratch(read_packets(spark, sf_dir), "packets"))  # read once for each range
+        for i, part in enumerate(ranges):
+            if i and i % per_trigger == 0:
+                run()
+            LV.land_range(part, land)
     LV.land_heartbeat(spark, land, window, STREAM_WATERMARK)
-    out = scratch_path(spark, "live-out")
-    LV.run_live(spark, land, out, score, window=window, watermark=STREAM_WATERMARK, alerts=alerts, max_files_per_trigger=per_trigger, buffer=buffer).awaitTermination()
+    run()
     return out
 
 

@@ -212,22 +212,36 @@ def land_packets(packets: DataFrame, path: str, files: int = 8) -> None:
             .write.mode("append").parquet(path))
 
 
-def land_in_order(packets: DataFrame, path: str, parts: int = 8) -> None:
-    """Land consecutive time ranges one after another, as a capture does: a
-    stream that takes few files at a time sees them in order. Packets without a
+def time_ranges(packets: DataFrame, parts: int = 8) -> list[DataFrame]:
+    """Consecutive time ranges of about as many packets each. Packets without a
     time are in the first."""
     at = F.unix_micros(S.ntz_to_event_time("ts"))
     shares = [i / parts for i in range(1, parts)]
     cuts = packets.agg(F.percentile_approx(at, shares, 1000)).first()[0] if shares else []
     edges = [None, *sorted(set(cuts or [])), None]
+    out = []
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         inside = F.lit(True)
         if high is not None:
             inside = at < high
         if low is not None:
             inside = inside & (at >= low)
-        part = packets.where(F.coalesce(inside, F.lit(low is None)))
-        part.sortWithinPartitions("ts", "event_id").write.mode("append").parquet(path)
+        out.append(packets.where(F.coalesce(inside, F.lit(low is None))))
+    return out
+
+
+def land_range(part: DataFrame, path: str) -> None:
+    """Land a time range, a file for each task."""
+    part.sortWithinPartitions("ts", "event_id").write.mode("append").parquet(path)
+
+
+def land_in_order(packets: DataFrame, path: str, parts: int = 8) -> None:
+    """Land consecutive time ranges one after another, as a capture does. The
+    files of a range are in no order: a stream that takes few files at a time
+    sees packets in order only if ``packets`` is one partition (``time_ranges``
+    and ``land_range`` between runs of the stream need no such thing)."""
+    for part in time_ranges(packets, parts):
+        land_range(part, path)
 
 
 def land_heartbeat(spark: SparkSession, path: str, window: str, watermark: str) -> None:

@@ -5,7 +5,8 @@
   event-time timer turns a sensor from ONLINE to AWAY when the watermark
   passes its last alert by ``ONLINE_SECONDS``. As a sensor has one state,
   sensors are counted exactly. The state is a few numbers for each sensor, so
-  a sensor with a third of all alerts holds no more than another.
+  a sensor with a third of all alerts holds no more than another; its alerts
+  are added up by Arrow batch, not one by one.
 * ``run_node_watch`` writes the changes, a folder for each epoch, replaced when
   an epoch is replayed; ``current_nodes`` is the last change of each sensor,
   ``node_status_table`` and ``node_kpis`` the dashboard's views of it.
@@ -20,8 +21,9 @@ Watermarks have milliseconds, so a sensor turns AWAY up to a millisecond late.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,6 +33,9 @@ from flowlens.operators import alerts as AL
 from flowlens.session import drop_scratch, scratch_path
 from flowlens.sources.requests import ALERT_SCHEMA
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 UPDATE = "node_ip string, version long, last_seen_us long, total_alerts long, threats long, status string"
 
@@ -43,15 +48,18 @@ def node_watch(seconds: int) -> StatefulProcessor:
             self.handle = handle
             self.node = handle.getValueState("node", "version long, last_us long, alerts long, threats long")
 
-        def _row(self, ip: str, state: tuple, status: str) -> Row:
+        def _row(self, ip: str, state: tuple, status: str) -> pd.DataFrame:
+            import pandas as pd
             version, last, alerts, threats = state
-            return Row(node_ip=ip, version=version, last_seen_us=last, total_alerts=alerts, threats=threats, status=status)
+            return pd.DataFrame({"node_ip": [ip], "version": [version], "last_seen_us": [last], "total_alerts": [alerts], "threats": [threats], "status": [status]})
 
-        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             version, last, alerts, threats = tuple(self.node.get()) if self.node.exists() else (0, None, 0, 0)
-            for r in rows:
-                last = r["last_us"] if last is None else max(last, r["last_us"])
-                alerts, threats = alerts + r["n"], threats + r["n_threats"]
+            for part in rows:
+                if len(part):
+                    newest = int(part["last_us"].max())
+                    last = newest if last is None else max(last, newest)
+                    alerts, threats = alerts + int(part["n"].sum()), threats + int(part["n_threats"].sum())
             state = (version + 1, last, alerts, threats)
             self.node.update(state)
             for t in list(self.handle.listTimers()):
@@ -59,7 +67,7 @@ def node_watch(seconds: int) -> StatefulProcessor:
             self.handle.registerTimer(-(-last // 1000) + 1000 * seconds)
             yield self._row(key[0], state, "ONLINE")
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             version, *rest = tuple(self.node.get())
             state = (version + 1, *rest)
             self.node.update(state)
@@ -75,7 +83,7 @@ def node_updates(alerts: DataFrame, watermark: str = "0 seconds") -> DataFrame:
             .select("node_ip", S.ntz_to_event_time("ts").alias("at"), S.is_threat("prediction").cast("long").alias("threat"))
             .withWatermark("at", watermark))
     rows = rows.select("node_ip", "at", F.unix_micros("at").alias("last_us"), F.lit(1).cast("long").alias("n"), F.coalesce("threat", F.lit(0).cast("long")).alias("n_threats"))
-    return rows.groupBy("node_ip").transformWithState(statefulProcessor=node_watch(K.ONLINE_SECONDS), outputStructType=UPDATE, outputMode="Update", timeMode="EventTime")
+    return rows.groupBy("node_ip").transformWithStateInPandas(statefulProcessor=node_watch(K.ONLINE_SECONDS), outputStructType=UPDATE, outputMode="Update", timeMode="EventTime")
 
 
 def run_node_watch(spark: SparkSession, alerts_path: str, out_dir: str, watermark: str = "0 seconds", checkpoint: str | None = None,

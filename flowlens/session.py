@@ -92,16 +92,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df):
-    """Round-robin a freshly read table over the default parallelism when it
-    is stored in fewer files than that (a small table in one file and row
-    group is otherwise read by one task). Decided from the file listing only;
-    a large table has more files than cores and passes through untouched, so
-    this adds no shuffle at scale."""
+def spread(df, task_bytes: int = 16 << 20):
+    """Round-robin a freshly read table when it is stored in fewer files than
+    the default parallelism (a table in one file and row group is otherwise
+    read by one task): over as many tasks as that, and over more where one
+    would get above ``task_bytes`` of the files, so that a large table in few
+    files makes more tasks, not larger ones. Decided from the file listing
+    only; a table of more files than cores passes through untouched."""
     sc = df.sparkSession.sparkContext
     want = sc.defaultParallelism
-    if len(df.inputFiles()) < want:
-        return df.repartition(want)
+    files = df.inputFiles()
+    if len(files) < want:
+        jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+        paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]  # listed URL-encoded
+        stored = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+        return df.repartition(max(want, -(-stored // task_bytes)))
     return df
 
 

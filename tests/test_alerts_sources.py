@@ -148,3 +148,16 @@ def test_training_from_headerless_csv(spark):
     n_all = recs.count()
     assert summ["support"] == n_test and abs(n_test - 0.2 * n_all) <= 6
     assert 0.0 <= summ["accuracy"] <= 1.0
+
+
+def test_large_tables_in_few_files_are_read_by_more_tasks(spark):
+    from flowlens.session import spread
+    path = scratch_path(spark, "one file")
+    spark.range(20_000).withColumn("x", F.rand(1)).coalesce(1).write.parquet(path)
+    table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    assert spread(table).rdd.getNumPartitions() == cores
+    more = spread(table, task_bytes=10_000)
+    assert more.rdd.getNumPartitions() > 2 * cores and more.agg(F.sum("id")).first()[0] == 199_990_000
+    table.repartition(cores + 1).write.parquet(f"{path}-many")
+    many = spark.read.parquet(f"{path}-many")
+    assert spread(many, task_bytes=1) is many

@@ -309,3 +309,38 @@ def test_leaf_groups_add_up(spark, trained):
     for a, b in zip(sorted(whole.collect(), key=key), sorted(parts.collect(), key=key), strict=True):
         assert key(a) == key(b) and a.base == b.base
         np.testing.assert_allclose(np.array(a.shap), np.array(b.shap), atol=1e-12)
+
+
+def test_path_tests_hold_for_every_value():
+    import numpy as np
+    from flowlens.operators import explain as XP
+    rng = np.random.default_rng(3)
+    conds = [(0, "cont", 0.5, True), (1, "cont", -1.0, False), (0, "cont", -0.25, False), (0, "cont", 0.25, True),
+             (2, "cat", frozenset({1.0, 2.0}), False), (1, "cont", 0.0, False)]
+    z = np.array([0.3, 0.6, 0.8])
+    leaves = [XP.Leaf(np.array([2, 0, 1]), z, conds, np.array([0.25, 0.75])),
+              XP.Leaf(np.array([0]), z[:1], [(0, "cont", 0.0, True), (0, "cont", 0.0, False)], np.array([1.0, 0.0]))]
+    XP._add_patterns(leaves)
+    table = XP.LeafTable(3, 2, 1, leaves, np.zeros(2))
+    x = np.column_stack([rng.choice([-1.0, -0.5, 0.0, 0.25, 1.0, np.nan], 500), rng.choice([0.0, 1.0, 2.0, 3.0], 500),
+                         rng.choice([-0.25, -0.2, 0.25, 0.3, 0.5, np.inf, -np.inf, np.nan], 500)])
+    want = np.zeros((500, 2, 3))
+    for leaf in leaves:
+        o = np.ones((500, len(leaf.features)))
+        for slot, kind, thr, left in leaf.conds:
+            v = x[:, leaf.features[slot]]
+            o[:, slot] *= ((v <= thr) if kind == "cont" else np.isin(v, list(thr))) == left
+        for k, phi in enumerate(XP.leaf_phi(o, leaf.z).T):
+            want[:, :, leaf.features[k]] += phi[:, None] * leaf.value
+    np.testing.assert_allclose(XP.shap_matrix(x, table), want, atol=1e-12)
+    cuts, tests = XP.path_tests(table)
+    assert tests[0][1] == (2, 0) and tests[1][0][1] < 0 and cuts[2].tolist() == [-0.25, 0.25, 0.5]
+
+
+def test_checks_of_the_forest_write_no_encoded_table(spark, monkeypatch):
+    from flowlens.plans import prepare as PP, registry, stored
+    written, write = [], PP.write_scratch
+    monkeypatch.setattr(PP, "write_scratch", lambda df, name: written.append(name) or write(df, name))
+    for query in (registry.q_probability_check, stored.saved_model_check):
+        assert all(r.n == r.n_holds for r in query(spark, SF_SMALL).collect())
+    assert "split" in written and "encoded" not in written

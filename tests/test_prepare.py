@@ -224,3 +224,15 @@ def test_scores_need_no_encoded_table(spark, monkeypatch):
     assert len(prep.selected) > 0 and "encoded" not in written
     assert prep.train.count() + prep.test.count() == prep.split.count()
     assert written.count("encoded") == 1
+
+
+def test_contingency_counts_rows_where_they_are(spark):
+    from flowlens.operators import select as SE
+    rows = [(1.0, 0.1, "a", "x"), (None, float("nan"), "b", "x"), (float("nan"), 0.99, None, "y"), (2.0, 1.5, "c", None), (2.5, -0.2, "a", "y")]
+    df = spark.createDataFrame(rows, "p double, q double, n string, label string").repartition(2)
+    cont = SE.contingency(df, ["p", "q", "n_a", "n_b"], "label", bins=4, onehot={"n_a": ("n", "a"), "n_b": ("n", "b")}, cuts={"p": [1.0, 2.5]})
+    got = sorted((r.pos, r.bin, r.label or "", r.n_xy) for r in cont.collect())
+    assert got == sorted([(0, 1, "x", 1), (0, 0, "x", 1), (0, 2, "y", 2), (0, 1, "", 1), (1, 0, "x", 2), (1, 3, "y", 1), (1, 3, "", 1), (1, 0, "y", 1),
+                          (2, 3, "x", 1), (2, 3, "y", 1), (2, 0, "x", 1), (2, 0, "y", 1), (3, 3, "x", 1), (3, 0, "x", 1), (3, 0, "y", 2), (2, 0, "", 1), (3, 0, "", 1)])
+    plain = SE.contingency(df, ["p", "q"], "label", bins=4, cuts={"p": [1.0, 2.5]})
+    assert "Generate" not in plain._jdf.queryExecution().executedPlan().toString()

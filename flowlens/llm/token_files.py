@@ -40,40 +40,79 @@ from .pieces import PieceCache
 
 #: Marks that often follow a word.
 ENDS = ".,!?;:"
+#: Bytes of pieces that are encoded at once.
+JOINED_BYTES = 1 << 14
 MANIFEST = "part int, name string, n_docs long, n_null long, n_tokens long, width int"
 
 
 class Encoder:
     """Token ids of texts as bytes, by the tokenizers library; the ids of
-    recurring pieces come from a cache."""
+    recurring pieces come from a cache. Others are given to the library joined,
+    up to ``JOINED_BYTES`` at once, and their ids are told apart by the bytes
+    that each id stands for."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        top = max(self.tok.get_vocab(with_added_tokens=True).values())
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        top = max(vocab.values())
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        added = self.tok.get_added_tokens_decoder()
+        #: Bytes of text of each id: an entry of the vocabulary has a character for each byte.
+        self.n_bytes = np.zeros(top + 1, np.int64)
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(added[i].content.encode()) if i in added else len(token)
         self.pieces = PieceCache(self.encode_pieces)
         self.marks = dict(zip(ENDS, self.encode_texts(list(ENDS)), strict=True))
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """A mark after letters is a token run of its own, so a word followed
         by one is encoded as the word and the mark, each looked up first."""
-        held, todo = self.pieces.held, {}
-        cuts = []
+        held, marks = self.pieces.held, self.marks
+        ids: dict[str, bytes] = {}
+        todo: dict[str, None] = {}
+        marked = []
         for p in pieces:
-            mark = p[-1:]
-            if mark in ENDS and mark and p[:-1].removeprefix(" ").isalpha():
+            if p[-1:] in marks and p[:-1].removeprefix(" ").isalpha():
                 word = p[:-1]
+                marked.append((p, word))
                 known = held.get(word[1:]) if word[0] == " " else None
-                cuts.append((word, known, mark))
                 if known is None:
                     todo[word] = None
+                else:
+                    ids[word] = known
             else:
-                cuts.append((p, None, ""))
                 todo[p] = None
-        ids = dict(zip(todo, self.encode_texts(list(todo)), strict=True)) if todo else {}
-        return [(ids[p] if known is None else known) + (self.marks[mark] if mark else b"") for p, known, mark in cuts]
+        words = [p for p in todo if p[:1] == " " and not p[-1].isspace()]
+        ids.update(zip(words, self.encode_joined(words), strict=True))
+        rest = [p for p in todo if p not in ids]
+        ids.update(zip(rest, self.encode_texts(rest), strict=True))
+        for p, word in marked:
+            ids[p] = ids[word] + marks[p[-1]]
+        return [ids[p] for p in pieces]
+
+    def encode_joined(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces that begin with a space and don't end in white space.
+        Joined, they are cut there again, so they have the ids of the single
+        ones; if the ids' bytes don't end where the pieces do (an added token
+        that spans two, say), the pieces go one by one."""
+        out: list[bytes] = []
+        size = self.dtype.itemsize
+        data = np.frombuffer("".join(words).encode(), np.uint8)
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        offs = chars[np.cumsum([0, *map(len, words)])]  # in bytes
+        for i, j in C.chunks(offs, JOINED_BYTES):
+            coded = self.encode_texts(["".join(words[i:j])])[0]
+            ends = np.cumsum(self.n_bytes[np.frombuffer(coded, self.dtype)])
+            want = offs[i + 1 : j + 1] - offs[i]
+            at = np.searchsorted(ends, want)
+            if len(ends) and ends[-1] == want[-1] and (ends[at] == want).all():
+                cuts = [0, *((at + 1) * size).tolist()]
+                out += [coded[a:b] for a, b in zip(cuts, cuts[1:])]
+            else:
+                out += self.encode_texts(words[i:j])
+        return out
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.dtype.itemsize == 2 else "I"

@@ -487,3 +487,22 @@ def test_near_duplicates_of_reused_ids(spark):
     assert len(pair) == 1 and kept.pop(pair[0]) == 1
     assert kept.pop((2, ""), 0) + kept.pop((2, None), 0) == 1
     assert kept == {(1, a): 1, (5, b): 1, (7, d): 1, (2, "tiny"): 1, (None, a): 2}
+
+
+def test_new_pieces_are_encoded_joined(monkeypatch):
+    """Few texts reach the library, with the ids that it gives piece by piece;
+    pieces whose joined ids don't end where they do go one by one."""
+    enc = TF.Encoder(PATH)
+    single = lambda p: np.array(enc.tok.encode(p, add_special_tokens=False).ids, enc.dtype).tobytes()
+    rng, given, plain = random.Random(5), [], enc.encode_texts
+    monkeypatch.setattr(enc, "encode_texts", lambda texts: given.extend(texts) or plain(texts))
+    letters = "abcdefgé日本😀'’-_\n\t<|endoftext|>0.,"
+    pieces = list(dict.fromkeys(" " + "".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(5000)))
+    pieces += [" <|endoftext|>", " x<|endoftext|>y", "  two", " ", "", "first", " end\n"]
+    assert enc.encode_pieces(pieces) == [single(p) for p in pieces]
+    assert len(given) < 0.2 * len(pieces)
+    given.clear()
+    enc.n_bytes = enc.n_bytes + 1
+    words = [" some", " new", " words,", " " + "z" * 40_000]
+    assert enc.encode_joined(words) == [single(p) for p in words] and len(given) > len(words)
+    assert enc.encode_joined([]) == []

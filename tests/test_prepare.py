@@ -236,3 +236,35 @@ def test_contingency_counts_rows_where_they_are(spark):
                           (2, 3, "x", 1), (2, 3, "y", 1), (2, 0, "x", 1), (2, 0, "y", 1), (3, 3, "x", 1), (3, 0, "x", 1), (3, 0, "y", 2), (2, 0, "", 1), (3, 0, "", 1)])
     plain = SE.contingency(df, ["p", "q"], "label", bins=4, cuts={"p": [1.0, 2.5]})
     assert "Generate" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quartiles_and_bins_by_one_search(spark, monkeypatch):
+    from flowlens.operators import quantiles as Q
+    from flowlens.plans import prepare as PP
+    searches, search = [], Q.order_statistics
+    monkeypatch.setattr(Q, "order_statistics", lambda *a, **kw: searches.append(1) or search(*a, **kw))
+    prep = PP.prepare_records(spark, SF_SMALL)
+    assert len(searches) == 1
+    train = prep.split.where(~F.col(PP.SPLIT_COL))
+    tr = EN.fit_transformer(train, K.NUMERIC_COLUMNS, K.NOMINAL_COLUMNS)
+    assert tr.scaler == prep.transformer.scaler and tr.vocab == prep.transformer.vocab
+    varied = [c for c in K.NUMERIC_COLUMNS if c not in tr.constant_features()]
+    assert EN.fit_with_cuts(train, K.NUMERIC_COLUMNS, K.NOMINAL_COLUMNS, 32)[1] == Q.frequency_cuts(tr.transform(train), varied, 32)
+
+
+def test_sketches_get_few_values_of_a_task(spark):
+    from flowlens.operators import quantiles as Q
+    rows = [(float(i), None if i % 5 == 0 else float("nan") if i % 7 == 0 else float(i % 3)) for i in range(6400)]
+    df = spark.createDataFrame(rows, "x double, y double").repartition(2)
+    groups = [[Q._Target(0, 0, 1)], [Q._Target(1, 0, 1, lo=0.5, hi=1.5)], [Q._Target(0, 0, 1, lo=6000.5, hi=6001.5)]]
+    groups[0][0].hi = 6000.5
+    got = {r.g: r["count"] for r in Q._thinned(df, ["x", "y"], groups).groupBy("g").count().collect()}
+    inside = {r.g: r["count"] for r in Q._cells(df, ["x", "y"], groups).groupBy("g").count().collect()}
+    assert got[2] == 1 and all(n // Q.STEP - 2 <= got[g] <= n // Q.STEP + 3 for g, n in inside.items())
+
+
+def test_ends_of_columns_with_nan(spark):
+    from flowlens.operators import quantiles as Q
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, nan, None, nan), (3.0, 2.0, None, nan), (None, -5.0, None, None)], "a double, b double, c double, d double")
+    assert Q._column_stats(df, ["a", "b", "c", "d"]) == {0: (2, 1.0, 3.0), 1: (2, -5.0, 2.0)}

@@ -24,8 +24,8 @@ def run_training(spark: SparkSession, records: DataFrame, out_dir: str, key=None
                  params: MO.TrainParams | None = None) -> dict:
     prep = PP.prepare(records, RC.ROW_KEY if set(RC.ROW_KEY) <= set(records.columns) else [], key=key)
     cols = prep.selected + ["label"]
-    RC.write_processed(prep.train.select(*cols), f"{out_dir}/processed/train")
-    RC.write_processed(prep.test.select(*cols), f"{out_dir}/processed/test")
+    RC.write_processed(prep.train_rows.select(*cols), f"{out_dir}/processed/train")
+    RC.write_processed(prep.test_rows.select(*cols), f"{out_dir}/processed/test")
     train = RC.read_processed(spark, f"{out_dir}/processed/train", prep.selected)   # S3
     test = RC.read_processed(spark, f"{out_dir}/processed/test", prep.selected)
 
@@ -35,7 +35,8 @@ def run_training(spark: SparkSession, records: DataFrame, out_dir: str, key=None
 
     t0 = time.perf_counter()
     seen = Observation("scored")  # counted by the pass that scores and writes
-    scored = write_scratch(clf.predict(test).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(S.is_threat("prediction")).alias("threats")), "scored")
+    scored = clf.predict(test).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(S.is_threat("prediction")).alias("threats"))
+    scored = write_scratch(scored.drop(*prep.selected, MO.PROBABILITY), "scored")  # the features lie in the processed table
     infer_sec = time.perf_counter() - t0
     n_test = seen.get["n"]
 

@@ -215,6 +215,26 @@ def test_training_rows_are_split_by_their_number(spark, monkeypatch):
     assert fitted[1].rdd.getNumPartitions() == 1
 
 
+def test_dealt_training_rows_are_kept_in_whole_rounds_of_cores(spark, monkeypatch):
+    rows = spark.range(0, 400, 1, 1).select(F.when(F.col("id") % 3 == 0, "normal").otherwise("dos").alias("label"), (F.col("id") % 3).cast("double").alias("a"))
+    seen, fit = [], MO.RandomForestClassifier.fit
+    monkeypatch.setattr(MO.RandomForestClassifier, "fit", lambda self, df: seen.append((df, df.rdd.getNumPartitions(), df.storageLevel.useDisk)) or fit(self, df))
+    MO.train_classifier(rows, ["a"], params=MO.TrainParams(num_trees=2, rows_per_task=70))  # 6 tasks, 4 cores
+    (df, tasks, kept), = seen
+    assert tasks == 8 and kept and not df.storageLevel.useDisk
+
+
+def test_training_run_writes_no_table_twice(spark, monkeypatch):
+    from flowlens.plans import train as TR
+    written = {}
+    for module in (PP, TR):
+        write = module.write_scratch
+        monkeypatch.setattr(module, "write_scratch", lambda df, name, write=write: written.setdefault(name, df.columns) and write(df, name))
+    TR.run_training_on_records(spark, SF_SMALL, scratch_path(spark, "train-run"), params=MO.TrainParams(num_trees=2))
+    assert "split" in written and "encoded" not in written
+    assert "prediction" in written["scored"] and "src_bytes" not in written["scored"]
+
+
 def test_training_run_and_request_scoring(spark):
     from flowlens.plans import alerting as AP
     from flowlens.plans import registry as R
@@ -344,3 +364,35 @@ def test_checks_of_the_forest_write_no_encoded_table(spark, monkeypatch):
     for query in (registry.q_probability_check, stored.saved_model_check):
         assert all(r.n == r.n_holds for r in query(spark, SF_SMALL).collect())
     assert "split" in written and "encoded" not in written
+
+
+def test_rows_at_the_same_places_are_explained_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    leaves = []
+    for _ in range(60):
+        f = rng.choice(9, 4, replace=False)
+        conds = [(i, "cont", float(rng.integers(0, 200)), bool(rng.integers(2))) for i in range(3)] + [(3, "cat", frozenset({1.0, 2.0}), True)]
+        f[3] = 8
+        leaves.append(XP.Leaf(f if len(set(f.tolist())) == 4 else np.array([0, 1, 2, 8]), rng.random(4), conds, rng.random(2)))
+    XP._add_patterns(leaves)
+    for table in (XP.LeafTable(9, 2, 3, leaves, np.zeros(2)), XP.LeafTable(9, 2, 3, leaves[:2], np.zeros(2))):
+        x = np.column_stack([rng.choice([-1.0, 0.0, 50.5, 100.0, 150.0, np.nan, np.inf], 300) for _ in range(8)] + [rng.choice([0.0, -0.0, 1.0, 2.0, np.nan], 300)])
+        x = x[rng.integers(0, 40, 300)]
+        want, worked, matrix = XP.shap_matrix(x, table), [], XP.shap_matrix
+        monkeypatch.setattr(XP, "shap_matrix", lambda x, t: worked.append(len(x)) or matrix(x, t))
+        explain = XP.Explainer(table)
+        for _ in range(2):
+            np.testing.assert_array_equal(explain(x), want)
+        assert sum(worked) <= 40
+        monkeypatch.setattr(XP, "SEEN_BYTES", 8 * 18 * 3)  # no room for most
+        explain = XP.Explainer(table)
+        np.testing.assert_array_equal([explain(x), explain(x[::-1])[::-1]], [want, want])
+        monkeypatch.undo()
+
+
+def test_explained_queries_write_no_scored_table(spark, monkeypatch):
+    from flowlens.plans import registry
+    written, write = [], registry.write_scratch
+    monkeypatch.setattr(registry, "write_scratch", lambda df, name: written.append(name) or write(df, name))
+    assert registry.q_shap_values(spark, SF_SMALL).count() > 0
+    assert not written
